@@ -141,7 +141,8 @@ def dense_runner_ids(df: DataFrame, ordinal: str = "activity_id") -> DataFrame:
     partitions split.
     """
     first = df.groupBy("runner_id").agg(F.min(ordinal).alias("_first")).filter("runner_id IS NOT NULL")
-    numbered = numbering.number_rows(first, "_first", tie="runner_id", name="_n")
+    bounds = tuple(df.agg(F.min(ordinal), F.max(ordinal)).first())
+    numbered = numbering.number_rows(first, "_first", "runner_id", "_n", bounds)
     text = F.col("_n").cast("string")
     # lpad cuts text that is already longer, so it only applies to one-digit numbers
     label = F.when(F.length(text) < 2, F.lpad(text, 2, "0")).otherwise(text)

@@ -8,13 +8,16 @@ from pyspark.sql import functions as F
 BUCKETS = 4096
 
 
-def number_rows(df: DataFrame, by: str, tie: str, name: str, buckets: int = BUCKETS) -> DataFrame:
+def number_rows(
+    df: DataFrame, by: str, tie: str, name: str, bounds: tuple | None = None, buckets: int = BUCKETS
+) -> DataFrame:
     """Add ``name`` = 1..n in the order of the numeric column ``by``, ``tie`` breaking ties.
 
     The value range of ``by`` is cut into equal buckets. Each bucket numbers its own rows and adds
-    the number of rows in the buckets before it, a table of at most ``buckets`` rows.
+    the number of rows in the buckets before it, a table of at most ``buckets`` rows. ``bounds``
+    may give a range known to hold all values of ``by``.
     """
-    low, high = df.agg(F.min(by), F.max(by)).first()
+    low, high = bounds or df.agg(F.min(by), F.max(by)).first()
     if low is None:
         return df.withColumn(name, F.lit(None).cast("bigint"))
     width = max((high - low) / buckets, 1e-9)
