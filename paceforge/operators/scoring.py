@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paceforge.functions import pace
@@ -68,3 +68,19 @@ def best_run(runs: DataFrame, metric: str = "rmse") -> DataFrame:
     row = F.struct(*runs.columns)
     best = runs.filter(F.col(metric).isNotNull()).agg(F.min_by(row, F.struct(metric, "config")).alias("r"))
     return best.select("r.*")
+
+
+def with_pace_text(df: DataFrame, prediction: str = "prediction") -> DataFrame:
+    """Predicted minutes also as ``M:SS``."""
+    return df.withColumn("predicted_pace", pace.to_colon(F.col(prediction)))
+
+
+def recent_runs(df: DataFrame, fields: Sequence[str], n: int = 7, entity: str = "runner_id", time: str = "date", tie: str = "activity_id") -> DataFrame:
+    """Each entity's last ``n`` runs as a list of structs.
+
+    The limit is applied before the shuffle as well (window group limit), so an entity with very
+    many runs sends at most ``n`` of them per map task.
+    """
+    order = Window.partitionBy(entity).orderBy(F.desc(time), F.desc(tie))
+    last = df.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= n)
+    return last.groupBy(entity).agg(F.collect_list(F.struct(*fields)).alias(f"last_{n}_runs"))

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from paceforge import testbed
-from paceforge.operators import cleaning, encoding, scoring, timeline
 from paceforge.functions import pace
-from paceforge.plans.oracle_text import paced, trailing, BY_RUN
+from paceforge.operators import attribution, cleaning, encoding, reports, scoring, timeline, training
+from paceforge.plans import flow
+from paceforge.plans.oracle_text import BY_RUN, paced, trailing
 from paceforge.plans.querybook import r6, register
 from paceforge.schema import q
+from paceforge.session import stage
 from paceforge.sources import registry
 from paceforge.testbed import with_ctes
 
@@ -64,16 +66,18 @@ _DIST = "case when o_orderpriority = '1-URGENT' then null else cast(floor(o_tota
     "history_rollup",
     f"""SELECT c_custkey AS request_id, round(avg(d), 6) AS "7d_avg_distance", round(sum(d), 6) AS "7d_total_distance",
       round(avg(r), 6) AS "7d_avg_heart_rate" FROM customer LEFT JOIN (
-        SELECT o_custkey, {_DIST} AS d, {_RATE} AS r FROM orders) AS o ON o_custkey = c_custkey GROUP BY c_custkey""",
+        SELECT o_custkey, {_DIST} AS d, {_RATE} AS r,
+          row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) AS o
+      ON o_custkey = c_custkey AND rn <= 7 GROUP BY c_custkey""",
 )
 def history_rollup(spark, sf):
     runs = testbed.table(spark, sf, "orders").selectExpr(
-        "o_custkey", f"struct({_DIST} AS distance, {_RATE} AS average_heart_rate) AS run"
-    )
-    lists = runs.groupBy("o_custkey").agg(F.collect_list("run").alias("last_7_runs"))
+        "o_custkey AS request_id", "o_orderdate AS date", "o_orderkey AS activity_id",
+        f"{_DIST} AS distance", f"{_RATE} AS average_heart_rate",
+    )
+    lists = scoring.recent_runs(runs, ["distance", "average_heart_rate"], entity="request_id")
     customers = testbed.table(spark, sf, "customer").selectExpr("c_custkey AS request_id")
-    requests = customers.join(lists, customers.request_id == lists.o_custkey, "left").drop("o_custkey")
-    df = scoring.history_rollup(requests)
+    df = scoring.history_rollup(customers.join(lists, "request_id", "left"))
     names = ["7d_avg_distance", "7d_total_distance", "7d_avg_heart_rate"]
     return df.select("request_id", *[r6(q(n), n) for n in names])
 
@@ -179,3 +183,58 @@ def model_registry_latest(spark, sf):
         F.concat_ws("_", "o_orderpriority", stamp, F.col("o_orderkey").cast("string")).alias("version"),
     )
     return registry.latest_versions(models.withColumn("path", F.concat(F.lit("models/"), "version")))
+
+
+# ------------------------------------------------------------ fitted models
+
+# A few small rounds keep the registered fits quick; the operators take any parameters.
+QUICK = {"maxIter": 6, "maxDepth": 3, "stepSize": 0.3}
+
+
+def _prepared(spark, sf):
+    """Model rows of all valid activities, written once because a fit reads them many times."""
+    runs = testbed.activities(spark, sf).transform(cleaning.filter_valid_runs)
+    rows = flow.features(runs, lags=4)
+    prepared, features = training.prepare(rows, "no_pace_no_time")
+    return stage(prepared, "model-rows"), features
+
+
+@register("gbt_predictions")
+def gbt_predictions(spark, sf):
+    rows, features = _prepared(spark, sf)
+    model = training.fit_model(rows, features, QUICK)
+    return model.transform(rows.filter("split = 'test'")).select("activity_id", "label", "prediction")
+
+
+@register("score_runs")
+def score_runs(spark, sf):
+    rows, features = _prepared(spark, sf)
+    model = training.fit_model(rows, features, QUICK, early_stopping=False)
+    scored = scoring.with_pace_text(model.transform(rows))
+    return scored.select("activity_id", "split", "prediction", "predicted_pace")
+
+
+@register("param_search")
+def param_search(spark, sf):
+    rows, features = _prepared(spark, sf)
+    return training.random_search(rows, features, trials=3, maxIter=4, maxDepth=3)
+
+
+@register("cv_search")
+def cv_search(spark, sf):
+    rows, features = _prepared(spark, sf)
+    return training.cross_validate(rows, features, {"maxDepth": [2, 3]}, maxIter=4, stepSize=0.3)
+
+
+@register("gain_importance")
+def gain_importance(spark, sf):
+    rows, features = _prepared(spark, sf)
+    model = training.fit_model(rows, features, QUICK)
+    return reports.importance_rank(training.gain_importance(model, features, spark))
+
+
+@register("shap_attributions")
+def shap_attributions(spark, sf):
+    rows, features = _prepared(spark, sf)
+    model = training.fit_model(rows, features, QUICK)
+    return attribution.attributions(model, rows, features)
