@@ -66,50 +66,41 @@ def parse_target(c: Column) -> Column:
     )
 
 
-def _clock(minutes: Column, mark: str, end: str) -> Column:
-    whole = minutes.cast("bigint")
-    seconds = F.rint((minutes - whole) * 60).cast("bigint")
-    carried = F.when(seconds == 60, whole + 1).otherwise(whole)
-    rest = F.when(seconds == 60, F.lit(0).cast("bigint")).otherwise(seconds)
-    padded = F.when(rest.between(0, 9), F.concat(F.lit("0"), rest.cast("string"))).otherwise(
-        rest.cast("string")
-    )
-    return F.concat(carried.cast("string"), F.lit(mark), padded, F.lit(end))
+_PRINTABLE = 1e15  # beyond it, and for NaN or infinity, there is no text
 
 
-def _printable(minutes: Column) -> Column:
-    """Guards the integer cast; also false for null, NaN and infinity."""
-    return F.coalesce(~F.isnan(minutes) & (F.abs(minutes) < 1e15), F.lit(False))
+def _clock(minutes: Column, mark: str, end: str) -> Column:
+    """Sign, whole minutes, mark, two-digit seconds. Kept small: it is used for many columns.
+
+    Seconds are rounded half-even within the minute; 60 seconds carry through the total.
+    """
+    size = F.abs(minutes)
+    total = size.cast("bigint") * 60 + F.rint((size - F.floor(size)) * 60).cast("bigint")
+    text = F.concat(
+        F.when(minutes < 0, "-").otherwise(""),
+        F.floor(total / 60).cast("string"),
+        F.lit(mark),
+        F.lpad((total % 60).cast("string"), 2, "0"),
+        F.lit(end),
+    )
+    return F.when(size < _PRINTABLE, text).otherwise("")
 
 
 def to_prime(minutes: Column) -> Column:
-    """Minutes to ``M'SS"``: half-even seconds, 60 seconds carry, missing gives ``''``."""
-    safe = F.when(_printable(minutes), minutes)
-    return F.coalesce(_clock(safe, "'", '"'), F.lit(""))
+    """Minutes to ``M'SS"``, a negative difference with the sign in front; missing gives ``''``."""
+    return _clock(minutes, "'", '"')
 
 
 def to_colon(minutes: Column) -> Column:
     """Minutes to signed ``M:SS``."""
-    safe = F.when(_printable(minutes), minutes)
-    sign = F.when(safe < 0, F.lit("-")).otherwise(F.lit(""))
-    return F.coalesce(F.concat(sign, _clock(F.abs(safe), ":", "")), F.lit(""))
-
-
-def diff_to_prime(minutes: Column) -> Column:
-    """Signed difference as ``M'SS"`` with the sign in front of the absolute value."""
-    safe = F.when(_printable(minutes), minutes)
-    sign = F.when(safe < 0, F.lit("-")).otherwise(F.lit(""))
-    return F.coalesce(F.concat(sign, _clock(F.abs(safe), "'", '"')), F.lit(""))
+    return _clock(minutes, ":", "")
 
 
 def to_colon_truncated(minutes: Column) -> Column:
-    """Display form ``M:SS`` with both parts cut off instead of rounded."""
-    safe = F.when(_printable(minutes), minutes)
-    seconds = F.floor(F.pmod(safe, F.lit(1.0)) * 60)
-    padded = F.when(seconds < 10, F.concat(F.lit("0"), seconds.cast("string"))).otherwise(
-        seconds.cast("string")
-    )
-    return F.concat(safe.cast("bigint").cast("string"), F.lit(":"), padded)
+    """Display form ``M:SS`` with both parts cut off instead of rounded; null stays null."""
+    seconds = F.floor(F.pmod(minutes, F.lit(1.0)) * 60).cast("string")
+    text = F.concat(minutes.cast("bigint").cast("string"), F.lit(":"), F.lpad(seconds, 2, "0"))
+    return F.when(F.abs(minutes) < _PRINTABLE, text)
 
 
 def from_time(moving_time: Column, distance: Column) -> Column:

@@ -40,8 +40,9 @@ def standardise_columns(df: DataFrame) -> DataFrame:
     return df.select(*columns)
 
 
-def select_relevant(df: DataFrame) -> DataFrame:
-    return df.select(*[c for c in schema.CANONICAL_COLUMNS if c in df.columns])
+def select_relevant(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Known columns in canonical order, then the ones in ``keep``."""
+    return df.select(*[c for c in [*schema.CANONICAL_COLUMNS, *keep] if c in df.columns])
 
 
 def parse_dates(df: DataFrame, column: str = "date") -> DataFrame:
@@ -153,21 +154,22 @@ def dense_runner_ids(df: DataFrame, ordinal: str = "activity_id") -> DataFrame:
     )
 
 
-def clean(df: DataFrame, keep_missing_hr: bool = False) -> DataFrame:
+def clean(df: DataFrame, keep_missing_hr: bool = False, keep: Sequence[str] = ()) -> DataFrame:
     """Raw export to the cleaned stage.
 
     By default rows without a heart rate are rejected with the other invalid rows. With
-    ``keep_missing_hr`` they stay and are filled (forward, backward, then median).
+    ``keep_missing_hr`` they stay and are filled (forward, backward, then median). ``keep`` names
+    further columns to carry along, such as the source row number.
     """
     from paceforge.operators import imputation
 
     df = standardise_columns(df).transform(keep_runs)
     schema.require_columns(df)
-    df = df.transform(select_relevant).transform(parse_dates).transform(coerce_numeric)
+    df = df.transform(select_relevant, keep).transform(parse_dates).transform(coerce_numeric)
     df = filter_valid(df, keep_missing_hr).transform(default_runner)
     if keep_missing_hr and {"average_heart_rate", "runner_id", "activity_id"} <= set(df.columns):
         df = imputation.fill_heart_rate(df)
-    return df.transform(select_relevant)
+    return df.transform(select_relevant, keep)
 
 
 def filter_valid_runs(df: DataFrame, keep_missing_hr: bool = False) -> DataFrame:

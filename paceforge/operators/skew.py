@@ -31,13 +31,14 @@ SHARD = "_shard"
 class SplitPolicy:
     """When to leave the plain plan, and how large the pieces should be.
 
-    max_rows: a runner with more rows than this is oversized.
+    max_rows: a runner with more rows than this is oversized. None skips the look at the sizes, for
+        tables known to have no such runner.
     chunk_rows: target rows per chunk of an oversized runner.
     listed: up to this many oversized runners are named in the plan as literals; beyond it they
         are told apart by joins, so nothing of unknown size is collected or broadcast.
     """
 
-    max_rows: int = 50_000
+    max_rows: int | None = 50_000
     chunk_rows: int = 1_000_000
     listed: int = 1_000
 
@@ -60,6 +61,8 @@ def split_oversized(df: DataFrame, entity: str, time: str, policy: SplitPolicy =
     Costs one count per entity over two columns, combined before the shuffle. Rows without entity
     or time take part in no window; they stay in the ordinary part.
     """
+    if policy.max_rows is None:
+        return Parts(df, None)
     dated = F.col(entity).isNotNull() & F.col(time).isNotNull()
     sizes = df.filter(dated).groupBy(entity).agg(F.count(F.lit(1)).alias("_n"))
     large = sizes.filter(F.col("_n") > policy.max_rows)

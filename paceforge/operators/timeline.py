@@ -430,7 +430,6 @@ def sequences(
         *[F.coalesce(F.col(q(c)).cast("double"), F.lit(medians[c]).cast("double")) for c in used]
     )
     base = df.select(keys.entity, keys.time, keys.tie, step.alias("_step"))
-    policy = replace(policy, max_rows=max(policy.max_rows, window_size, min_length))
 
     def make(w: WindowSpec) -> dict[str, Column]:
         return {

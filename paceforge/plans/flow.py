@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from paceforge import schema
@@ -11,8 +11,10 @@ from paceforge.operators import cleaning, timeline
 from paceforge.operators.skew import DEFAULT_POLICY, SplitPolicy
 from paceforge.schema import q
 
+SOURCE_ROW = "source_row"
+
 # Columns holding minutes that the output stages show as M'SS" or M:SS text.
-PRIME_COLUMNS = ["7d_avg_pace", "30d_avg_pace", "pace_previous"]
+PRIME_COLUMNS = ["7d_avg_pace", "30d_avg_pace", "pace_previous", "pace_diff"]
 
 
 def with_pace(df: DataFrame) -> DataFrame:
@@ -30,10 +32,13 @@ def with_pace(df: DataFrame) -> DataFrame:
     return df.withColumn("pace_minutes", F.coalesce(*candidates))
 
 
-def features(df: DataFrame, lags: int = 0, policy: SplitPolicy = DEFAULT_POLICY) -> DataFrame:
+def features(
+    df: DataFrame, lags: int = 0, policy: SplitPolicy = DEFAULT_POLICY, tie: str = "activity_id"
+) -> DataFrame:
     """Cleaned activities with all derived features, paces as minutes.
 
     Previous-run columns, lags, gaps and both trailing windows share one exchange per runner.
+    ``tie`` orders activities of one runner that share a timestamp.
     """
     stale = [c for c in df.columns if c.startswith(("7d_", "30d_"))]
     df = with_pace(df.drop(*stale))
@@ -44,7 +49,8 @@ def features(df: DataFrame, lags: int = 0, policy: SplitPolicy = DEFAULT_POLICY)
     windows = [timeline.previous_columns(present(timeline.PREVIOUS)), timeline.gap_columns("date")]
     if lags:
         windows.append(timeline.lag_columns(present(timeline.LAGS), lags))
-    df = timeline.add_history(df, timeline.combine(*windows), back=max(1, lags), policy=policy)
+    keys = timeline.Keys(tie=tie)
+    df = timeline.add_history(df, timeline.combine(*windows), max(1, lags), keys=keys, policy=policy)
     df = timeline.add_differences(df)
     d = F.col("date")
     return df.withColumns(
@@ -62,34 +68,83 @@ def render_paces(df: DataFrame) -> DataFrame:
     changes = {c: pace.to_prime(F.col(q(c))) for c in PRIME_COLUMNS if c in df.columns}
     if "pace_minutes" in df.columns:
         changes["pace"] = pace.to_prime(F.col("pace_minutes"))
-    if "pace_diff" in df.columns:
-        changes["pace_diff"] = pace.diff_to_prime(F.col("pace_diff"))
     for c in df.columns:
         if c.startswith("pace_t-"):
             changes[c] = pace.to_colon(F.col(q(c)))
     return df.withColumns(changes)
 
 
-def feature_stage(df: DataFrame, policy: SplitPolicy = DEFAULT_POLICY, ordinal: str = "activity_id") -> DataFrame:
-    """Feature rows as stored: dense runner ids, pace text, grouped columns."""
-    out = render_paces(features(df, policy=policy)).transform(cleaning.dense_runner_ids, ordinal)
+def feature_stage(
+    df: DataFrame, policy: SplitPolicy = DEFAULT_POLICY, ordinal: str = "activity_id"
+) -> DataFrame:
+    """Feature rows as stored: dense runner ids, pace text, grouped columns.
+
+    ``ordinal`` is a numeric column in export order: it numbers the runners and breaks ties.
+    """
+    out = render_paces(features(df, 0, policy, ordinal)).transform(cleaning.dense_runner_ids, ordinal)
     return out.select(*map(q, schema.order_features(out.columns)))
 
 
-def tabular(df: DataFrame, lags: int = 4, policy: SplitPolicy = DEFAULT_POLICY, ordinal: str = "activity_id") -> DataFrame:
+def tabular(
+    df: DataFrame, lags: int = 4, policy: SplitPolicy = DEFAULT_POLICY, ordinal: str = "activity_id"
+) -> DataFrame:
     """Cleaned activities to training rows: features, lags, dense runner ids, fixed column order."""
-    out = render_paces(features(df, lags, policy)).transform(cleaning.dense_runner_ids, ordinal)
+    out = render_paces(features(df, lags, policy, ordinal)).transform(cleaning.dense_runner_ids, ordinal)
     return out.select(*map(q, schema.order_tabular(out.columns)))
 
 
-def sequence_stage(df: DataFrame, window_size: int = 4, include_targets: bool = False, policy: SplitPolicy = DEFAULT_POLICY) -> DataFrame:
+def sequence_stage(
+    df: DataFrame,
+    window_size: int = 4,
+    include_targets: bool = False,
+    policy: SplitPolicy = DEFAULT_POLICY,
+    tie: str = "activity_id",
+) -> DataFrame:
     """Cleaned activities to sliding sequences."""
     df = with_pace(df)
     if "average_cadence" in df.columns:
         df = df.withColumn("average_cadence", F.col("average_cadence") * 2)
-    return timeline.sequences(df, window_size, include_targets, policy=policy)
+    keys = timeline.Keys(tie=tie)
+    return timeline.sequences(df, window_size, include_targets, keys=keys, policy=policy)
 
 
 def run(raw: DataFrame, lags: int = 4, policy: SplitPolicy = DEFAULT_POLICY) -> DataFrame:
     """Raw export to training rows in one lazy plan."""
     return tabular(cleaning.clean(raw), lags, policy)
+
+
+def write_stages(
+    raw: DataFrame, folder: str, lags: int = 4, window_size: int = 4, policy: SplitPolicy = DEFAULT_POLICY
+) -> dict[str, int]:
+    """Write cleaned, feature, tabular and sequence tables; return their row counts.
+
+    The cleaned table is written first and read by the other three, so the export is parsed once.
+    It also pins the row order of the export, which numbers the runners and breaks ties. Counts
+    come from the writes themselves.
+    """
+    spark = raw.sparkSession
+    seen = Observation("raw")
+    counts: dict[str, int] = {}
+    numbered = raw.observe(seen, F.count(F.lit(1)).alias("rows")).withColumn(
+        SOURCE_ROW, F.monotonically_increasing_id()
+    )
+    cleaned = cleaning.clean(numbered, keep=[SOURCE_ROW])
+    counts["cleaned"] = _write_counted(cleaned, f"{folder}/cleaned")
+    counts["raw"] = seen.get["rows"]
+    if counts["cleaned"] == 0:
+        raise ValueError("no valid activities in the export")
+    cleaned = spark.read.parquet(f"{folder}/cleaned")
+    stages = {
+        "features": feature_stage(cleaned, policy, SOURCE_ROW),
+        "tabular": tabular(cleaned, lags, policy, SOURCE_ROW),
+        "sequences": sequence_stage(cleaned, window_size, policy=policy, tie=SOURCE_ROW),
+    }
+    for name, df in stages.items():
+        counts[name] = _write_counted(df.drop(SOURCE_ROW), f"{folder}/{name}")
+    return counts
+
+
+def _write_counted(df: DataFrame, path: str) -> int:
+    written = Observation(path.rsplit("/", 1)[-1])
+    df.observe(written, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(path)
+    return written.get["rows"]

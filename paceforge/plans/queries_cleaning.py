@@ -320,7 +320,7 @@ def pace_format_colon(spark, sf):
 )
 def pace_diff(spark, sf):
     minutes = F.col("pace_minutes") - 12
-    return _paces(spark, sf).select("activity_id", pace.diff_to_prime(minutes).alias("pace_diff"))
+    return _paces(spark, sf).select("activity_id", pace.to_prime(minutes).alias("pace_diff"))
 
 
 @register(

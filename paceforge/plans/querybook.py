@@ -29,4 +29,4 @@ def r6(c: Column | str, name: str) -> Column:
 
 
 def load() -> None:
-    from paceforge.plans import queries_cleaning, queries_history, queries_models, queries_trends  # noqa: F401
+    from paceforge.plans import queries_cleaning, queries_flow, queries_history, queries_models, queries_trends  # noqa: F401
