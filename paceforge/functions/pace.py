@@ -23,7 +23,7 @@ def number(c: Column) -> Column:
 
 
 def finite(c: Column) -> Column:
-    return F.when(~F.isnan(c) & (F.abs(c) < float("inf")), c)
+    return F.when(F.abs(c) < float("inf"), c)  # NaN sorts above infinity
 
 
 def _whole(text: Column) -> Column:
@@ -69,31 +69,46 @@ def parse_target(c: Column) -> Column:
 _PRINTABLE = 1e15  # beyond it, and for NaN or infinity, there is no text
 
 
-def _clock(minutes: Column, mark: str, end: str) -> Column:
-    """Sign, whole minutes, mark, two-digit seconds. Kept small: it is used for many columns.
+def total_seconds_sql(minutes: str) -> str:
+    """Signless minutes as whole seconds: half-even within the minute, 60 seconds carry."""
+    size = f"abs({minutes})"
+    seconds = f"cast({size} AS bigint) * 60 + cast(rint(({size} - floor({size})) * 60) AS bigint)"
+    return f"CASE WHEN {size} < double('{_PRINTABLE}') THEN {seconds} END"
 
-    Seconds are rounded half-even within the minute; 60 seconds carry through the total.
-    """
+
+def clock_sql(negative: str, total: str, mark: str, end: str = "") -> str:
+    """Text of whole seconds: sign, minutes, mark, two-digit seconds; missing gives ``''``."""
+    mark, end = mark.replace("'", "\\'"), end.replace("'", "\\'")
+    return (
+        f"coalesce(concat(if({negative}, '-', ''), cast({total} div 60 AS string), '{mark}', "
+        f"lpad(cast({total} % 60 AS string), 2, '0'), '{end}'), '')"
+    )
+
+
+PRIME, COLON = ("'", '"'), (":", "")
+
+
+def _clock(minutes: Column, form: tuple[str, str]) -> Column:
     size = F.abs(minutes)
     total = size.cast("bigint") * 60 + F.rint((size - F.floor(size)) * 60).cast("bigint")
     text = F.concat(
         F.when(minutes < 0, "-").otherwise(""),
         F.floor(total / 60).cast("string"),
-        F.lit(mark),
+        F.lit(form[0]),
         F.lpad((total % 60).cast("string"), 2, "0"),
-        F.lit(end),
+        F.lit(form[1]),
     )
     return F.when(size < _PRINTABLE, text).otherwise("")
 
 
 def to_prime(minutes: Column) -> Column:
     """Minutes to ``M'SS"``, a negative difference with the sign in front; missing gives ``''``."""
-    return _clock(minutes, "'", '"')
+    return _clock(minutes, PRIME)
 
 
 def to_colon(minutes: Column) -> Column:
     """Minutes to signed ``M:SS``."""
-    return _clock(minutes, ":", "")
+    return _clock(minutes, COLON)
 
 
 def to_colon_truncated(minutes: Column) -> Column:

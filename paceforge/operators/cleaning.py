@@ -10,7 +10,8 @@ from pyspark.sql import types as T
 
 from paceforge import schema
 from paceforge.functions import pace
-from paceforge.operators import numbering
+from paceforge.operators import numbering, skew
+from paceforge.session import stage
 
 # --- fixed values: bounds of the row rules (both ends excluded) ---
 MAX_DISTANCE = 100
@@ -134,16 +135,29 @@ def default_runner(df: DataFrame) -> DataFrame:
     return df
 
 
-def dense_runner_ids(df: DataFrame, ordinal: str = "activity_id") -> DataFrame:
+def runner_table(df: DataFrame, ordinal: str = "activity_id") -> DataFrame:
+    """One row per runner: activities with a date (``_n``) and first position (``_first``).
+
+    Written once; it tells oversized runners and numbers all runners, with one pass over two or
+    three columns of the input.
+    """
+    first = F.min(ordinal).alias("_first")
+    return stage(skew.entity_sizes(df, "runner_id", "date", first), "runners")
+
+
+def dense_runner_ids(
+    df: DataFrame, ordinal: str = "activity_id", runners: DataFrame | None = None
+) -> DataFrame:
     """Replace runner ids by ``01, 02, ...`` in order of first appearance along ``ordinal``.
 
     Only the distinct runners are numbered. The join back is left to the size-checked choice of
     the engine: a small runner table is broadcast, a large one is joined by key with skewed
     partitions split.
     """
-    first = df.groupBy("runner_id").agg(F.min(ordinal).alias("_first")).filter("runner_id IS NOT NULL")
-    bounds = tuple(df.agg(F.min(ordinal), F.max(ordinal)).first())
-    numbered = numbering.number_rows(first, "_first", "runner_id", "_n", bounds)
+    if runners is None:
+        first = df.filter("runner_id IS NOT NULL").groupBy("runner_id").agg(F.min(ordinal).alias("_first"))
+        runners = stage(first, "runners")
+    numbered = numbering.number_rows(runners.select("runner_id", "_first"), "_first", "runner_id", "_n")
     text = F.col("_n").cast("string")
     # lpad cuts text that is already longer, so it only applies to one-digit numbers
     label = F.when(F.length(text) < 2, F.lpad(text, 2, "0")).otherwise(text)

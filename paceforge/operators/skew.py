@@ -55,17 +55,29 @@ class Parts:
     oversized_rows: int = 0
 
 
-def split_oversized(df: DataFrame, entity: str, time: str, policy: SplitPolicy = DEFAULT_POLICY) -> Parts:
+def entity_sizes(df: DataFrame, entity: str, time: str, *more: Column) -> DataFrame:
+    """Rows with a date per entity as ``_n``, with further aggregates; combined before the shuffle."""
+    dated = F.count_if(F.col(time).isNotNull())
+    return df.filter(F.col(entity).isNotNull()).groupBy(entity).agg(dated.alias("_n"), *more)
+
+
+def split_oversized(
+    df: DataFrame,
+    entity: str,
+    time: str,
+    policy: SplitPolicy = DEFAULT_POLICY,
+    sizes: DataFrame | None = None,
+) -> Parts:
     """Separate the rows of oversized entities.
 
-    Costs one count per entity over two columns, combined before the shuffle. Rows without entity
-    or time take part in no window; they stay in the ordinary part.
+    Costs one count per entity over two columns, unless ``sizes`` already holds it. Rows without
+    entity or time take part in no window; they stay in the ordinary part.
     """
     if policy.max_rows is None:
         return Parts(df, None)
     dated = F.col(entity).isNotNull() & F.col(time).isNotNull()
-    sizes = df.filter(dated).groupBy(entity).agg(F.count(F.lit(1)).alias("_n"))
-    large = sizes.filter(F.col("_n") > policy.max_rows)
+    sizes = entity_sizes(df, entity, time) if sizes is None else sizes
+    large = sizes.select(entity, "_n").filter(F.col("_n") > policy.max_rows)
     # One bounded job decides: the largest entities, at most listed + 1 rows.
     found = large.orderBy(F.desc("_n")).take(policy.listed + 1)
     if not found:

@@ -192,18 +192,17 @@ TRAILING = Trailing(schema.ROLLING_METRICS, {"distance": "distance"})
 
 
 def _plain_trailing(df: DataFrame, spec: Trailing, keys: Keys) -> DataFrame:
-    columns: dict[str, Column] = {}
+    columns: dict[str, str] = {}
     for days in spec.widths:
         frame = _frame(days, keys)
         for c, stem in spec.averages.items():
-            columns[f"{days}d_avg_{stem}"] = F.expr(f"avg({q(c)}) {frame}")
+            columns[f"{days}d_avg_{stem}"] = f"avg({q(c)}) {frame}"
         for c, stem in spec.totals.items():
-            columns[f"{days}d_total_{stem}"] = F.expr(f"sum({q(c)}) {frame}")
+            columns[f"{days}d_total_{stem}"] = f"sum({q(c)}) {frame}"
         if spec.run_count:
-            columns[f"{days}d_run_count"] = F.expr(f"count(1) {frame}")
-    return df.withColumns(
-        {n: skew.dated_only(c, keys.entity, keys.time) for n, c in columns.items()}
-    )
+            columns[f"{days}d_run_count"] = f"count(1) {frame}"
+    dated = f"{q(keys.entity)} IS NOT NULL AND {q(keys.time)} IS NOT NULL"
+    return df.selectExpr("*", *[f"CASE WHEN {dated} THEN {e} END AS {q(n)}" for n, e in columns.items()])
 
 
 def _chunked_trailing(df: DataFrame, spec: Trailing, keys: Keys, rows: int, policy: SplitPolicy) -> DataFrame:
@@ -313,6 +312,7 @@ def add_history(
     spec: Trailing = TRAILING,
     keys: Keys = RUNS,
     policy: SplitPolicy = DEFAULT_POLICY,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Row windows and trailing windows together.
 
@@ -320,7 +320,7 @@ def add_history(
     so ordinary runners need one exchange and one sort in all.
     """
     spec = spec.within(df)
-    parts = skew.split_oversized(df, keys.entity, keys.time, policy)
+    parts = skew.split_oversized(df, keys.entity, keys.time, policy, sizes)
     sharded = skew.with_shard(parts.ordinary, keys.entity, keys.time, keys.tie)
     out = _plain_trailing(_plain_rows(sharded, make, keys), spec, keys).drop(SHARD)
     if parts.oversized is not None:

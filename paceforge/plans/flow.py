@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from paceforge import schema
 from paceforge.functions import calendar, pace
-from paceforge.operators import cleaning, timeline
+from paceforge.operators import cleaning, paces, timeline
 from paceforge.operators.skew import DEFAULT_POLICY, SplitPolicy
 from paceforge.schema import q
 
@@ -33,12 +33,17 @@ def with_pace(df: DataFrame) -> DataFrame:
 
 
 def features(
-    df: DataFrame, lags: int = 0, policy: SplitPolicy = DEFAULT_POLICY, tie: str = "activity_id"
+    df: DataFrame,
+    lags: int = 0,
+    policy: SplitPolicy = DEFAULT_POLICY,
+    tie: str = "activity_id",
+    runners: DataFrame | None = None,
 ) -> DataFrame:
     """Cleaned activities with all derived features, paces as minutes.
 
     Previous-run columns, lags, gaps and both trailing windows share one exchange per runner.
-    ``tie`` orders activities of one runner that share a timestamp.
+    ``tie`` orders activities of one runner that share a timestamp; ``runners`` may hold the
+    :func:`~paceforge.operators.cleaning.runner_table` of the rows.
     """
     stale = [c for c in df.columns if c.startswith(("7d_", "30d_"))]
     df = with_pace(df.drop(*stale))
@@ -50,7 +55,9 @@ def features(
     if lags:
         windows.append(timeline.lag_columns(present(timeline.LAGS), lags))
     keys = timeline.Keys(tie=tie)
-    df = timeline.add_history(df, timeline.combine(*windows), max(1, lags), keys=keys, policy=policy)
+    df = timeline.add_history(
+        df, timeline.combine(*windows), max(1, lags), keys=keys, policy=policy, sizes=runners
+    )
     df = timeline.add_differences(df)
     d = F.col("date")
     return df.withColumns(
@@ -65,13 +72,16 @@ def features(
 
 def render_paces(df: DataFrame) -> DataFrame:
     """Text forms of the pace columns; ``pace_minutes`` stays for later stages."""
-    changes = {c: pace.to_prime(F.col(q(c))) for c in PRIME_COLUMNS if c in df.columns}
     if "pace_minutes" in df.columns:
-        changes["pace"] = pace.to_prime(F.col("pace_minutes"))
-    for c in df.columns:
-        if c.startswith("pace_t-"):
-            changes[c] = pace.to_colon(F.col(q(c)))
-    return df.withColumns(changes)
+        df = df.withColumn("pace", F.col("pace_minutes"))
+    prime = [c for c in ["pace", *PRIME_COLUMNS] if c in df.columns]
+    return paces.render(df, prime, [c for c in df.columns if c.startswith("pace_t-")])
+
+
+def _numbered(df: DataFrame, lags: int, policy: SplitPolicy, ordinal: str) -> DataFrame:
+    runners = cleaning.runner_table(df, ordinal)
+    out = render_paces(features(df, lags, policy, ordinal, runners))
+    return cleaning.dense_runner_ids(out, ordinal, runners)
 
 
 def feature_stage(
@@ -81,7 +91,7 @@ def feature_stage(
 
     ``ordinal`` is a numeric column in export order: it numbers the runners and breaks ties.
     """
-    out = render_paces(features(df, 0, policy, ordinal)).transform(cleaning.dense_runner_ids, ordinal)
+    out = _numbered(df, 0, policy, ordinal)
     return out.select(*map(q, schema.order_features(out.columns)))
 
 
@@ -89,7 +99,7 @@ def tabular(
     df: DataFrame, lags: int = 4, policy: SplitPolicy = DEFAULT_POLICY, ordinal: str = "activity_id"
 ) -> DataFrame:
     """Cleaned activities to training rows: features, lags, dense runner ids, fixed column order."""
-    out = render_paces(features(df, lags, policy, ordinal)).transform(cleaning.dense_runner_ids, ordinal)
+    out = _numbered(df, lags, policy, ordinal)
     return out.select(*map(q, schema.order_tabular(out.columns)))
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paceforge.session import tune
+
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, QueryFn] = {}
@@ -15,7 +18,11 @@ ORACLES: dict[str, str] = {}
 
 def register(name: str, sql: str | None = None) -> Callable[[QueryFn], QueryFn]:
     def keep(fn: QueryFn) -> QueryFn:
-        QUERIES[name] = fn
+        @functools.wraps(fn)
+        def tuned(spark: SparkSession, sf: str) -> DataFrame:
+            return fn(tune(spark), sf)
+
+        QUERIES[name] = tuned
         if sql is not None:
             ORACLES[name] = sql
         return fn
