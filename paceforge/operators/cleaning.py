@@ -145,27 +145,34 @@ def runner_table(df: DataFrame, ordinal: str = "activity_id") -> DataFrame:
     return stage(skew.entity_sizes(df, "runner_id", "date", first), "runners")
 
 
-def dense_runner_ids(
-    df: DataFrame, ordinal: str = "activity_id", runners: DataFrame | None = None
-) -> DataFrame:
-    """Replace runner ids by ``01, 02, ...`` in order of first appearance along ``ordinal``.
-
-    Only the distinct runners are numbered. The join back is left to the size-checked choice of
-    the engine: a small runner table is broadcast, a large one is joined by key with skewed
-    partitions split.
+DENSE = "_dense"
+
+
+def add_dense_ids(df: DataFrame, runners: DataFrame) -> DataFrame:
+    """Add the dense id of each row's runner as ``_dense``, from a :func:`runner_table`.
+
+    Only the distinct runners are numbered. The join is left to the size-checked choice of the
+    engine: a small runner table is broadcast, a large one is joined by key.
     """
-    if runners is None:
-        first = df.filter("runner_id IS NOT NULL").groupBy("runner_id").agg(F.min(ordinal).alias("_first"))
-        runners = stage(first, "runners")
     numbered = numbering.number_rows(runners.select("runner_id", "_first"), "_first", "runner_id", "_n")
     text = F.col("_n").cast("string")
     # lpad cuts text that is already longer, so it only applies to one-digit numbers
     label = F.when(F.length(text) < 2, F.lpad(text, 2, "0")).otherwise(text)
-    ids = numbered.select("runner_id", label.alias("_dense"))
-    joined = df.join(ids, "runner_id", "left")
-    return joined.select(
-        *[F.col("_dense").alias(c) if c == "runner_id" else F.col(schema.q(c)) for c in df.columns]
-    )
+    return df.join(numbered.select("runner_id", label.alias(DENSE)), "runner_id", "left")
+
+
+def use_dense_ids(df: DataFrame) -> DataFrame:
+    """Put ``_dense`` in the place of ``runner_id``."""
+    kept = [c for c in df.columns if c != DENSE]
+    return df.select(*[F.col(DENSE).alias(c) if c == "runner_id" else F.col(schema.q(c)) for c in kept])
+
+
+def dense_runner_ids(df: DataFrame, ordinal: str = "activity_id") -> DataFrame:
+    """Replace runner ids by ``01, 02, ...`` in order of first appearance along ``ordinal``."""
+    first = df.filter("runner_id IS NOT NULL").groupBy("runner_id").agg(F.min(ordinal).alias("_first"))
+    order = df.columns
+    out = use_dense_ids(add_dense_ids(df, stage(first, "runners")))
+    return out.select(*map(schema.q, order))
 
 
 def clean(df: DataFrame, keep_missing_hr: bool = False, keep: Sequence[str] = ()) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -79,9 +81,20 @@ def render_paces(df: DataFrame) -> DataFrame:
 
 
 def _numbered(df: DataFrame, lags: int, policy: SplitPolicy, ordinal: str) -> DataFrame:
+    """Features with dense runner ids and pace text.
+
+    The ids join comes before the windows: whether it is broadcast or by key, the rows are then
+    exchanged once, as the windows accept the partitioning of the join. Rows without a date or
+    runner have no history; they go a separate way so that many of them cannot pile up on one key.
+    """
     runners = cleaning.runner_table(df, ordinal)
-    out = render_paces(features(df, lags, policy, ordinal, runners))
-    return cleaning.dense_runner_ids(out, ordinal, runners)
+    dated = F.col("date").isNotNull() & F.col("runner_id").isNotNull()
+    parts = [(df.filter(dated), policy), (df.filter(~dated), replace(policy, max_rows=None))]
+    done = [
+        render_paces(features(cleaning.add_dense_ids(rows, runners), lags, part, ordinal, runners))
+        for rows, part in parts
+    ]
+    return cleaning.use_dense_ids(done[0].unionByName(done[1]))
 
 
 def feature_stage(

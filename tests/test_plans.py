@@ -71,3 +71,20 @@ def test_trailing_plain_plan(spark, sf):
     df = timeline.add_trailing(testbed.line_runs(spark, sf))
     text = plan(df)
     assert text.count("Exchange hashpartitioning(runner_id") == 1 and "_chunk" not in text
+
+
+def test_numbered_features_move_rows_once(spark, sf):
+    """The ids join by key and the windows share one exchange of the wide rows."""
+    valid = testbed.activities(spark, sf).transform(cleaning.filter_valid_runs)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(flow.tabular(valid))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    dated = text.split("Union", 1)[1].split("BroadcastNestedLoop")[0]
+    first = dated[: dated.rindex("Window [")]
+    assert "SortMergeJoin" in text
+    # one exchange of rows and one of ids per part (dated, undated), none between join and window
+    assert "Exchange hashpartitioning(runner_id" in first
+    assert "_shard#" not in "".join(re.findall(r"Exchange hashpartitioning\([^)]*\)", text))

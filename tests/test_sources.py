@@ -132,3 +132,12 @@ def test_ingest_equals_batch_and_runs_once(spark, export, tmp_path):
     (inbox / "e.csv").write_text(EXPORT)
     again = ingest.ingest(spark, str(inbox), out, f"{out}/cp", 2)
     assert again.count() == 5
+
+
+def test_rows_without_date_or_runner_are_kept(spark):
+    rows = [(1, "a", datetime(2024, 1, 1), 5.0, 600.0), (2, "a", None, 5.0, 600.0), (3, None, datetime(2024, 1, 1), 5.0, 600.0)]
+    df = spark.createDataFrame(rows, "activity_id long, runner_id string, date timestamp_ntz, distance double, moving_time double")
+    out = {r["activity_id"]: r for r in flow.tabular(df).collect()}
+    assert [out[i]["runner_id"] for i in (1, 2, 3)] == ["01", "01", None]
+    assert [out[i]["7d_run_count"] for i in (1, 2, 3)] == [1, None, None]
+    assert out[2]["pace"] == "2'00\"" and out[2]["pace_previous"] == ""
