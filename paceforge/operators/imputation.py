@@ -16,13 +16,17 @@ from paceforge import schema
 from paceforge.operators import quantiles, timeline
 from paceforge.operators.skew import DEFAULT_POLICY, SplitPolicy
 from paceforge.schema import q
+from paceforge.session import stage
 
 
 def fill_heart_rate(
     df: DataFrame, column: str = "average_heart_rate", policy: SplitPolicy = DEFAULT_POLICY
 ) -> DataFrame:
-    """Forward, then backward along each runner, then the median of the filled column."""
-    filled = timeline.fill_in_order(df, column, backward=True, policy=policy)
+    """Forward, then backward along each runner, then the median of the filled column.
+
+    The ordered fills are written once: the median reads one column of them several times.
+    """
+    filled = stage(timeline.fill_in_order(df, column, backward=True, policy=policy), "filled")
     return fill(filled, quantiles.exact_medians(filled, [column]))
 
 

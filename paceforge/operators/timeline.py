@@ -425,9 +425,10 @@ def sequences(
     if len(used) < 2:
         raise ValueError("not enough feature columns for sequences")
     df = df.filter(F.col(q(keys.entity)).isNotNull() & F.col(q(keys.time)).isNotNull())
-    medians = quantiles.exact_medians(df, used)
+    gaps = df.agg(*[F.count_if(F.col(q(c)).isNull()).alias(f"_{i}") for i, c in enumerate(used)]).first()
+    medians = quantiles.exact_medians(df, [c for c, n in zip(used, gaps) if n])
     step = F.array(
-        *[F.coalesce(F.col(q(c)).cast("double"), F.lit(medians[c]).cast("double")) for c in used]
+        *[F.coalesce(F.col(q(c)).cast("double"), F.lit(medians.get(c)).cast("double")) for c in used]
     )
     base = df.select(keys.entity, keys.time, keys.tie, step.alias("_step"))
 

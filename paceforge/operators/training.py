@@ -49,15 +49,21 @@ NAMED_CONFIGS: dict[str, dict[str, object]] = {
 }
 
 
-def prepare(rows: DataFrame, feature_set: str | Sequence[str] = "no_pace_no_time", key: str = "activity_id", target: str = schema.TARGET) -> tuple[DataFrame, list[str]]:
-    """Key, label, numeric features and split of the rows that have a target."""
+def prepare(
+    rows: DataFrame,
+    feature_set: str | Sequence[str] = "no_pace_no_time",
+    key: str = "activity_id",
+    target: str = schema.TARGET,
+    keep: Sequence[str] = (),
+) -> tuple[DataFrame, list[str]]:
+    """Key, kept columns, label, numeric features and split of the rows that have a target."""
     if isinstance(feature_set, str):
         numeric = schema.numeric_columns(rows)
         features = schema.select_features(numeric, **schema.FEATURE_SETS[feature_set])
     else:
         features = list(feature_set)
     df = rows.filter(F.col(target).isNotNull()).select(
-        key, F.col(target).alias("label"), *[F.col(q(c)).cast("double").alias(c) for c in features]
+        key, *keep, F.col(target).alias("label"), *[F.col(q(c)).cast("double").alias(c) for c in features]
     )
     return encoding.hash_split(df, key), features
 

@@ -131,9 +131,10 @@ def value_correlation(periods: DataFrame) -> DataFrame:
 
 def analysis_bounds(df: DataFrame) -> DataFrame:
     """First and last date, number of runs and of months covered."""
-    return df.agg(
+    runs = df.groupBy("activity_id").agg(F.min("date").alias("date"))
+    return runs.agg(
         F.min("date").alias("first_date"),
         F.max("date").alias("last_date"),
-        F.count_distinct("activity_id").alias("runs"),
+        F.count(F.lit(1)).alias("runs"),
         F.count_distinct(calendar.year_month(F.col("date"))).alias("months"),
     )

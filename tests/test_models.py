@@ -7,7 +7,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from paceforge.operators import attribution, encoding, reports, scoring, training
+from paceforge import testbed
+from paceforge.operators import attribution, cleaning, encoding, reports, scoring, training
+from paceforge.plans import analysis, flow
 from paceforge.sources import registry
 
 FEATURES = ["a", "b", "c", "d"]
@@ -155,3 +157,21 @@ def test_pivot_undoes_unpivot(spark):
     long = encoding.unpivot_features(df, ["x", "y"], ["activity_id"], value="shap")
     back = encoding.pivot_attributions(long, ["x", "y"]).orderBy("activity_id").collect()
     assert [tuple(r) for r in back] == [(1, 2.0, 3.0), (2, None, 5.0)]
+
+
+def test_analyses_of_a_fitted_model(spark, sf):
+    rows = flow.features(testbed.activities(spark, sf).transform(cleaning.filter_valid_runs), lags=4)
+    prepared, features = training.prepare(rows, "with_pace_with_time", keep=["runner_id", "date"])
+    assert "pace_t-1" in features and "pace_diff" not in features and "moving_time" in features
+    model = training.fit_model(prepared, features, {"maxIter": 3, "maxDepth": 3, "stepSize": 0.3})
+    shap = analysis.explain(model, prepared, features)
+    assert shap.count() == prepared.count() * len(features)
+    everything = analysis.all_runs(shap, 5)
+    assert everything["impact"].count() == 5 and everything["totals"].count() == 1
+    assert analysis.latest_run(shap)["improvement"].count() == 5
+    trend = analysis.over_time(shap, 3, 4)
+    assert trend["monthly"].count() == 4 and trend["weekly"].select("feature").distinct().count() == 4
+    assert trend["weekly_trend"].filter("trend IS NOT NULL").count() > 0
+    assert trend["bounds"].first()["runs"] == prepared.count() and trend["summary"].count() == 0
+    named = analysis.over_time(shap, None, features=["distance", "nothing"])
+    assert [r[0] for r in named["unknown"].collect()] == ["nothing"]
