@@ -15,7 +15,7 @@ Both parts return the same rows and values; only the plan differs.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,15 +33,23 @@ class SplitPolicy:
 
     max_rows: a runner with more rows than this is oversized. None skips the look at the sizes, for
         tables known to have no such runner.
+    max_trailing_rows: the same for trailing windows, where a task's work grows with the rows per
+        window as well, so the limit is lower.
     chunk_rows: target rows per chunk of an oversized runner.
     listed: up to this many oversized runners are named in the plan as literals; beyond it they
         are told apart by joins, so nothing of unknown size is collected or broadcast.
     """
 
-    max_rows: int | None = 50_000
+    max_rows: int | None = 2_000_000
+    max_trailing_rows: int = 100_000
     chunk_rows: int = 1_000_000
     listed: int = 1_000
 
+    def for_trailing(self) -> SplitPolicy:
+        if self.max_rows is None:
+            return self
+        return replace(self, max_rows=min(self.max_rows, self.max_trailing_rows))
+
 
 DEFAULT_POLICY = SplitPolicy()
 

@@ -294,7 +294,7 @@ def _names(spec: Trailing, measures: Sequence[str]) -> list[str]:
 
 def add_trailing(df: DataFrame, spec: Trailing = TRAILING, keys: Keys = RUNS, policy: SplitPolicy = DEFAULT_POLICY) -> DataFrame:
     """Trailing averages, totals and run counts; nulls are skipped, one value is enough."""
-    spec = spec.within(df)
+    spec, policy = spec.within(df), policy.for_trailing()
     parts = skew.split_oversized(df, keys.entity, keys.time, policy)
     sharded = skew.with_shard(parts.ordinary, keys.entity, keys.time, keys.tie)
     out = _plain_trailing(sharded, spec, keys).drop(SHARD)
@@ -319,7 +319,7 @@ def add_history(
     Row windows come first: their sort order (entity, time, tie) also serves the trailing frames,
     so ordinary runners need one exchange and one sort in all.
     """
-    spec = spec.within(df)
+    spec, policy = spec.within(df), policy.for_trailing()
     parts = skew.split_oversized(df, keys.entity, keys.time, policy, sizes)
     sharded = skew.with_shard(parts.ordinary, keys.entity, keys.time, keys.tie)
     out = _plain_trailing(_plain_rows(sharded, make, keys), spec, keys).drop(SHARD)

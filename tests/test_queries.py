@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from tools.check import TABLES, rows_of
+from tools.check import TABLES, rows_of, type_differences
 
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 
@@ -26,6 +26,7 @@ def test_query(spark, con, sf, name):
         cur = con.execute(ORACLES[name])
         names = [d[0] for d in cur.description]
         assert sorted(names) == sorted(df.columns)
+        assert not type_differences(df.dtypes, {d[0]: str(d[1]) for d in cur.description})
         assert rows_of(df.columns, got) == rows_of(names, cur.fetchall())
 
 
