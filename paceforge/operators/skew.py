@@ -42,7 +42,7 @@ class SplitPolicy:
 
     max_rows: int | None = 2_000_000
     max_trailing_rows: int = 100_000
-    chunk_rows: int = 1_000_000
+    chunk_rows: int = 4_000_000
     listed: int = 1_000
 
     def for_trailing(self) -> SplitPolicy:

@@ -433,10 +433,9 @@ def sequences(
     base = df.select(keys.entity, keys.time, keys.tie, step.alias("_step"))
 
     def make(w: WindowSpec) -> dict[str, Column]:
-        return {
-            "window": F.collect_list("_step").over(w.rowsBetween(0, window_size - 1)),
-            "target": F.lead("_step", window_size).over(w),
-        }
+        # offsets are cheaper than collecting a list per row, and all steps exist where a target does
+        steps = [F.col("_step"), *[F.lead("_step", k).over(w) for k in range(1, window_size)]]
+        return {"window": F.array(*steps), "target": F.lead("_step", window_size).over(w)}
 
     if min_length > window_size + 1:
         sizes = base.groupBy(keys.entity).agg(F.count(F.lit(1)).alias("_n"))

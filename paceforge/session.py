@@ -27,10 +27,24 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def build_session(app: str = "paceforge", master: str | None = None, **extra: str) -> SparkSession:
+PARTITION_BYTES = 512 * 1024**2
+
+
+def shuffle_partitions(input_bytes: int, least: int = 200) -> int:
+    """Shuffle partitions for an input size. AQE merges small partitions but never adds any, so a
+    large job has to start with enough of them."""
+    return max(least, -(-input_bytes // PARTITION_BYTES))
+
+
+def build_session(
+    app: str = "paceforge", master: str | None = None, input_bytes: int | None = None, **extra: str
+) -> SparkSession:
+    """Session with the settings above; ``input_bytes`` sizes the shuffles of a large job."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
+    if input_bytes is not None:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions(input_bytes)))
     for key, value in {**RECOMMENDED, **extra}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()

@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 from datetime import datetime, timezone
 
+from pyspark.errors import AnalysisException, IllegalArgumentException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,7 +35,11 @@ def _now() -> datetime:
 
 
 def process_file(spark: SparkSession, path: str, out: str, policy: SplitPolicy = DEFAULT_POLICY) -> tuple:
-    """Run one file through the flow; errors become a log row instead of stopping the stream."""
+    """Run one file through the flow.
+
+    What is wrong with the file becomes a log row. Failed Spark jobs are not caught: the batch
+    fails and is replayed, so a lost executor cannot turn a good file into an error.
+    """
     started, name = _now(), upload_id(path)
     counts: dict[str, int] = {}
     status, message = "success", None
@@ -43,7 +48,7 @@ def process_file(spark: SparkSession, path: str, out: str, policy: SplitPolicy =
             raise ValueError("file must be a CSV")
         raw = activities.read_activities(spark, path)
         counts = flow.write_stages(raw, f"{out}/{name}", policy=policy)
-    except Exception as error:  # noqa: BLE001 - the status row reports it
+    except (ValueError, AnalysisException, IllegalArgumentException) as error:
         status, message = "error", str(error).splitlines()[0][:500]
     ended = _now()
     return (

@@ -8,6 +8,7 @@ from helpers import plan
 from paceforge import testbed
 from paceforge.operators import cleaning, scoring, selection, skew, timeline
 from paceforge.plans import flow, querybook
+from paceforge.session import shuffle_partitions
 
 querybook.load()
 
@@ -52,7 +53,7 @@ def test_undated_rows_are_spread(spark):
 
 
 def test_no_cross_joins_and_no_python_rows(spark, sf):
-    slow = {"gbt_predictions", "score_runs", "param_search", "cv_search", "gain_importance", "shap_attributions", "ingest_status_log"}
+    slow = {"gbt_predictions", "score_runs", "param_search", "cv_search", "gain_importance", "shap_attributions", "shap_additivity", "ingest_status_log"}
     for name, fn in querybook.QUERIES.items():
         if name in slow:
             continue
@@ -88,3 +89,7 @@ def test_numbered_features_move_rows_once(spark, sf):
     # one exchange of rows and one of ids per part (dated, undated), none between join and window
     assert "Exchange hashpartitioning(runner_id" in first
     assert "_shard#" not in "".join(re.findall(r"Exchange hashpartitioning\([^)]*\)", text))
+
+
+def test_shuffle_partitions_follow_the_input():
+    assert shuffle_partitions(10**9) == 200 and shuffle_partitions(100 * 10**12) > 100_000
