@@ -22,6 +22,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.ml import PipelineModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -104,11 +105,18 @@ def attribute(x: np.ndarray, paths: Sequence[Path]) -> np.ndarray:
 
 
 def attributions(
-    model: PipelineModel, rows: DataFrame, features: Sequence[str], keep: Sequence[str] = ("activity_id",)
+    model: PipelineModel,
+    rows: DataFrame,
+    features: Sequence[str],
+    keep: Sequence[str] = ("activity_id",),
+    paths: Sequence[Path] | None = None,
 ) -> DataFrame:
-    """Long table (kept columns, feature, value, shap) for every row and feature."""
+    """Long table (kept columns, feature, value, shap) for every row and feature.
+
+    ``paths`` may hold the :func:`leaf_paths` of the model.
+    """
     spark = rows.sparkSession
-    shared = spark.sparkContext.broadcast(leaf_paths(model, spark))
+    shared = spark.sparkContext.broadcast(leaf_paths(model, spark) if paths is None else list(paths))
 
     @F.pandas_udf("array<double>")
     def explain(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -117,8 +125,6 @@ def attributions(
             x = np.stack(batch.to_numpy()) if len(batch) else np.empty((0, len(features)))
             yield pd.Series(list(attribute(x, paths)))
 
-    from pyspark.ml.functions import vector_to_array
-
     inputs = PipelineModel(stages=model.stages[:-1]).transform(rows)
     x = inputs.select(*map(q, keep), vector_to_array("features").alias("_x"))
     explained = x.withColumn("_shap", explain("_x"))

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from paceforge import schema
 from paceforge.functions import pace
-from paceforge.operators import numbering, skew
+from paceforge.operators import numbering
 from paceforge.session import stage
 
 # --- fixed values: bounds of the row rules (both ends excluded) ---
@@ -136,13 +136,17 @@ def default_runner(df: DataFrame) -> DataFrame:
 
 
 def runner_table(df: DataFrame, ordinal: str = "activity_id") -> DataFrame:
-    """One row per runner: activities with a date (``_n``) and first position (``_first``).
+    """One row per runner: activities with a date (``_n``), without a date or runner (``_rest``) and
+    the first position (``_first``).
 
-    Written once; it tells oversized runners and numbers all runners, with one pass over two or
-    three columns of the input.
+    Written once; it tells oversized runners, numbers all runners and shows whether any row lacks
+    a history, with one pass over two or three columns of the input.
     """
-    first = F.min(ordinal).alias("_first")
-    return stage(skew.entity_sizes(df, "runner_id", "date", first), "runners")
+    dated = F.col("date").isNotNull() & F.col("runner_id").isNotNull()
+    table = df.groupBy("runner_id").agg(
+        F.count_if(dated).alias("_n"), F.count_if(~dated).alias("_rest"), F.min(ordinal).alias("_first")
+    )
+    return stage(table, "runners")
 
 
 DENSE = "_dense"
@@ -154,7 +158,8 @@ def add_dense_ids(df: DataFrame, runners: DataFrame) -> DataFrame:
     Only the distinct runners are numbered. The join is left to the size-checked choice of the
     engine: a small runner table is broadcast, a large one is joined by key.
     """
-    numbered = numbering.number_rows(runners.select("runner_id", "_first"), "_first", "runner_id", "_n")
+    named = runners.filter("runner_id IS NOT NULL").select("runner_id", "_first")
+    numbered = numbering.number_rows(named, "_first", "runner_id", "_n")
     text = F.col("_n").cast("string")
     # lpad cuts text that is already longer, so it only applies to one-digit numbers
     label = F.when(F.length(text) < 2, F.lpad(text, 2, "0")).otherwise(text)
@@ -169,7 +174,7 @@ def use_dense_ids(df: DataFrame) -> DataFrame:
 
 def dense_runner_ids(df: DataFrame, ordinal: str = "activity_id") -> DataFrame:
     """Replace runner ids by ``01, 02, ...`` in order of first appearance along ``ordinal``."""
-    first = df.filter("runner_id IS NOT NULL").groupBy("runner_id").agg(F.min(ordinal).alias("_first"))
+    first = df.groupBy("runner_id").agg(F.min(ordinal).alias("_first"))
     order = df.columns
     out = use_dense_ids(add_dense_ids(df, stage(first, "runners")))
     return out.select(*map(schema.q, order))

@@ -63,10 +63,10 @@ class Parts:
     oversized_rows: int = 0
 
 
-def entity_sizes(df: DataFrame, entity: str, time: str, *more: Column) -> DataFrame:
-    """Rows with a date per entity as ``_n``, with further aggregates; combined before the shuffle."""
-    dated = F.count_if(F.col(time).isNotNull())
-    return df.filter(F.col(entity).isNotNull()).groupBy(entity).agg(dated.alias("_n"), *more)
+def entity_sizes(df: DataFrame, entity: str, time: str) -> DataFrame:
+    """Rows with a date per entity as ``_n``; combined before the shuffle."""
+    dated = F.col(entity).isNotNull() & F.col(time).isNotNull()
+    return df.filter(dated).groupBy(entity).agg(F.count(F.lit(1)).alias("_n"))
 
 
 def split_oversized(
@@ -85,7 +85,9 @@ def split_oversized(
         return Parts(df, None)
     dated = F.col(entity).isNotNull() & F.col(time).isNotNull()
     sizes = entity_sizes(df, entity, time) if sizes is None else sizes
-    large = sizes.select(entity, "_n").filter(F.col("_n") > policy.max_rows)
+    large = sizes.select(entity, "_n").filter(
+        F.col(entity).isNotNull() & (F.col("_n") > policy.max_rows)
+    )
     # One bounded job decides: the largest entities, at most listed + 1 rows.
     found = large.orderBy(F.desc("_n")).take(policy.listed + 1)
     if not found:

@@ -23,6 +23,7 @@ from paceforge.schema import q
 DEFAULT_PARAMS: dict[str, object] = {
     "maxIter": 100, "maxDepth": 5, "stepSize": 0.05, "subsamplingRate": 0.8,
     "featureSubsetStrategy": "0.8", "minInstancesPerNode": 1, "minInfoGain": 0.0, "seed": 42,
+    "validationTol": 0.0,
 }
 
 # --- fixed values: search ranges (low, high); learning rate is drawn on a log scale ---
@@ -85,6 +86,7 @@ def fit_model(
 ) -> PipelineModel:
     """Boosted trees on the training rows, stopped early on the validation rows.
 
+    Boosting stops as soon as a round makes the validation error worse (``validationTol`` 0).
     Without early stopping the model is fitted on both parts for the full number of rounds.
     """
     inputs = fit_inputs(prepared.filter("split = 'train'"), features)

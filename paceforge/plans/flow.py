@@ -89,12 +89,15 @@ def _numbered(df: DataFrame, lags: int, policy: SplitPolicy, ordinal: str) -> Da
     """
     runners = cleaning.runner_table(df, ordinal)
     dated = F.col("date").isNotNull() & F.col("runner_id").isNotNull()
-    parts = [(df.filter(dated), policy), (df.filter(~dated), replace(policy, max_rows=None))]
-    done = [
-        render_paces(features(cleaning.add_dense_ids(rows, runners), lags, part, ordinal, runners))
-        for rows, part in parts
-    ]
-    return cleaning.use_dense_ids(done[0].unionByName(done[1]))
+
+    def numbered(rows: DataFrame, part: SplitPolicy) -> DataFrame:
+        named = cleaning.add_dense_ids(rows, runners)
+        return render_paces(features(named, lags, part, ordinal, runners))
+
+    out = numbered(df.filter(dated), policy)
+    if runners.agg(F.sum("_rest")).first()[0]:
+        out = out.unionByName(numbered(df.filter(~dated), replace(policy, max_rows=None)))
+    return cleaning.use_dense_ids(out)
 
 
 def feature_stage(

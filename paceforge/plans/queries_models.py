@@ -252,8 +252,9 @@ def shap_additivity(spark, sf):
     """Expected value plus attributions gives the prediction, for every run."""
     rows, features = _prepared(spark, sf)
     model = training.fit_model(rows, features, QUICK)
-    base = attribution.expected_value(attribution.leaf_paths(model, spark))
-    sums = attribution.attributions(model, rows, features).groupBy("activity_id").agg(F.sum("shap").alias("s"))
+    paths = attribution.leaf_paths(model, spark)
+    base = attribution.expected_value(paths)
+    sums = attribution.attributions(model, rows, features, paths=paths).groupBy("activity_id").agg(F.sum("shap").alias("s"))
     both = model.transform(rows).select("activity_id", "prediction").join(sums, "activity_id", "left")
     close = F.abs(F.col("s") + F.lit(base) - F.col("prediction")) < 1e-6
     return both.agg(F.count(F.lit(1)).alias("runs"), F.count_if(close).alias("additive_runs"))
