@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -53,13 +54,15 @@ def build_session(
 def staging_root(spark: SparkSession) -> str:
     """Folder all executors can reach: ``spark.checkpoint.dir`` of the session.
 
-    Where it is unset a temporary folder is only acceptable in local mode, as in tests.
+    A folder set with ``sparkContext.setCheckpointDir`` counts as well. Where neither is set a
+    temporary folder is only acceptable in local mode, as in tests.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    configured = configured or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    context = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    configured = configured or context.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
+    if re.fullmatch(r"local(\[.*\])?", context.master):
         folder = tempfile.mkdtemp(prefix="paceforge-")
         spark.conf.set("spark.checkpoint.dir", folder)
         return folder
@@ -79,3 +82,16 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     path = staging_path(df.sparkSession, label)
     df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the staged table that ``df`` reads, once nothing needs it any more.
+
+    Only folders below the staging folder are touched.
+    """
+    spark = df.sparkSession
+    root = f"{staging_root(spark)}/paceforge/"
+    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        if root.split(":", 1)[-1].lstrip("/") in path:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
