@@ -2,35 +2,37 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 4096
+from paceforge.schema import q
+from paceforge.session import stage
 
 
-def number_rows(df: DataFrame, by: str, tie: str, name: str, buckets: int = BUCKETS) -> DataFrame:
-    """Add ``name`` = 1..n in the order of the numeric column ``by``, ``tie`` breaking ties.
+def number_sorted(df: DataFrame, by: Sequence[str], name: str, label: str = "numbered") -> DataFrame:
+    """Add ``name`` = 1..n in the order of ``by``, any sortable columns.
 
-    The value range of ``by`` is cut into equal buckets. Each bucket numbers its own rows and adds
-    the number of rows in the buckets before it, a table of at most ``buckets`` rows.
+    Rows are range-partitioned by the sort columns and written once, which pins the partitions. Each
+    partition numbers its own rows and adds the rows of the partitions before it, one count per
+    partition. Boundaries follow the data, so keys crowded into a narrow range still spread. Rows equal
+    in all of ``by`` stay together; end with a unique column where many may be equal.
     """
-    low, high = df.agg(F.min(by), F.max(by)).first()
-    if low is None:
-        return df.withColumn(name, F.lit(None).cast("bigint"))
-    width = max((high - low) / buckets, 1e-9)
-    bucketed = df.withColumn(
-        "_bucket", F.least(F.floor((F.col(by) - F.lit(low)) / F.lit(width)), F.lit(buckets - 1)).cast("int")
-    )
-    ordered = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        bucketed.groupBy("_bucket")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select("_bucket", F.coalesce(F.sum("_n").over(ordered), F.lit(0)).alias("_before"))
-    )
-    within = F.row_number().over(Window.partitionBy("_bucket").orderBy(by, tie))
+    order = [F.col(q(c)).asc_nulls_last() for c in by]
+    pinned = stage(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), label)
+    counts = pinned.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
     return (
-        bucketed.withColumn("_pos", within)
-        .join(F.broadcast(offsets), "_bucket")
+        pinned.withColumn("_pos", within)
+        .join(F.broadcast(offsets), "_part")  # one row per shuffle partition
         .withColumn(name, (F.col("_pos") + F.col("_before")).cast("bigint"))
-        .drop("_bucket", "_pos", "_before")
+        .drop("_part", "_pos", "_before")
     )
+
+
+def number_rows(df: DataFrame, by: str, tie: str, name: str) -> DataFrame:
+    """Add ``name`` = 1..n in the order of ``by``, ``tie`` breaking ties."""
+    return number_sorted(df, [by, tie], name)

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from paceforge.operators import numbering, quantiles
 
@@ -30,10 +31,28 @@ def test_extreme_range(spark):
     assert quantiles.exact_medians(df, ["a"], gather_limit=1, buckets=4) == {"a": 2.0}
 
 
-@pytest.mark.parametrize("buckets", [1, 7, 4096])
-def test_numbering(spark, buckets):
+def test_numbering(spark):
     rows = [(int(v), f"t{i:03d}") for i, v in enumerate(np.random.default_rng(1).integers(0, 60, 300))]
     df = spark.createDataFrame(rows, "v long, t string").repartition(5)
-    out = numbering.number_rows(df, "v", "t", "n", buckets=buckets).orderBy("n").collect()
+    out = numbering.number_rows(df, "v", "t", "n").orderBy("n").collect()
     assert [r["n"] for r in out] == list(range(1, 301))
     assert [(r["v"], r["t"]) for r in out] == sorted(rows)
+
+
+def test_numbering_spreads_crowded_keys(spark):
+    """99 in 100 keys in the first thousandth of the range: partitions stay within a few times the mean."""
+    df = spark.range(20_000).selectExpr("if(id % 100 = 0, id * 1000000, id) AS v", "cast(id AS string) AS t")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        pinned = numbering.number_rows(df, "v", "t", "n")
+        parts = pinned.withColumn("p", F.input_file_name()).groupBy("p").count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(parts) >= 6 and max(r["count"] for r in parts) < 3 * 20_000 / len(parts)
+    assert pinned.agg(F.min("n"), F.max("n"), F.countDistinct("n")).first()[:] == (1, 20_000, 20_000)
+
+
+def test_numbering_takes_text_keys(spark):
+    df = spark.createDataFrame([("b",), ("a",), (None,), ("c",)], "k string")
+    got = {r["k"]: r["n"] for r in numbering.number_sorted(df, ["k"], "n").collect()}
+    assert got == {"a": 1, "b": 2, "c": 3, None: 4}
