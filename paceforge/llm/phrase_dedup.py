@@ -5,14 +5,14 @@ A window is ``window`` consecutive words. Each window is represented by its anch
 alone. Equal windows therefore share an anchor, and about one phrase in ``(window - phrase) / 2`` is
 an anchor, so phrases can be counted without listing every window.
 
-1. Count in how many different texts each anchor phrase occurs; keep the recurring ones.
+1. Count how often each anchor phrase occurs; keep those of more than one document.
 2. Cut the stretch of windows around every recurring anchor out of its text and send it to the shard
    of the anchor.
 3. In a shard, confirm the windows that start in two documents, join consecutive ones into passages,
    compile the passages into one Aho-Corasick automaton over word numbers, and stream all stretches of
    the shard through it. A passage found in a document later than the owners of its windows covers
    words to remove. The automaton compares words, so hashes only propose.
-4. Anchors in more than ``heavy`` texts would make a shard grow with the corpus. Their windows are
+4. Anchors at more than ``heavy`` places would make a shard grow with the corpus. Their windows are
    counted one by one instead, with sums combined before the shuffle and a join Spark can split.
 
 Equal texts are handled once: the smallest doc_id stands for all, the others repeat it as a whole.
@@ -21,6 +21,7 @@ Equal texts are handled once: the smallest doc_id stands for all, the others rep
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from itertools import pairwise
 
 import ahocorasick
@@ -75,7 +76,7 @@ def _profile(window: int, phrase: int):
             grams, at = _anchored(words, hashes, window, phrase)
             n_words.append(len(words))
             sha.append(hashlib.sha256(b" ".join(words)).hexdigest())
-            anchors.append(np.unique(grams[np.unique(at)]).view(np.int64))
+            anchors.append(grams[np.unique(at)].view(np.int64))
         return {
             "doc_id": batch.column("doc_id"),
             "t": batch.column("t"),
@@ -89,12 +90,13 @@ def _profile(window: int, phrase: int):
 
 
 def _stretches(window: int, phrase: int):
-    """Stretches of windows that share an anchor of the row's list ``light``."""
+    """Stretches of windows that share an anchor of the row's list ``light``; equal ones of a text once."""
     hashes = WordHashes()
+    schema = pa.schema([("h", pa.int64()), ("ord", pa.int64()), ("t", pa.string()), ("first", pa.list_(pa.int32())), ("words", pa.binary())])
 
     def run(batches: Tables) -> Tables:
         for batch in batches:
-            out: dict[str, list] = {c: [] for c in ("h", "ord", "t", "first", "words")}
+            out: dict[str, list] = {c: [] for c in schema.names}
             for text, own, order, t in zip(*(batch.column(c).to_pylist() for c in ("body", "light", "ord", "t")), strict=True):
                 words = words_of(text)
                 grams, at = _anchored(words, hashes, window, phrase)
@@ -102,13 +104,13 @@ def _stretches(window: int, phrase: int):
                 ends = np.append(starts[1:], len(at))
                 keys = grams[at[starts]].view(np.int64) if len(at) else at
                 wanted = np.isin(keys, np.array(own, np.int64))
+                places: dict[tuple[int, bytes], list[int]] = {}
                 for key, s, e in zip(keys[wanted].tolist(), starts[wanted].tolist(), ends[wanted].tolist(), strict=True):
-                    out["h"].append(key)
-                    out["ord"].append(order)
-                    out["t"].append(t)
-                    out["first"].append(s)
-                    out["words"].append(b" ".join(words[s : e - 1 + window]))
-            yield pa.RecordBatch.from_pydict(out | {"first": pa.array(out["first"], pa.int32()), "h": pa.array(out["h"], pa.int64()), "ord": pa.array(out["ord"], pa.int64()), "t": pa.array(out["t"], pa.string()), "words": pa.array(out["words"], pa.binary())})
+                    places.setdefault((key, b" ".join(words[s : e - 1 + window])), []).append(s)
+                for (key, stretch), firsts in places.items():
+                    for c, value in zip(schema.names, (key, order, t, firsts, stretch), strict=True):
+                        out[c].append(value)
+            yield pa.RecordBatch.from_pydict(out, schema=schema)
 
     return run
 
@@ -137,42 +139,80 @@ def _windows(window: int, phrase: int):
     return run
 
 
+def _passages(sequences: list[list[bytes]], lists: list[np.ndarray], least: list[int], most: list[int], window: int):
+    """Confirmed passages of a shard as word numbers, each with the largest of its windows' owners.
+
+    ``lists`` holds the window hashes of each distinct sequence, ``least`` and ``most`` the smallest and
+    largest document that has the sequence. A document loses the windows whose owner is smaller, so the
+    runs to remove change only where its order passes an owner; each such level gives its passages.
+    """
+    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+    every, holder = np.concatenate(lists), np.repeat(np.array(least, np.int64), sizes)
+    by = np.lexsort((holder, every))
+    fresh = np.concatenate(([True], every[by][1:] != every[by][:-1]))
+    owner = np.empty(len(every), np.int64)
+    owner[by] = holder[by][np.flatnonzero(fresh)[np.cumsum(fresh) - 1]]
+    number: dict[bytes, int] = {}
+    passages: dict[tuple[int, ...], int] = {}
+    for i, (a, b) in enumerate(pairwise(np.concatenate(([0], np.cumsum(sizes))).tolist())):
+        owners = owner[a:b]
+        for level in np.unique(owners[owners < most[i]]).tolist():
+            for s, e in _runs(owners <= level):
+                key = tuple(number.setdefault(x, len(number) + 1) for x in sequences[i][s : e - 1 + window])
+                known = int(owners[s:e].max())
+                passages[key] = min(known, passages.get(key, known))
+    return number, passages
+
+
+def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Half-open spans without overlaps, in order."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(spans):
+        if out and s <= out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
+
+
 def _locate(window: int):
-    """Passages confirmed in a shard, and every place where a later document holds one."""
+    """Passages confirmed in a shard, and every place where a later document holds one.
+
+    Near copies send the same words over and over, so each distinct sequence is streamed once and its
+    matches serve all documents that hold it.
+    """
 
     def run(table: pa.Table) -> pa.Table:
-        order, first = table.column("ord").to_numpy(), table.column("first").to_numpy()
-        texts = [x.split() for x in table.column("words").to_pylist()]
+        order = table.column("ord").to_pylist()
+        rows: dict[bytes, list[int]] = {}
+        for i, words in enumerate(table.column("words").to_pylist()):
+            rows.setdefault(words, []).append(i)
+        sequences = [words.split() for words in rows]
         hashes = WordHashes(most=1 << 62)
-        grams = [ngram_hashes(hashes.of(x), window) for x in texts]
-        sizes = np.fromiter(map(len, grams), np.int64, len(grams))
-        row = np.repeat(np.arange(len(grams)), sizes)
-        every, owner = np.concatenate(grams), order[row]
-        by = np.lexsort((owner, every))
-        fresh = np.concatenate(([True], every[by][1:] != every[by][:-1]))
-        smallest = np.empty(len(every), np.int64)
-        smallest[by] = owner[by][np.flatnonzero(fresh)[np.cumsum(fresh) - 1]]
-        later = owner > smallest
-        number: dict[bytes, int] = {}
-        passages: dict[tuple[int, ...], int] = {}
-        for i, (a, b) in enumerate(pairwise(np.concatenate(([0], np.cumsum(sizes))).tolist())):
-            for s, e in _runs(later[a:b]):
-                key = tuple(number.setdefault(x, len(number) + 1) for x in texts[i][s : e - 1 + window])
-                known = int(smallest[a + s : a + e].max())
-                passages[key] = min(known, passages.get(key, known))
+        lists = [ngram_hashes(hashes.of(x), window) for x in sequences]
+        held = [[order[i] for i in own] for own in rows.values()]
+        number, passages = _passages(sequences, lists, [min(x) for x in held], [max(x) for x in held], window)
         found: dict[str, list] = {"t": [], "first": [], "after": []}
         if passages:
             machine = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
             for key, known in passages.items():
                 machine.add_word(key, (len(key), known))
             machine.make_automaton()
-            names = table.column("t").to_pylist()
-            for i, words in enumerate(texts):
+            names, firsts = table.column("t").to_pylist(), table.column("first").to_pylist()
+            for words, own in zip(sequences, rows.values(), strict=True):
+                spans: dict[int, set[tuple[int, int]]] = {}
                 for end, (length, known) in machine.iter(tuple(number.get(x, 0) for x in words)):
-                    if order[i] > known:
-                        found["t"].append(names[i])
-                        found["first"].append(int(first[i]) + end - length + 1)
-                        found["after"].append(int(first[i]) + end + 1)
+                    spans.setdefault(known, set()).add((end - length + 1, end + 1))
+                levels, covers, so_far = sorted(spans), [], []
+                for known in levels:
+                    so_far = _joined([*so_far, *spans[known]])
+                    covers.append(so_far)
+                for i in own:
+                    rank = bisect_left(levels, order[i])
+                    for s, e in covers[rank - 1] if rank else ():
+                        found["t"] += [names[i]] * len(firsts[i])
+                        found["first"] += [at + s for at in firsts[i]]
+                        found["after"] += [at + e for at in firsts[i]]
         return pa.table(
             {
                 "t": pa.array(found["t"], pa.string()),
@@ -213,7 +253,7 @@ def remove_repeated_phrases(
     words. Texts shorter than the window keep all words. Other columns are ignored; an empty table gives
     no rows.
 
-    heavy: anchors in more texts than this are counted window by window. shard_rows: stretches per
+    heavy: anchors at more places than this are counted window by window. shard_rows: stretches per
     automaton, so an automaton holds at most about ``80 * shard_rows`` words.
     """
     spark = docs.sparkSession
@@ -232,10 +272,14 @@ def remove_repeated_phrases(
         profile.groupBy("t").agg(F.min("ord").alias("ord"), F.first("anchors").alias("anchors")),
         "phrase-texts",
     )
-    places = texts.select("t", "ord", F.explode("anchors").alias("h"))
+    counted = texts.select("ord", F.explode("anchors").alias("h")).groupBy("h")
     recurring = stage(
-        places.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "phrase-recurring"
+        counted.agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("least"), F.max("ord").alias("most"))
+        .filter("least < most")
+        .select("h", "n"),
+        "phrase-recurring",
     )
+    places = texts.select("t", "ord", F.explode(F.array_distinct("anchors")).alias("h"))
     light = recurring.agg(F.sum(F.when(F.col("n") <= heavy, F.col("n")))).first()[0] or 0
     wanted = (
         places.join(recurring, "h")
@@ -250,7 +294,7 @@ def remove_repeated_phrases(
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shards = max(2 * parts, -(-light // shard_rows))
     stretches = repeats.filter("size(light) > 0").mapInArrow(
-        _stretches(window, phrase), "h long, ord long, t string, first int, words binary"
+        _stretches(window, phrase), "h long, ord long, t string, first array<int>, words binary"
     )
     located = (
         stretches.withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)))
@@ -265,12 +309,12 @@ def remove_repeated_phrases(
         single.groupBy("w").agg(F.min("ord").alias("least"), F.max("ord").alias("most")).filter("least < most").select("w", "least"),
         "phrase-owners",
     )
-    counted = (
+    listed = (
         single.join(owners, "w")
         .filter("ord > least")
         .select("t", "first", (F.col("first") + window).alias("after"))
     )
-    covers = located.union(counted).groupBy("t").agg(F.collect_list(F.struct("first", "after")).alias("covers"))
+    covers = located.union(listed).groupBy("t").agg(F.collect_list(F.struct("first", "after")).alias("covers"))
     cut = by_batch(
         repeats.select("t", "body").join(covers, "t"), _cut, "t string, n_cut long, cut_sha string"
     ).groupBy("t").agg(F.first("n_cut").alias("n_cut"), F.first("cut_sha").alias("cut_sha"))

@@ -43,6 +43,22 @@ def test_phrases_of_other_lengths(spark):
     assert sorted((LAST if r[0] is None else r[0], *r[1:]) for r in got) == plain_phrases(table, 12)
 
 
+@pytest.mark.parametrize("heavy", [2_000, 40])
+def test_phrases_of_near_copies_and_repeated_lines(spark, heavy):
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in rng.integers(0, 60, 90)]
+    table = []
+    for d in rng.permutation(60).tolist():
+        words = list(base)
+        for at in rng.integers(0, 90, rng.integers(0, 4)).tolist():
+            words[at] = f"x{rng.integers(0, 5)}"
+        table.append((d, " ".join(words[: rng.integers(10, 91)] * int(rng.integers(1, 4)))))
+    table += [(d, "one line said again\n" * n) for d, n in ((70, 40), (71, 9), (3, 25), (72, 40), (72, 12))]
+    docs = spark.createDataFrame(table, "doc_id long, text string")
+    got = phrase_dedup.remove_repeated_phrases(docs, window=12, phrase=5, heavy=heavy, shard_rows=50).collect()
+    assert sorted(map(tuple, got)) == plain_phrases([(d, t.encode().split()) for d, t in table], 12)
+
+
 def test_anchor_depends_on_the_window_alone():
     grams = np.random.default_rng(2).integers(0, 9, 200).astype(np.uint64)
     at = phrase_dedup.anchor_positions(grams, 7)
