@@ -12,8 +12,9 @@ an anchor, so phrases can be counted without listing every window.
    compile the passages into one Aho-Corasick automaton over word numbers, and stream all stretches of
    the shard through it. A passage found in a document later than the owners of its windows covers
    words to remove. The automaton compares words, so hashes only propose.
-4. Anchors at more than ``heavy`` places would make a shard grow with the corpus. Their windows are
-   counted one by one instead, with sums combined before the shuffle and a join Spark can split.
+4. Anchors at more than ``heavy`` places would make a shard grow with the corpus. Equal
+   stretches of theirs are combined before the shuffle, the windows of what remains are counted one by
+   one, and a join Spark can split hands the owners back to every text.
 
 Equal texts are handled once: the smallest doc_id stands for all, the others repeat it as a whole.
 """
@@ -27,6 +28,7 @@ from itertools import pairwise
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -115,26 +117,29 @@ def _stretches(window: int, phrase: int):
     return run
 
 
-def _windows(window: int, phrase: int):
-    """Single windows whose anchor is in the row's list ``hot``."""
+def _hot_stretches(window: int, phrase: int):
+    """Stretches whose anchor is in the row's list ``hot``, as hashes of their windows."""
     hashes = WordHashes()
+    schema = pa.schema([("s", pa.string()), ("w", pa.list_(pa.int64())), ("ord", pa.int64()), ("t", pa.string()), ("first", pa.list_(pa.int32()))])
 
     def run(batches: Tables) -> Tables:
         for batch in batches:
+            out: dict[str, list] = {c: [] for c in schema.names}
             for text, own, order, t in zip(*(batch.column(c).to_pylist() for c in ("body", "hot", "ord", "t")), strict=True):
                 words = words_of(text)
                 grams, at = _anchored(words, hashes, window, phrase)
-                first = np.flatnonzero(np.isin(grams[at].view(np.int64), np.array(own, np.int64)))
-                whole = ngram_hashes(hashes.of(words), window)[first]
-                n = len(first)
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "w": whole.view(np.int64),
-                        "ord": np.full(n, order, np.int64),
-                        "t": pa.array([t] * n, pa.string()),
-                        "first": first.astype(np.int32),
-                    }
-                )
+                whole = ngram_hashes(hashes.of(words), window).view(np.int64)
+                starts = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+                ends = np.append(starts[1:], len(at))
+                wanted = np.isin(grams[at[starts]].view(np.int64), np.array(own, np.int64))
+                places: dict[bytes, list[int]] = {}
+                for s, e in zip(starts[wanted].tolist(), ends[wanted].tolist(), strict=True):
+                    places.setdefault(whole[s:e].tobytes(), []).append(s)
+                for listed, firsts in places.items():
+                    row = (xxhash.xxh3_128_hexdigest(listed), np.frombuffer(listed, np.int64), order, t, firsts)
+                    for c, value in zip(schema.names, row, strict=True):
+                        out[c].append(value)
+            yield pa.RecordBatch.from_pydict(out, schema=schema)
 
     return run
 
@@ -301,27 +306,40 @@ def remove_repeated_phrases(
         .groupBy("shard")
         .applyInArrow(_locate(window), _COVER)
     )
-    single = stage(
-        repeats.filter("size(hot) > 0").mapInArrow(_windows(window, phrase), "w long, ord long, t string, first int"),
-        "phrase-windows",
+    hot = stage(
+        repeats.filter("size(hot) > 0").mapInArrow(
+            _hot_stretches(window, phrase), "s string, w array<long>, ord long, t string, first array<int>"
+        ),
+        "phrase-hot",
     )
+    kinds = hot.groupBy("s", "w").agg(F.min("ord").alias("least"), F.max("ord").alias("most"))
+    single = stage(kinds.select("s", "least", "most", F.posexplode("w").alias("at", "w")), "phrase-windows")
     owners = stage(
-        single.groupBy("w").agg(F.min("ord").alias("least"), F.max("ord").alias("most")).filter("least < most").select("w", "least"),
+        single.groupBy("w").agg(F.min("least").alias("owner"), F.max("most").alias("most")).filter("owner < most").select("w", "owner"),
         "phrase-owners",
     )
-    listed = (
-        single.join(owners, "w")
-        .filter("ord > least")
-        .select("t", "first", (F.col("first") + window).alias("after"))
+    marks = single.join(owners, "w").groupBy("s").agg(F.collect_list(F.struct("at", "owner")).alias("marks"))
+    here = F.filter("marks", lambda m: m["owner"] < F.col("ord"))
+    listed = hot.join(marks, "s").select(
+        "t",
+        F.flatten(
+            F.transform(
+                "first",
+                lambda f: F.transform(
+                    here, lambda m: F.struct((f + m["at"]).alias("first"), (f + m["at"] + window).alias("after"))
+                ),
+            )
+        ).alias("spans"),
     )
-    covers = located.union(listed).groupBy("t").agg(F.collect_list(F.struct("first", "after")).alias("covers"))
+    spans = located.select("t", F.array(F.struct("first", "after")).alias("spans")).union(listed)
+    covers = spans.groupBy("t").agg(F.flatten(F.collect_list("spans")).alias("covers"))
     cut = by_batch(
         repeats.select("t", "body").join(covers, "t"), _cut, "t string, n_cut long, cut_sha string"
     ).groupBy("t").agg(F.first("n_cut").alias("n_cut"), F.first("cut_sha").alias("cut_sha"))
     verdict = stage(
         texts.select("t", F.col("ord").alias("least")).join(cut, "t", "left"), "phrase-verdict"
     )
-    for done in (single, owners, recurring):
+    for done in (hot, single, owners, recurring):
         discard(done)
     copy = (F.col("ord") > F.col("least")) & (F.col("n_words") >= window)
     nothing = hashlib.sha256(b"").hexdigest()
