@@ -53,7 +53,7 @@ def parse_signed(c: Column) -> Column:
     """As :func:`parse`, but a leading ``-`` applies to the whole value."""
     text = c.cast("string")
     negative = text.startswith("-")
-    body = F.when(negative, F.substring(text, 2, 1_000_000)).otherwise(text)
+    body = F.when(negative, F.substring(text, F.lit(2), F.length(text))).otherwise(text)
     return F.when(negative, -_split_minutes(body)).otherwise(_split_minutes(body))
 
 

@@ -46,8 +46,8 @@ def select_relevant(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     return df.select(*[c for c in [*schema.CANONICAL_COLUMNS, *keep] if c in df.columns])
 
 
-def parse_dates(df: DataFrame, column: str = "date") -> DataFrame:
-    """Text to a zone-less timestamp; unreadable text becomes null."""
+def parse_dates(df: DataFrame, column: str = "date", strict: bool = False) -> DataFrame:
+    """Text to a zone-less timestamp; unreadable text becomes null, or an error if ``strict``."""
     if not isinstance(df.schema[column].dataType, T.StringType):
         return df.withColumn(column, F.col(column).cast("timestamp_ntz"))
     text = F.trim(F.col(column))
@@ -60,7 +60,11 @@ def parse_dates(df: DataFrame, column: str = "date") -> DataFrame:
     others = [
         F.try_to_timestamp(text, F.lit(layout)).cast("timestamp_ntz") for layout in layouts
     ]
-    return df.withColumn(column, F.coalesce(iso, *others))
+    found = F.coalesce(iso, *others)
+    if strict:
+        unreadable = F.raise_error(F.concat(F.lit("unreadable date: "), text)).cast("timestamp_ntz")
+        found = F.when(found.isNotNull() | text.isNull(), found).otherwise(unreadable)
+    return df.withColumn(column, found)
 
 
 def coerce_numeric(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

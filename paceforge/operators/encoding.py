@@ -24,21 +24,21 @@ def hash_split(df: DataFrame, key: str = "activity_id", train: int = 60, valid:
     return df.withColumn("split", name)
 
 
-def category_values(df: DataFrame, column: str, limit: int = 1_000) -> list[str]:
+def category_values(df: DataFrame, column: str, limit: int | None = None) -> list[str]:
     """Sorted distinct values of a categorical column.
 
-    Every value becomes a column, so a column with more than ``limit`` of them is refused rather
-    than cut.
+    Every value becomes a column of the plan. With a ``limit``, a column of more values is refused
+    rather than cut.
     """
     distinct = df.select(F.col(q(column)).cast("string").alias("v")).filter("v IS NOT NULL").distinct()
-    found = [r["v"] for r in distinct.limit(limit + 1).collect()]
-    if len(found) > limit:
+    found = [r["v"] for r in (distinct if limit is None else distinct.limit(limit + 1)).collect()]
+    if limit is not None and len(found) > limit:
         raise ValueError(f"{column} has more than {limit} categories; encode it numerically instead")
     return sorted(found)
 
 
 def one_hot_drop_first(
-    df: DataFrame, columns: Sequence[str], categories: Mapping[str, Sequence[str]] | None = None, limit: int = 1_000
+    df: DataFrame, columns: Sequence[str], categories: Mapping[str, Sequence[str]] | None = None, limit: int | None = None
 ) -> DataFrame:
     """0/1 columns ``<column>_<value>`` for all but the first sorted value; missing gives zeros."""
     known = dict(categories or {})

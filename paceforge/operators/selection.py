@@ -33,9 +33,13 @@ def latest_run_per_runner(
 
 
 def trailing_months(df: DataFrame, months: int = 3, date: str = "date") -> DataFrame:
-    """Rows from ``months`` before the last date on; month ends are clamped, time of day kept."""
-    cutoff = latest_date(df, date) - F.make_ym_interval(F.lit(0), F.lit(months))
-    return df.filter(F.col(q(date)) >= cutoff)
+    """Rows from ``months`` before the last date on; month ends are clamped, time of day kept.
+
+    A table without any date has no period to cut, so all its rows stay.
+    """
+    last = latest_date(df, date)
+    cutoff = last - F.make_ym_interval(F.lit(0), F.lit(months))
+    return df.filter((F.col(q(date)) >= cutoff) | last.isNull())
 
 
 def add_week_bins(df: DataFrame, date: str = "date") -> DataFrame:

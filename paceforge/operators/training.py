@@ -46,7 +46,7 @@ FULL_GRID: dict[str, list] = {
 # --- fixed values: the two configurations compared by default ---
 NAMED_CONFIGS: dict[str, dict[str, object]] = {
     "wide": {"stepSize": 0.05, "maxDepth": 5, "minInstancesPerNode": 1, "subsamplingRate": 0.8, "maxIter": 500},
-    "deep": {"stepSize": 0.01, "maxDepth": 7, "minInstancesPerNode": 3, "subsamplingRate": 0.7, "maxIter": 500},
+    "deep": {"stepSize": 0.01, "maxDepth": 7, "minInstancesPerNode": 3, "subsamplingRate": 0.7, "maxIter": 1000},
 }
 
 
@@ -157,18 +157,19 @@ def random_search(prepared: DataFrame, features: Sequence[str], trials: int = 50
     return compare(prepared, features, configs, "validation", parallelism)
 
 
-def cross_validate(prepared: DataFrame, features: Sequence[str], grid: Mapping[str, Sequence], folds: int = 3, parallelism: int = 2, limit: int = 64, **fixed: object) -> DataFrame:
+def cross_validate(prepared: DataFrame, features: Sequence[str], grid: Mapping[str, Sequence], folds: int = 3, parallelism: int = 2, limit: int | None = None, key: str = "activity_id", **fixed: object) -> DataFrame:
     """Mean fold MAE of every grid point over train and validation rows.
 
-    Folds follow the key hash, so they do not change with the partitioning. Grids above ``limit``
-    points are refused; raise the limit to run the full one.
+    Folds follow the hash of ``key``, so they do not change with the partitioning. Fill values are means
+    of the training rows, also in folds that hold validation rows. With a ``limit``, larger grids are
+    refused rather than cut.
     """
     size = math.prod(len(v) for v in grid.values())
-    if size > limit:
+    if limit is not None and size > limit:
         raise ValueError(f"grid has {size} points, limit is {limit}")
     rows = encoding.union_parts(prepared, "train", "validation")
     inputs = fit_inputs(prepared.filter("split = 'train'"), features)
-    fold = F.pmod(encoding.split_bucket("activity_id"), F.lit(folds)).cast("int")
+    fold = F.pmod(encoding.split_bucket(key), F.lit(folds)).cast("int")
     ready = inputs.transform(rows).select("label", "features", fold.alias("fold"))
     regressor = _regressor(fixed)
     builder = ParamGridBuilder()

@@ -6,6 +6,7 @@ from dataclasses import replace
 
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from paceforge import schema
 from paceforge.functions import calendar, pace
@@ -58,8 +59,9 @@ def features(
         windows.append(timeline.lag_columns(present(timeline.LAGS), lags))
     keys = timeline.Keys(tie=tie)
     df = timeline.add_history(
-        df, timeline.combine(*windows), max(1, lags), keys=keys, policy=policy, sizes=runners
+        _sortable(df, tie), timeline.combine(*windows), max(1, lags), keys=keys, policy=policy, sizes=runners
     )
+    df = _restored(df, tie)
     df = timeline.add_differences(df)
     d = F.col("date")
     return df.withColumns(
@@ -72,6 +74,22 @@ def features(
     )
 
 
+def _sortable(df: DataFrame, name: str) -> DataFrame:
+    """Text ids so that they sort as numbers (9 before 10), other text after all numbers."""
+    if not isinstance(df.schema[name].dataType, T.StringType):
+        return df
+    text = F.col(q(name))
+    size = F.lpad(F.length(text).cast("string"), 10, "0")
+    return df.withColumn(name, F.concat(F.when(text.rlike("^[0-9]+$"), size).otherwise("~" * 10), text))
+
+
+def _restored(out: DataFrame, name: str) -> DataFrame:
+    """Undo :func:`_sortable`."""
+    if not isinstance(out.schema[name].dataType, T.StringType):
+        return out
+    return out.withColumn(name, F.substring(q(name), F.lit(11), F.length(q(name))))
+
+
 def render_paces(df: DataFrame) -> DataFrame:
     """Text forms of the pace columns; ``pace_minutes`` stays for later stages."""
     if "pace_minutes" in df.columns:
@@ -87,6 +105,7 @@ def _numbered(df: DataFrame, lags: int, policy: SplitPolicy, ordinal: str) -> Da
     exchanged once, as the windows accept the partitioning of the join. Rows without a date or
     runner have no history; they go a separate way so that many of them cannot pile up on one key.
     """
+    df = _sortable(df, ordinal)
     runners = cleaning.runner_table(df, ordinal)
     dated = F.col("date").isNotNull() & F.col("runner_id").isNotNull()
 
@@ -97,7 +116,7 @@ def _numbered(df: DataFrame, lags: int, policy: SplitPolicy, ordinal: str) -> Da
     out = numbered(df.filter(dated), policy)
     if runners.agg(F.sum("_rest")).first()[0]:
         out = out.unionByName(numbered(df.filter(~dated), replace(policy, max_rows=None)))
-    return cleaning.use_dense_ids(out)
+    return _restored(cleaning.use_dense_ids(out), ordinal)
 
 
 def feature_stage(
@@ -105,7 +124,8 @@ def feature_stage(
 ) -> DataFrame:
     """Feature rows as stored: dense runner ids, pace text, grouped columns.
 
-    ``ordinal`` is a numeric column in export order: it numbers the runners and breaks ties.
+    ``ordinal`` is a column in export order: it numbers the runners and breaks ties. Text ids of digits
+    count as numbers.
     """
     out = _numbered(df, 0, policy, ordinal)
     return out.select(*map(q, schema.order_features(out.columns)))
@@ -131,11 +151,12 @@ def sequence_stage(
     if "average_cadence" in df.columns:
         df = df.withColumn("average_cadence", F.col("average_cadence") * 2)
     keys = timeline.Keys(tie=tie)
-    return timeline.sequences(df, window_size, include_targets, keys=keys, policy=policy)
+    out = timeline.sequences(_sortable(df, tie), window_size, include_targets, keys=keys, policy=policy)
+    return _restored(out, tie)
 
 
 def run(raw: DataFrame, lags: int = 4, policy: SplitPolicy = DEFAULT_POLICY) -> DataFrame:
-    """Raw export to training rows in one lazy plan."""
+    """Raw export to training rows; the runner table is written on the way, the rest is lazy."""
     return tabular(cleaning.clean(raw), lags, policy)
 
 

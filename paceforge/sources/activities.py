@@ -3,37 +3,48 @@
 from __future__ import annotations
 
 import csv
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paceforge import schema
 
 
-def read_header(spark: SparkSession, path: str) -> list[str]:
-    """Header names of a CSV file, repeated names numbered, the first kept as it is."""
-    first = spark.read.text(path).first()
-    if first is None:
-        raise ValueError(f"{path} is empty")
-    line = first["value"].lstrip("\ufeff")
-    return schema.unique_names(name.strip() for name in next(csv.reader([line])))
+def _headers(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """Files by their first line; the number of files is what Spark lists on the driver as well."""
+    lines = spark.read.option("recursiveFileLookup", True).text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.struct("_metadata.file_block_start", F.monotonically_increasing_id()).alias("place"),
+        "value",
+    )
+    first = lines.groupBy("file").agg(F.min_by("value", "place").alias("header"))
+    files: dict[str, list[str]] = {}
+    for row in first.orderBy("file").collect():
+        files.setdefault(row["header"].lstrip("\ufeff"), []).append(unquote(row["file"]))
+    return files
 
 
-def read_activities(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
-    """CSV export (a file, or a folder of files with one layout) as text columns.
+def read_activities(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+    """CSV export (a file, or a folder of files) as text columns.
 
-    The schema comes from the header line, so nothing is inferred from the data. ``multiline``
-    accepts line breaks inside quotes but makes a file one task.
+    The schema comes from the header lines, so nothing is inferred from the data. Files of a folder may
+    differ in their columns and in the order of these: files with equal headers are read together, the
+    groups are united by column name, and what a file lacks is null. ``multiline`` reads line breaks
+    inside quotes and makes a file one task; switch it off for large files without such breaks.
     """
-    names = read_header(spark, path)
-    fields = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    return (
-        spark.read.schema(fields)
-        .option("header", True)
-        .option("multiLine", multiline)
-        .option("escape", '"')
-        .csv(path)
-    )
+    parts = []
+    groups = _headers(spark, path)
+    for header, files in groups.items():
+        names = schema.unique_names(name.strip() for name in next(csv.reader([header])))
+        fields = T.StructType([T.StructField(n, T.StringType()) for n in names])
+        reader = spark.read.schema(fields).option("header", True).option("multiLine", multiline)
+        parts.append(reader.option("escape", '"').csv(files if len(groups) > 1 else path))
+    if not parts:
+        raise ValueError(f"{path} is empty")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:

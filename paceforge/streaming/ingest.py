@@ -27,7 +27,7 @@ LOG_SCHEMA = (
 
 def upload_id(path: str) -> str:
     """Stable folder name of an upload."""
-    return hashlib.sha1(path.encode()).hexdigest()[:16]
+    return hashlib.sha1(path.encode()).hexdigest()
 
 
 def _now() -> datetime:
@@ -49,7 +49,7 @@ def process_file(spark: SparkSession, path: str, out: str, policy: SplitPolicy =
         raw = activities.read_activities(spark, path)
         counts = flow.write_stages(raw, f"{out}/{name}", policy=policy)
     except (ValueError, AnalysisException, IllegalArgumentException) as error:
-        status, message = "error", str(error).splitlines()[0][:500]
+        status, message = "error", str(error)
     ended = _now()
     return (
         path, name, status, message, counts.get("raw"), counts.get("cleaned"), counts.get("tabular"),

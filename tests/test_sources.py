@@ -141,3 +141,34 @@ def test_rows_without_date_or_runner_are_kept(spark):
     assert [out[i]["runner_id"] for i in (1, 2, 3)] == ["01", "01", None]
     assert [out[i]["7d_run_count"] for i in (1, 2, 3)] == [1, None, None]
     assert out[2]["pace"] == "2'00\"" and out[2]["pace_previous"] == ""
+
+
+def test_folder_of_exports_with_other_column_orders_and_line_breaks(spark, tmp_path):
+    (tmp_path / "a b%1.csv").write_text('Activity ID,Description,Distance,Elapsed Time\n1,"two\nlines",5,300\n2,one,6,400\n')
+    (tmp_path / "b.csv").write_text("Activity ID,Elapsed Time,Distance,Notes\n3,500,7,x\n")
+    df = activities.read_activities(spark, str(tmp_path))
+    got = sorted(tuple(r) for r in df.select("Activity ID", "Distance", "Elapsed Time", "Notes").collect())
+    assert got == [("1", "5", "300", None), ("2", "6", "400", None), ("3", "7", "500", "x")]
+
+
+def test_months_of_a_table_without_dates(spark):
+    df = spark.createDataFrame([(1, None), (2, None)], "activity_id long, date timestamp_ntz")
+    assert selection.trailing_months(df, 3).count() == 2
+
+
+def test_unreadable_dates(spark):
+    df = spark.createDataFrame([("2024-01-02",), ("never",), (None,)], "date string")
+    assert cleaning.parse_dates(df).filter("date is null").count() == 2
+    with pytest.raises(Exception, match="unreadable date: never"):
+        cleaning.parse_dates(df, strict=True).collect()
+
+
+def test_raw_export_with_text_ids_runs_in_number_order(spark, tmp_path):
+    head = "Activity ID,Activity Date,Activity Type,Distance,Elapsed Time,Athlete ID,Average Heart Rate,Moving Time\n"
+    rows = [f"{i},2024-01-01 08:00:00,Run,{d},1800,{a},150,1500\n" for i, d, a in ((10, 6, 77), (9, 5, 77), (100, 7, 8))]
+    (tmp_path / "x.csv").write_text(head + "".join(rows))
+    raw = activities.read_activities(spark, str(tmp_path / "x.csv"))
+    out = {r["activity_id"]: r for r in flow.run(raw).collect()}
+    assert {i: (r["runner_id"], r["distance_previous"]) for i, r in out.items()} == {
+        "9": ("01", None), "10": ("01", 5.0), "100": ("02", None)
+    }
