@@ -299,7 +299,7 @@ def analysis_bounds(spark, sf):
         """SELECT cast(row_number() OVER (ORDER BY importance DESC, feature) AS INTEGER) AS rank, feature,
           round(importance, 6) AS importance, CASE WHEN mean_shap > 0 THEN 'increasing' ELSE 'decreasing' END AS impact,
           round(value, 6) AS value, round(mean_shap, 6) AS mean_shap,
-          'Consider ' || CASE WHEN mean_shap > 0 THEN 'decreasing' ELSE 'increasing' END || ' ''' || feature || ''' to improve pace' AS advice
+          'Faster with ' || CASE WHEN mean_shap > 0 THEN 'less' ELSE 'more' END || ' of: ' || feature AS advice
         FROM (SELECT feature, avg(abs(shap)) AS importance, avg(shap) AS mean_shap, avg(value) AS value FROM attributions
           WHERE date = (SELECT max(date) FROM attributions) GROUP BY feature)""",
         "attributions",

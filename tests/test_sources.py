@@ -69,7 +69,7 @@ def test_ties_at_the_latest_date(spark):
     df = spark.createDataFrame(rows, "activity_id long, date timestamp_ntz, feature string, value double, shap double")
     row = reports.improvement_report(df).first()
     assert row["mean_shap"] == pytest.approx(0.2) and row["importance"] == pytest.approx(0.3)
-    assert row["advice"] == "Consider decreasing 'x' to improve pace"
+    assert row["advice"] == "Faster with less of: x"
 
 
 def test_weeks_run_forward(spark, sf):
@@ -102,15 +102,15 @@ def test_report_texts(spark, sf, tmp_path):
     path = str(tmp_path / "report")
     sinks.write_lines(reports.improvement_lines(report), path)
     lines = [r[0] for r in spark.read.text(path).collect()]
-    assert lines[0] == "Top Contributing Factors:" and "Recommendations:" in lines and len(lines) == 6
+    assert lines[0] == "What moved the pace most" and "What to try" in lines and len(lines) == 6
     assert reports.impact_lines(reports.impact_report(df)).count() == 2
     periods = trends.period_means(trends.with_month(df))
     text = [r["text"] for r in reports.trend_lines(reports.trend_report(periods)).collect()]
-    assert text[0] == "Feature: distance" and len(text) == 14
+    assert text[0] == "## distance" and len(text) == 14
     ranked = reports.importance_rank(selection.feature_importance(df))
     sinks.write_importance(ranked, str(tmp_path / "importance"))
     table = [r[0] for r in spark.read.text(str(tmp_path / "importance" / "importance_md")).collect()]
-    assert table[0] == "# Feature Importance Table" and table[4].startswith("| 1 | ") and len(table) == 6
+    assert table[0] == "# Features by weight" and table[4].startswith("| 1 | ") and len(table) == 6
     assert spark.read.option("header", True).csv(str(tmp_path / "importance" / "importance_csv")).count() == 2
 
 
