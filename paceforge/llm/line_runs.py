@@ -103,6 +103,33 @@ def later_copies(places: DataFrame, least: int) -> DataFrame:
     return found
 
 
+#: Bits a row of the document filter holds (what bitmap_construct_agg fills), and rows: 4 MB in all.
+_ROW_BITS, _FILTER_ROWS = 32_768, 1_024
+
+
+def _filter_row(key: Column) -> Column:
+    return F.pmod(F.shiftright(key, 15), F.lit(_FILTER_ROWS))
+
+
+def _filter_bit(key: Column) -> Column:
+    return F.pmod(key, F.lit(_ROW_BITS)).cast("int")
+
+
+def _document_filter(plan: DataFrame) -> DataFrame:
+    """Bitmaps (__row, __bits) of the documents in ``plan``; at most 1024 rows of 4 KB whatever its size."""
+    key = F.xxhash64("__key_o", "__key_t")
+    return plan.groupBy(_filter_row(key).alias("__row")).agg(
+        F.bitmap_construct_agg(_filter_bit(key)).alias("__bits")
+    )
+
+
+def _may_hold(bits: str) -> Column:
+    """Whether the filter has the document's bit; false for a document without a row."""
+    bit = _filter_bit(F.xxhash64("__key_o", "__key_t"))
+    byte = F.conv(F.hex(F.substring(bits, F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.coalesce(F.bit_get(byte, bit % 8) == 1, F.lit(False))
+
+
 def remove_repeated_lines(docs: DataFrame, least: int = 3) -> DataFrame:
     """The rows of ``docs`` without later copies of runs of at least ``least`` lines.
 
@@ -149,7 +176,13 @@ def remove_repeated_lines(docs: DataFrame, least: int = 3) -> DataFrame:
         F.flatten(F.transform("__cut.gaps", lambda s: F.slice(lines, s["at"], s["n"]))),
         F.slice(lines, F.col("__cut.last") + 2, F.greatest(F.size(lines), F.lit(1))),
     )
-    joined = docs.select("*", *keys).join(cut, ["__key_o", "__key_t"], "left")
+    # Only documents the filter lets through meet the plan; it grows with the input, so their texts may be shuffled.
+    key = F.xxhash64("__key_o", "__key_t")
+    marked = docs.select("*", *keys).withColumn("__row", _filter_row(key))
+    marked = marked.join(F.broadcast(_document_filter(cut)), "__row", "left").withColumn("__may", _may_hold("__bits"))
+    marked = marked.drop("__row", "__bits")
+    untouched = marked.filter(~F.col("__may")).withColumn("__cut", F.lit(None).cast(cut.schema["__cut"].dataType))
+    joined = marked.filter("__may").join(cut, ["__key_o", "__key_t"], "left").unionByName(untouched)
     out = [
         F.when(F.col("__cut").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text")
         if c == "text"
