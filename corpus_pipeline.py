@@ -10,29 +10,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paceforge.llm import line_quality, line_runs, near_dup, packing, qgram_decontam
-from paceforge.llm.common import text_key
 from paceforge.session import stage
 
 
+def _measured(out: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs``; n_chars follows the text."""
+    columns = [F.length("text").cast(kind).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c, kind in docs.dtypes]
+    return out.select(*columns)
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and keep enough words without their host's frequent lines."""
-    verdict = line_quality.line_frequency_rules(docs).filter("kept")
-    passed = verdict.select(
-        F.col("doc_id").alias("__id"), F.col("host").alias("__host"), F.col("text_id").alias("__text")
-    ).distinct()
-    same = (
-        docs["doc_id"].eqNullSafe(passed["__id"])
-        & (F.coalesce(docs["source"].cast("string"), F.lit("")) == passed["__host"])
-        & (text_key() == passed["__text"])
-    )
-    return docs.join(passed, same, "left_semi")
+    """Documents that pass the base rules and keep enough words, without their host's frequent lines."""
+    return _measured(line_quality.remove_frequent_lines(docs), docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without later copies of line runs; n_chars follows the text."""
-    out = line_runs.remove_repeated_lines(docs)
-    columns = [F.length("text").cast(kind).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c, kind in docs.dtypes]
-    return out.select(*columns)
+    return _measured(line_runs.remove_repeated_lines(docs), docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

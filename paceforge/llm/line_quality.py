@@ -4,7 +4,8 @@ Each document is read once and reduced to its base counts and the hashes of its
 lines (ASCII lower case, runs of white space as one space). Per host the documents holding a line are
 counted; equal texts of a host count as one document, so a copied text doesn't turn its own lines into
 boilerplate. Lines in more documents than the host's limit are removed, and a document that keeps too
-small a part of its words is rejected.
+small a part of its words is rejected. ``line_frequency_rules`` gives the verdicts, ``remove_frequent_lines``
+the kept documents without those lines.
 """
 
 from __future__ import annotations
@@ -12,8 +13,9 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from paceforge.llm.common import LOWER, WordHashes, by_batch, ngram_hashes, text_key, utf8, words_of
 from paceforge.session import discard, stage
@@ -22,17 +24,33 @@ _SYMBOLS = b"#*$%&|<>"
 _LINES = "array<struct<h: bigint, words: bigint>>"
 
 
+def _line_hash(words: list[bytes]) -> int:
+    h = xxhash.xxh3_64_intdigest(b" ".join(words))
+    return h - ((h >> 63) << 64)
+
+
 def line_words(text: bytes) -> dict[int, int]:
     """Hash of each normalised line that has a word, with the words of all its copies in the text."""
     out: dict[int, int] = {}
     for line in text.translate(LOWER).split(b"\n"):
         if words := line.split():
-            h = xxhash.xxh3_64_intdigest(b" ".join(words))
-            h -= (h >> 63) << 64
+            h = _line_hash(words)
             out[h] = out.get(h, 0) + len(words)
     return out
 
 
+def without_lines(text: bytes, hashes: set[int]) -> bytes:
+    """The text without the lines whose normalised form has one of the hashes; the others stay as they are."""
+    lines = ((line, line.translate(LOWER).split()) for line in text.split(b"\n"))
+    return b"\n".join(line for line, words in lines if not words or _line_hash(words) not in hashes)
+
+
+@F.arrow_udf(BinaryType())
+def _shortened(texts: pa.Array, hashes: pa.Array) -> pa.Array:
+    pairs = zip(texts.to_pylist(), hashes.to_pylist(), strict=True)
+    return pa.array([None if t is None else without_lines(t, set(h)) for t, h in pairs], pa.binary())
+
+
 def _counts(text: bytes, hashes: WordHashes) -> tuple[int, int, int, int, int]:
     words = words_of(text)
     chars = len(b"".join(words).decode("utf-8", "replace"))
@@ -69,6 +87,10 @@ def _profile():
     return rows
 
 
+def _host(column: str) -> Column:
+    return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
 def line_frequency_rules(
     docs: DataFrame,
     host: str = "source",
@@ -88,9 +110,50 @@ def line_frequency_rules(
     alike and count as one document. Rows without doc_id are judged by their text. Other columns are
     ignored; an empty table gives no rows.
     """
+    return _judged(docs, host, limit_docs, limit_percent, least_left_percent).drop("removed")
+
+
+def remove_frequent_lines(
+    docs: DataFrame,
+    host: str = "source",
+    limit_docs: int = 20,
+    limit_percent: int = 5,
+    least_left_percent: int = 30,
+) -> DataFrame:
+    """The rows of ``docs`` that ``line_frequency_rules`` keeps, their text without their host's frequent lines.
+
+    Lines that stay, blank ones too, are unchanged. All columns pass through.
+    """
+    judged = _judged(docs, host, limit_docs, limit_percent, least_left_percent)
+    passed = (
+        judged.filter("kept")
+        .select(
+            F.col("doc_id").alias("__id"),
+            F.col("host").alias("__host"),
+            F.col("text_id").alias("__text"),
+            F.col("removed").alias("__removed"),
+        )
+        .distinct()
+    )
+    same = (
+        docs["doc_id"].eqNullSafe(passed["__id"])
+        & (_host(host) == passed["__host"])
+        & (text_key() == passed["__text"])
+    )
+    # Only texts that lose a line go through Python.
+    short = _shortened(F.when(F.col("__removed").isNotNull(), utf8("text")), "__removed").cast("string")
+    return docs.join(passed, same).select(
+        *(F.coalesce(short, "text").alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns)
+    )
+
+
+def _judged(
+    docs: DataFrame, host: str, limit_docs: int, limit_percent: int, least_left_percent: int
+) -> DataFrame:
+    """The columns of ``line_frequency_rules`` and the hashes of the removed lines (null: none)."""
     own = docs.select(
         "doc_id",
-        F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"),
+        _host(host).alias("host"),
         F.coalesce(text_key(), F.lit("")).alias("t"),
         utf8("text").alias("body"),
     )
@@ -117,7 +180,9 @@ def line_frequency_rules(
         "line-frequent",
     )
     removed = stage(
-        lines.join(frequent, ["host", "h"]).groupBy("host", "t").agg(F.sum("words").alias("n_removed_words")),
+        lines.join(frequent, ["host", "h"])
+        .groupBy("host", "t")
+        .agg(F.sum("words").alias("n_removed_words"), F.collect_list("h").alias("removed")),
         "line-removed",
     )
     discard(texts)
@@ -140,5 +205,6 @@ def line_frequency_rules(
             "host",
             F.col("t").alias("text_id"),
             gone.alias("n_removed_words"),
+            "removed",
         )
     )

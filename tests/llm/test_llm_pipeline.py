@@ -50,3 +50,19 @@ def test_run(spark, tmp_path):
     folder(spark, tmp_path)
     out = [r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
     assert set(range(60)) <= set(out) and 100 in out and not {102, 103, 104, 105} & set(out)
+
+
+def test_kept_documents_lose_frequent_lines(spark):
+    menu = "Home  News\tAbout us Contact"
+    docs = [(k, f"{menu}\n{prose(80, 500 + k)}\n\nhome news about US contact ", "en", "s0", 1) for k in range(30)]
+    docs += [(30, f"{menu}\n{prose(80, 530)}", "en", "s1", 1)]  # the line is rare on this host
+    docs += [(31, "\n".join([menu] * 40 + [prose(60, 531)]), "en", "s0", 1)]
+    docs += [(None, f"{prose(80, 532)}\n{menu}", "en", "s0", 1)] * 2
+    want = {(d, prose(80, 500 + d) + "\n" if d < 30 else t) for d, t, *_ in docs if d is not None and d != 31}
+    want.add((None, prose(80, 532)))
+    frame = spark.createDataFrame(docs, COLUMNS).repartition(3)
+    out = dict(corpus_pipeline.STAGES)["quality rules"](spark, frame, "")
+    assert out.columns == frame.columns
+    got = [tuple(r) for r in out.collect()]
+    assert {(r[0], r[1]) for r in got} == want and len(got) == 33 - 1 - 1 + 1
+    assert all(r[4] == len(r[1]) for r in got)
