@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from paceforge.llm import (
     common,
+    hard_negatives,
     histogram_sort,
     license_scan,
     line_quality,
@@ -18,6 +19,8 @@ from paceforge.llm import (
     packing,
     phrase_dedup,
     qgram_decontam,
+    secret_scan,
+    target_sampling,
     url_globs,
     warc,
 )
@@ -293,4 +296,102 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("doc_id", "text", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"))
 
 
+
+_OP11 = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+pair AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+),
+pos AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) AS positive_rank
+  FROM pair WHERE same QUALIFY positive_rank <= 5
+)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_rank ORDER BY score DESC, id) AS INTEGER) AS rank,
+  id AS negative_id, positive_score, score AS negative_score
+FROM pos JOIN (SELECT * FROM pair WHERE NOT same) USING (anchor_id)
+WHERE 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10
+"""
+
+
+@_query("op11_bond_negatives", _OP11)
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    found = hard_negatives.mine(rows.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+    return found.withColumn("rank", F.col("rank").cast("int")).drop("positive_rank")
+
+
+@_query("op12_char_network")
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.scan(common.documents(spark, sf)))
+
+
+_CRC = target_sampling._POLYNOMIAL
+_OP13 = rf"""
+WITH RECURSIVE words AS (
+  SELECT 'd' AS side, doc_id, regexp_extract_all({_FOLD.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+  UNION ALL
+  SELECT 'b', NULL, regexp_extract_all({_FOLD.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark
+),
+run AS (
+  SELECT side, doc_id, array_to_string(ws[i:i + k], ' ') AS f FROM (
+    SELECT *, unnest(range(1, len(ws) + 1 - k)) AS i FROM (SELECT *, unnest([0, 1, 2]) AS k FROM words)
+  )
+),
+feature AS (SELECT f, hex(encode(f)) AS h, CAST(strlen(f) AS INTEGER) AS n FROM (SELECT DISTINCT f FROM run)),
+byte(b, c, k) AS (
+  SELECT b, b, 0 FROM range(256) AS r(b)
+  UNION ALL SELECT b, CASE WHEN c & 1 = 1 THEN xor(c >> 1, {_CRC}) ELSE c >> 1 END, k + 1 FROM byte WHERE k < 8
+),
+one AS (SELECT b, c FROM byte WHERE k = 8),
+-- what a byte adds to the checksum when d bytes follow, and the same for the four initial bytes
+moved(b, c, d) AS (
+  SELECT b, c, 0 FROM one
+  UNION ALL SELECT m.b, xor(m.c >> 8, one.c), m.d + 1 FROM moved m JOIN one ON one.b = m.c & 255
+  WHERE m.d < (SELECT max(n) FROM feature)
+),
+start(c, n) AS (
+  SELECT CAST(4294967295 AS BIGINT), 0
+  UNION ALL SELECT xor(s.c >> 8, one.c), s.n + 1 FROM start s JOIN one ON one.b = s.c & 255 WHERE s.n < (SELECT max(n) FROM feature)
+),
+part AS (SELECT f, n, n - i AS d, CAST('0x' || substr(h, 2 * i - 1, 2) AS BIGINT) AS b FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM feature)),
+bucket AS (
+  SELECT f, xor(xor(bit_xor(m.c), any_value(s.c)), 4294967295) % 10000 AS bucket
+  FROM part p JOIN moved m ON m.d = p.d AND m.b = p.b JOIN start s ON s.n = p.n GROUP BY f
+),
+tally AS (
+  SELECT bucket, count(*) FILTER (side = 'd') AS s, count(*) FILTER (side = 'b') AS t FROM run JOIN bucket USING (f) GROUP BY bucket
+),
+total AS (SELECT coalesce(sum(s), 0) AS s, coalesce(sum(t), 0) AS t FROM tally),
+gain AS (
+  SELECT bucket, CAST(floor(1000 * ln((CAST(tally.t AS DOUBLE) + 1) * (CAST(total.s AS DOUBLE) + 10000)
+    / ((CAST(tally.s AS DOUBLE) + 1) * (CAST(total.t AS DOUBLE) + 10000)))) AS BIGINT) AS g FROM tally, total
+),
+summed AS (
+  SELECT doc_id, count(*) AS n_features, sum(g) AS w FROM run JOIN bucket USING (f) JOIN gain USING (bucket) WHERE side = 'd' GROUP BY doc_id
+),
+scored AS (
+  SELECT doc_id, coalesce(n_features, 0) AS n_features, CAST(coalesce(w, 0) AS BIGINT) AS weight, len(ws) AS n_words,
+    CAST(coalesce(w, 0) + floor(-1000 * ln(-ln((CAST(CAST('0x' || substr(sha256('42:' || doc_id), 1, 8) AS BIGINT) AS DOUBLE) + 0.5) / 4294967296))) AS BIGINT) AS score
+  FROM words LEFT JOIN summed USING (doc_id) WHERE side = 'd'
+),
+placed AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, 5 * count(*) OVER () // 100 AS most FROM scored WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN r <= most THEN r END AS rank, n_words FROM scored LEFT JOIN placed USING (doc_id)
+"""
+
+
+@_query("op13_segment_resampling", _OP13)
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{sf}/benchmark.parquet")
+    return target_sampling.weigh(common.documents(spark, sf), benchmark).drop("text_id")
+
+
 _query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
