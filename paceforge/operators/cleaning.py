@@ -139,16 +139,16 @@ def default_runner(df: DataFrame) -> DataFrame:
     return df
 
 
-def runner_table(df: DataFrame, ordinal: str = "activity_id") -> DataFrame:
-    """One row per runner: activities with a date (``_n``), without a date or runner (``_rest``) and
-    the first position (``_first``).
+def runner_table(df: DataFrame, ordinal: str = "activity_id", measures: Sequence[Column] = ()) -> DataFrame:
+    """One row per runner: activities with a date (``_n``), without a date or runner (``_rest``), the
+    first position (``_first``) and further aggregates.
 
     Written once; it tells oversized runners, numbers all runners and shows whether any row lacks
     a history, with one pass over two or three columns of the input.
     """
     dated = F.col("date").isNotNull() & F.col("runner_id").isNotNull()
     table = df.groupBy("runner_id").agg(
-        F.count_if(dated).alias("_n"), F.count_if(~dated).alias("_rest"), F.min(ordinal).alias("_first")
+        F.count_if(dated).alias("_n"), F.count_if(~dated).alias("_rest"), F.min(ordinal).alias("_first"), *measures
     )
     return stage(table, "runners")
 

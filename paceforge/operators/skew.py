@@ -15,9 +15,9 @@ Both parts return the same rows and values; only the plan differs.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from paceforge.schema import q
@@ -33,23 +33,15 @@ class SplitPolicy:
 
     max_rows: a runner with more rows than this is oversized. None skips the look at the sizes, for
         tables known to have no such runner.
-    max_trailing_rows: the same for trailing windows, where a task's work grows with the rows per
-        window as well, so the limit is lower.
     chunk_rows: target rows per chunk of an oversized runner.
     listed: up to this many oversized runners are named in the plan as literals; beyond it they
         are told apart by joins, so nothing of unknown size is collected or broadcast.
     """
 
     max_rows: int | None = 2_000_000
-    max_trailing_rows: int = 100_000
     chunk_rows: int = 4_000_000
     listed: int = 1_000
 
-    def for_trailing(self) -> SplitPolicy:
-        if self.max_rows is None:
-            return self
-        return replace(self, max_rows=min(self.max_rows, self.max_trailing_rows))
-
 
 DEFAULT_POLICY = SplitPolicy()
 
@@ -63,10 +55,15 @@ class Parts:
     oversized_rows: int = 0
 
 
-def entity_sizes(df: DataFrame, entity: str, time: str) -> DataFrame:
-    """Rows with a date per entity as ``_n``; combined before the shuffle."""
+def entity_sizes(df: DataFrame, entity: str, time: str, *measures: Column) -> DataFrame:
+    """Rows with a date per entity as ``_n``, and further aggregates; combined before the shuffle."""
     dated = F.col(entity).isNotNull() & F.col(time).isNotNull()
-    return df.filter(dated).groupBy(entity).agg(F.count(F.lit(1)).alias("_n"))
+    return df.filter(dated).groupBy(entity).agg(F.count(F.lit(1)).alias("_n"), *measures)
+
+
+def totals(sizes: DataFrame, *measures: Column) -> Row:
+    """``_rows`` and ``_most`` (rows of the largest entity) over a size table, with further aggregates."""
+    return sizes.agg(F.sum("_n").alias("_rows"), F.max("_n").alias("_most"), *measures).first()
 
 
 def split_oversized(
@@ -75,13 +72,15 @@ def split_oversized(
     time: str,
     policy: SplitPolicy = DEFAULT_POLICY,
     sizes: DataFrame | None = None,
+    most: int | None = None,
 ) -> Parts:
     """Separate the rows of oversized entities.
 
-    Costs one count per entity over two columns, unless ``sizes`` already holds it. Rows without
-    entity or time take part in no window; they stay in the ordinary part.
+    Costs one count per entity over two columns, unless ``sizes`` already holds it, and nothing where
+    ``most``, the rows of the largest entity, is known to be small. Rows without entity or time take
+    part in no window; they stay in the ordinary part.
     """
-    if policy.max_rows is None:
+    if policy.max_rows is None or (most is not None and most <= policy.max_rows):
         return Parts(df, None)
     dated = F.col(entity).isNotNull() & F.col(time).isNotNull()
     sizes = entity_sizes(df, entity, time) if sizes is None else sizes

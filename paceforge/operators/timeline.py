@@ -19,15 +19,13 @@ from pyspark.sql.window import WindowSpec
 
 from paceforge import schema
 from paceforge.functions import calendar
-from paceforge.operators import quantiles, skew
+from paceforge.operators import exact_sums, quantiles, skew
+from paceforge.operators.exact_sums import Limbs
 from paceforge.operators.skew import CHUNK, DEFAULT_POLICY, SHARD, SplitPolicy
 from paceforge.schema import q
 from paceforge.session import stage
 
 WIDTHS = (7, 30)
-# Sums that cross chunk borders add and subtract exactly, in any order.
-EXACT = "decimal(28,14)"
-EXACT_LIMIT = 1e14
 
 
 @dataclass(frozen=True)
@@ -163,11 +161,12 @@ def add_days_since_last(df: DataFrame, keys: Keys = RUNS, policy: SplitPolicy =
 # ---------------------------------------------------------------- trailing windows
 
 
-def _frame(days: int, keys: Keys) -> str:
-    """Trailing window open on the left: (t - days, t]."""
+def _over(upto: str, keys: Keys) -> str:
+    """Everything of the entity up to a point in time. Such frames only ever grow, so a task's work is
+    proportional to its rows, however many a window holds."""
     return (
-        f"OVER (PARTITION BY {q(keys.entity)}, {SHARD} ORDER BY {q(keys.time)} RANGE BETWEEN "
-        f"INTERVAL '{days - 1} 23:59:59.999999' DAY TO SECOND PRECEDING AND CURRENT ROW)"
+        f"OVER (PARTITION BY {q(keys.entity)}, {SHARD} ORDER BY {q(keys.time)} "
+        f"RANGE BETWEEN UNBOUNDED PRECEDING AND {upto})"
     )
 
 
@@ -191,41 +190,82 @@ class Trailing:
 TRAILING = Trailing(schema.ROLLING_METRICS, {"distance": "distance"})
 
 
-def _plain_trailing(df: DataFrame, spec: Trailing, keys: Keys) -> DataFrame:
-    columns: dict[str, str] = {}
+def _limb_columns(spec: Trailing, limbs: Sequence[Limbs]) -> dict[str, Column]:
+    """``_s<i>_<k>``: limb k of source i."""
+    return {
+        f"_s{i}_{k}": part
+        for i, (c, cut) in enumerate(zip(spec.sources, limbs))
+        for k, part in enumerate(cut.split(exact_sums.finite(c)))
+    }
+
+
+def _features_of(spec: Trailing, limbs: Sequence[Limbs], limb: Callable[[int, int, int], Column], count: Callable[[int, int], Column], runs: Callable[[int], Column]) -> dict[str, Column]:
+    """The trailing columns from the sums of limbs, the counts of values and the counts of runs per width."""
+    out: dict[str, Column] = {}
+    place = {c: i for i, c in enumerate(spec.sources)}
     for days in spec.widths:
-        frame = _frame(days, keys)
+
+        def total(c: str) -> tuple[Column, Column]:
+            i = place[c]
+            return limbs[i].join([limb(i, k, days) for k in range(limbs[i].count)]), count(i, days)
+
         for c, stem in spec.averages.items():
-            columns[f"{days}d_avg_{stem}"] = f"avg({q(c)}) {frame}"
+            value, n = total(c)
+            out[f"{days}d_avg_{stem}"] = F.when(n > 0, value / n)
         for c, stem in spec.totals.items():
-            columns[f"{days}d_total_{stem}"] = f"sum({q(c)}) {frame}"
+            value, n = total(c)
+            out[f"{days}d_total_{stem}"] = F.when(n > 0, value)
         if spec.run_count:
-            columns[f"{days}d_run_count"] = f"count(1) {frame}"
-    dated = f"{q(keys.entity)} IS NOT NULL AND {q(keys.time)} IS NOT NULL"
-    return df.selectExpr("*", *[f"CASE WHEN {dated} THEN {e} END AS {q(n)}" for n, e in columns.items()])
+            out[f"{days}d_run_count"] = runs(days).cast("bigint")
+    return out
 
 
-def _chunked_trailing(df: DataFrame, spec: Trailing, keys: Keys, rows: int, policy: SplitPolicy) -> DataFrame:
-    """Trailing windows as running sums, in O(n log n) whatever the window holds.
+def _plain_trailing(df: DataFrame, spec: Trailing, limbs: Sequence[Limbs], keys: Keys) -> DataFrame:
+    """(t - days, t] as everything up to t less everything up to t - days, both exact."""
+    parts = _limb_columns(spec, limbs)
+    upto = {0: "CURRENT ROW"} | {days: f"INTERVAL '{days}' DAY PRECEDING" for days in spec.widths}
+    sums = []
+    for days, end in upto.items():
+        over = _over(end, keys)
+        sums += [f"coalesce(sum({n}) {over}, 0) AS {n}_{days}" for n in parts]
+        sums += [f"count(_s{i}_0) {over} AS _n{i}_{days}" for i in range(len(limbs))]
+        if spec.run_count:
+            sums.append(f"count(1) {over} AS _runs_{days}")
+    summed = df.withColumns(parts).selectExpr(*map(q, df.columns), *sums)
+
+    def within(name: str, days: int) -> Column:
+        return F.col(f"{name}_0") - F.col(f"{name}_{days}")
+
+    found = _features_of(
+        spec,
+        limbs,
+        lambda i, k, days: within(f"_s{i}_{k}", days),
+        lambda i, days: within(f"_n{i}", days),
+        lambda days: within("_runs", days),
+    )
+    return summed.select(*map(q, df.columns), *[skew.dated_only(c, keys.entity, keys.time).alias(n) for n, c in found.items()])
+
+
+def _chunked_trailing(df: DataFrame, spec: Trailing, limbs: Sequence[Limbs], keys: Keys, rows: int, policy: SplitPolicy) -> DataFrame:
+    """Trailing windows as running sums over chunks, in O(n log n) whatever the window holds.
 
     Activities are first summed per instant, which also removes ties. Every instant then enters
     the running sums at its own time and leaves them ``days`` later, so the sums at any instant
-    cover exactly the left-open window. Chunk totals carry the sums across chunk borders.
+    cover exactly the left-open window. Chunk totals carry the sums across chunk borders. The sums are
+    those of limbs, as in the plain plan.
     """
     at, entity = "_at", keys.entity
-    sources = spec.sources
-
-    def exact(c: str) -> Column:
-        v = F.col(q(c)).cast("double")
-        too_large = F.raise_error(F.lit(f"{c} is too large for exact sums"))
-        return F.when(v.isNull() | (F.abs(v) < EXACT_LIMIT), v.cast(EXACT)).otherwise(too_large)
-
-    instants = df.groupBy(entity, F.col(q(keys.time)).alias(at)).agg(
-        F.count(F.lit(1)).alias("_runs"),
-        *[F.sum(exact(c)).alias(f"_s{i}") for i, c in enumerate(sources)],
-        *[F.count(q(c)).alias(f"_n{i}") for i, c in enumerate(sources)],
+    parts = _limb_columns(spec, limbs)
+    instants = (
+        df.select(entity, F.col(q(keys.time)).alias(at), *[c.alias(n) for n, c in parts.items()])
+        .groupBy(entity, at)
+        .agg(
+            F.count(F.lit(1)).alias("_runs"),
+            *[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in parts],
+            *[F.count(f"_s{i}_0").alias(f"_n{i}") for i in range(len(limbs))],
+        )
     )
-    measures = ["_runs", *[f"_{k}{i}" for i in range(len(sources)) for k in "sn"]]
+    measures = ["_runs", *parts, *[f"_n{i}" for i in range(len(limbs))]]
 
     moves = [F.struct(F.col(at).alias("at"), F.lit(0).alias("leaves"))]
     for days in spec.widths:
@@ -236,19 +276,15 @@ def _chunked_trailing(df: DataFrame, spec: Trailing, keys: Keys, rows: int, poli
         F.when(F.col("_move.leaves") == 0, F.col(m))
         .when(F.col("_move.leaves") == days, -F.col(m))
         .otherwise(F.lit(0))
-        .cast("decimal(38,14)" if m.startswith("_s") else "bigint")
+        .cast("bigint")
         .alias(f"{m}_{days}")
         for days in spec.widths
         for m in measures
     ]
-    # a sum over no values is null and would wipe out the running sum
-    filled = [F.coalesce(c, F.lit(0)).alias(n) for c, n in zip(changes, _names(spec, measures))]
-    events = moved.select(
-        entity, F.col("_move.at").alias(at), (F.col("_move.leaves") == 0).alias("_enters"), *filled
-    )
+    events = moved.select(entity, F.col("_move.at").alias(at), (F.col("_move.leaves") == 0).alias("_enters"), *changes)
     chunks = skew.range_chunks(events, [entity, at], rows * (1 + len(spec.widths)), policy, "trailing")
 
-    names = _names(spec, measures)
+    names = [f"{m}_{days}" for days in spec.widths for m in measures]
     before = Window.partitionBy(entity).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     carried = (
         chunks.groupBy(entity, CHUNK)
@@ -269,38 +305,62 @@ def _chunked_trailing(df: DataFrame, spec: Trailing, keys: Keys, rows: int, poli
         .withColumns({f"{n}_out": F.sum(n).over(so_far) + F.col(f"{n}_in") for n in names})
         .filter("_enters")
     )
-    values: list[Column] = []
-    for days in spec.widths:
-        for c, stem in spec.averages.items():
-            i = sources.index(c)
-            total, n = F.col(f"_s{i}_{days}_out"), F.col(f"_n{i}_{days}_out")
-            values.append(
-                F.when(n > 0, total.cast("double") / n).alias(f"{days}d_avg_{stem}")
-            )
-        for c, stem in spec.totals.items():
-            i = sources.index(c)
-            total, n = F.col(f"_s{i}_{days}_out"), F.col(f"_n{i}_{days}_out")
-            values.append(F.when(n > 0, total.cast("double")).alias(f"{days}d_total_{stem}"))
-        if spec.run_count:
-            values.append(F.col(f"_runs_{days}_out").cast("bigint").alias(f"{days}d_run_count"))
-    per_instant = running.select(entity, F.col(at).alias(keys.time), *values)
+    found = _features_of(
+        spec,
+        limbs,
+        lambda i, k, days: F.col(f"_s{i}_{k}_{days}_out"),
+        lambda i, days: F.col(f"_n{i}_{days}_out"),
+        lambda days: F.col(f"_runs_{days}_out"),
+    )
+    per_instant = running.select(entity, F.col(at).alias(keys.time), *[c.alias(n) for n, c in found.items()])
     # One row per (entity, instant) on this side; a hot instant is split by the skew join handling.
     return df.join(per_instant, [entity, keys.time], "left")
 
 
-def _names(spec: Trailing, measures: Sequence[str]) -> list[str]:
-    return [f"{m}_{days}" for days in spec.widths for m in measures]
+@dataclass(frozen=True)
+class Sized:
+    """What one aggregate over a table tells: rows per entity, limbs of its sums, the rows of the largest
+    entity, and how many rows lack an entity or time where the size table counts them (``_rest``)."""
+
+    sizes: DataFrame | None
+    limbs: list[Limbs]
+    most: int | None
+    rest: int = 0
+
+
+def size_measures(spec: Trailing) -> list[Column]:
+    return exact_sums.magnitudes(spec.sources)
+
+
+def sized(sizes: DataFrame, spec: Trailing) -> Sized:
+    """Totals of a table that holds ``_n`` and :func:`size_measures` per entity."""
+    rest = F.sum("_rest") if "_rest" in sizes.columns else F.lit(0)
+    row = skew.totals(sizes, rest.alias("_rest"), *exact_sums.merged(spec.sources))
+    return Sized(sizes, exact_sums.plan(row, row["_rows"] or 0, spec.sources), row["_most"] or 0, row["_rest"] or 0)
+
+
+def _measure(df: DataFrame, spec: Trailing, keys: Keys, policy: SplitPolicy) -> Sized:
+    if policy.max_rows is None:
+        return Sized(None, exact_sums.plan_for(df, spec.sources), None)
+    return sized(skew.entity_sizes(df, keys.entity, keys.time, *size_measures(spec)), spec)
 
 
 def add_trailing(df: DataFrame, spec: Trailing = TRAILING, keys: Keys = RUNS, policy: SplitPolicy = DEFAULT_POLICY) -> DataFrame:
-    """Trailing averages, totals and run counts; nulls are skipped, one value is enough."""
-    spec, policy = spec.within(df), policy.for_trailing()
-    parts = skew.split_oversized(df, keys.entity, keys.time, policy)
+    """Trailing averages, totals and run counts; nulls are skipped, one value is enough.
+
+    Sums are exact and rounded once, whatever the size of the values or of the runner. NaN and
+    infinities count as missing.
+    """
+    spec = spec.within(df)
+    known = _measure(df, spec, keys, policy)
+    parts = skew.split_oversized(df, keys.entity, keys.time, policy, known.sizes, known.most)
     sharded = skew.with_shard(parts.ordinary, keys.entity, keys.time, keys.tie)
-    out = _plain_trailing(sharded, spec, keys).drop(SHARD)
+    # dealt out before the limbs are cut, so that they are not shuffled
+    sharded = sharded.repartition(F.col(q(keys.entity)), F.col(SHARD))
+    out = _plain_trailing(sharded, spec, known.limbs, keys).drop(SHARD)
     if parts.oversized is not None:
         out = out.unionByName(
-            _chunked_trailing(parts.oversized, spec, keys, parts.oversized_rows, policy)
+            _chunked_trailing(parts.oversized, spec, known.limbs, keys, parts.oversized_rows, policy)
         )
     return out
 
@@ -312,21 +372,23 @@ def add_history(
     spec: Trailing = TRAILING,
     keys: Keys = RUNS,
     policy: SplitPolicy = DEFAULT_POLICY,
-    sizes: DataFrame | None = None,
+    known: Sized | None = None,
 ) -> DataFrame:
     """Row windows and trailing windows together.
 
     Row windows come first: their sort order (entity, time, tie) also serves the trailing frames,
-    so ordinary runners need one exchange and one sort in all.
+    so ordinary runners need one exchange and one sort in all. ``known`` may hold the measures of the
+    table or of one that contains it.
     """
-    spec, policy = spec.within(df), policy.for_trailing()
-    parts = skew.split_oversized(df, keys.entity, keys.time, policy, sizes)
+    spec = spec.within(df)
+    known = _measure(df, spec, keys, policy) if known is None else known
+    parts = skew.split_oversized(df, keys.entity, keys.time, policy, known.sizes, known.most)
     sharded = skew.with_shard(parts.ordinary, keys.entity, keys.time, keys.tie)
-    out = _plain_trailing(_plain_rows(sharded, make, keys), spec, keys).drop(SHARD)
+    out = _plain_trailing(_plain_rows(sharded, make, keys), spec, known.limbs, keys).drop(SHARD)
     if parts.oversized is not None:
         chunks = _chunk_history(parts, keys, policy)
         rows = stage(_chunked_rows(chunks, make, back, 0, keys).drop(CHUNK), "lagged")
-        out = out.unionByName(_chunked_trailing(rows, spec, keys, parts.oversized_rows, policy))
+        out = out.unionByName(_chunked_trailing(rows, spec, known.limbs, keys, parts.oversized_rows, policy))
     return out
 
 

@@ -35,31 +35,35 @@ def with_pace(df: DataFrame) -> DataFrame:
     return df.withColumn("pace_minutes", F.coalesce(*candidates))
 
 
-def features(
-    df: DataFrame,
-    lags: int = 0,
-    policy: SplitPolicy = DEFAULT_POLICY,
-    tie: str = "activity_id",
-    runners: DataFrame | None = None,
-) -> DataFrame:
-    """Cleaned activities with all derived features, paces as minutes.
-
-    Previous-run columns, lags, gaps and both trailing windows share one exchange per runner.
-    ``tie`` orders activities of one runner that share a timestamp; ``runners`` may hold the
-    :func:`~paceforge.operators.cleaning.runner_table` of the rows.
-    """
+def _prepared(df: DataFrame) -> DataFrame:
+    """Without stale window columns, with paces, cadence in steps of both feet."""
     stale = [c for c in df.columns if c.startswith(("7d_", "30d_"))]
     df = with_pace(df.drop(*stale))
     if "average_cadence" in df.columns:
         # exports count the steps of one foot
         df = df.withColumn("average_cadence", F.col("average_cadence") * 2)
+    return df
+
+
+def features(df: DataFrame, lags: int = 0, policy: SplitPolicy = DEFAULT_POLICY, tie: str = "activity_id") -> DataFrame:
+    """Cleaned activities with all derived features, paces as minutes.
+
+    Previous-run columns, lags, gaps and both trailing windows share one exchange per runner.
+    ``tie`` orders activities of one runner that share a timestamp.
+    """
+    return _histories(_prepared(df), lags, policy, tie)
+
+
+def _histories(
+    df: DataFrame, lags: int, policy: SplitPolicy, tie: str, known: timeline.Sized | None = None
+) -> DataFrame:
     present = lambda names: {c: s for c, s in names.items() if c in df.columns}
     windows = [timeline.previous_columns(present(timeline.PREVIOUS)), timeline.gap_columns("date")]
     if lags:
         windows.append(timeline.lag_columns(present(timeline.LAGS), lags))
     keys = timeline.Keys(tie=tie)
     df = timeline.add_history(
-        _sortable(df, tie), timeline.combine(*windows), max(1, lags), keys=keys, policy=policy, sizes=runners
+        _sortable(df, tie), timeline.combine(*windows), max(1, lags), keys=keys, policy=policy, known=known
     )
     df = _restored(df, tie)
     df = timeline.add_differences(df)
@@ -105,16 +109,19 @@ def _numbered(df: DataFrame, lags: int, policy: SplitPolicy, ordinal: str) -> Da
     exchanged once, as the windows accept the partitioning of the join. Rows without a date or
     runner have no history; they go a separate way so that many of them cannot pile up on one key.
     """
-    df = _sortable(df, ordinal)
-    runners = cleaning.runner_table(df, ordinal)
+    df = _prepared(_sortable(df, ordinal))
+    spec = timeline.TRAILING.within(df)
+    # one pass per runner, and one aggregate over its result, tell all that the plans depend on
+    runners = cleaning.runner_table(df, ordinal, timeline.size_measures(spec))
+    known = timeline.sized(runners, spec)
     dated = F.col("date").isNotNull() & F.col("runner_id").isNotNull()
 
     def numbered(rows: DataFrame, part: SplitPolicy) -> DataFrame:
         named = cleaning.add_dense_ids(rows, runners)
-        return render_paces(features(named, lags, part, ordinal, runners))
+        return render_paces(_histories(named, lags, part, ordinal, known))
 
     out = numbered(df.filter(dated), policy)
-    if runners.agg(F.sum("_rest")).first()[0]:
+    if known.rest:
         out = out.unionByName(numbered(df.filter(~dated), replace(policy, max_rows=None)))
     return _restored(cleaning.use_dense_ids(out), ordinal)
 

@@ -73,14 +73,15 @@ def staging_path(spark: SparkSession, label: str) -> str:
     return f"{staging_root(spark)}/paceforge/{label}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
+def stage(df: DataFrame, label: str, **options: str) -> DataFrame:
     """Write ``df`` once to the shared folder and continue from the written table.
 
     This cuts the lineage and pins values a recomputation could change (partition numbers). Unlike
-    a checkpoint the table stays columnar, so later steps still prune columns.
+    a checkpoint the table stays columnar, so later steps still prune columns. ``options`` go to the
+    Parquet writer.
     """
     path = staging_path(df.sparkSession, label)
-    df.write.mode("errorifexists").parquet(path)
+    df.write.mode("errorifexists").options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
