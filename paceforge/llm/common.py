@@ -44,6 +44,48 @@ def text_key(column: str = "text") -> Column:
     return F.when(c.isNotNull(), F.concat_ws("-", F.hex(F.xxhash64(c)), F.hex(F.xxhash64(F.lit("k"), c))))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until no column of ``df`` has it."""
+    while name in df.columns:
+        name = "_" + name
+    return name
+
+
+def with_text_ids(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with a bigint ``name`` that is the same for rows equal in doc_id and text, and only for them.
+
+    It is the doc_id where that names a single text. A null doc_id, and the other texts of a repeated one,
+    get a number above 2^62 from a hash of doc_id and text, so they come after all usual ids.
+    """
+    text_id = F.coalesce(text_key(), F.lit(""))
+    derived = F.lit(1 << 62) + F.pmod(F.xxhash64(F.col("doc_id"), text_id), F.lit(1 << 61))
+    own = F.col("doc_id").cast("bigint")
+    crowded = (
+        docs.groupBy("doc_id")
+        .agg(F.min(text_id).alias("first"), F.max(text_id).alias("last"))
+        .filter("doc_id IS NOT NULL AND first <> last")
+        .select(F.col("doc_id").alias("id"), "first")
+    )
+    if not crowded.limit(1).count():
+        return docs.withColumn(name, F.coalesce(own, derived))
+    joined = docs.alias("d").join(crowded.alias("c"), F.col("d.doc_id") == F.col("c.id"), "left")
+    moved = F.col("d.doc_id").isNull() | (F.coalesce(text_key("d.text"), F.lit("")) != F.col("c.first"))
+    derived = F.lit(1 << 62) + F.pmod(F.xxhash64(F.col("d.doc_id"), F.coalesce(text_key("d.text"), F.lit(""))), F.lit(1 << 61))
+    return joined.select("d.*", F.when(F.coalesce(moved, F.lit(False)), derived).otherwise(F.col("d.doc_id").cast("bigint")).alias(name))
+
+
+def once_each(rows: DataFrame, key: str) -> DataFrame:
+    """One row of every ``key``; rows whose key is not repeated are not shuffled with their columns."""
+    repeated = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col(key).alias("repeated"))
+    if not repeated.limit(1).count():
+        return rows
+    again = F.col(f"r.{key}") == F.col("k.repeated")
+    alone = rows.alias("r").join(repeated.alias("k"), again, "left_anti")
+    several = rows.alias("r").join(repeated.alias("k"), again, "left_semi")
+    one = several.groupBy(key).agg(F.first(F.struct(*[F.col(f"`{c}`") for c in rows.columns])).alias("row"))
+    return alone.unionByName(one.select("row.*"))
+
+
 class WordHashes(dict):
     """64-bit hash of each word seen, computed once; emptied when it grows past ``most`` words."""
 
@@ -102,6 +144,19 @@ def by_batch(df: DataFrame, rows: Callable[[pa.RecordBatch], dict], schema: str)
     return df.mapInArrow(run, schema)
 
 
+def join_hot(left: DataFrame, right: DataFrame, keys: list[str], n: str, share: int = 1, parts: int = 1_000) -> DataFrame:
+    """Inner join on ``keys``, unique in ``right``, where ``n`` says how many rows of ``left`` have the key.
+
+    Keys above one part in ``parts`` of all rows are fewer than ``share * parts`` if a row has ``share`` keys;
+    they go by broadcast, so that no task receives the rows of a hot key.
+    """
+    total = right.agg(F.sum(n)).first()[0] or 0
+    hot = F.col(n) * parts * share > total
+    heads = F.broadcast(right.filter(hot))
+    rest = left.join(heads.select(*keys), keys, "left_anti").join(right.filter(~hot), keys)
+    return left.join(heads, keys).unionByName(rest)
+
+
 def components(edges: DataFrame, label: str, rounds: int = 60) -> DataFrame:
     """Smallest id reachable over the undirected links (a, b): columns id, component.
 

@@ -7,7 +7,9 @@ a join on position i + h, a count per pair and a numbering over range partitions
 occurs once are resolved and leave; neighbours in the order that tie at depth h and not at 2h have a
 longest common prefix in [h, 2h), so the suffixes of one rank at depth h are a longest-common-prefix
 interval. In every interval of at least ``least`` lines the first place stays and each later one marks
-its lines; marks of one document unite to the maximal repeated runs, which are deleted.
+its lines; marks of one document unite to the maximal repeated runs, which are deleted. Up to ``least``
+lines the depth grows by one, and intervals of fewer lines mark theirs if the lines hold enough words or
+are the whole of two documents.
 
 Everything is DataFrame expressions. Counts and minima are combined before the shuffle; joins are
 between tables in the shared folder, so Spark can split a line or pair that a third of all rows share.
@@ -38,6 +40,10 @@ def _doc_keys() -> list[Column]:
     ]
 
 
+def _words(line: Column) -> Column:
+    return F.regexp_count(line, F.lit(r"[^ \t\r\x0b\x0c]+"))
+
+
 def _written(line: Column) -> Column:
     return F.btrim(line, F.lit(" \t\r\x0b\x0c")) != ""
 
@@ -45,23 +51,25 @@ def _written(line: Column) -> Column:
 def line_positions(docs: DataFrame) -> DataFrame:
     """Places (o, t, i, p) of lines that occur more than once, with the number of the line as rank.
 
-    i counts the lines with a word, p all lines of the document, from 0. Lines are told apart by 96 hash bits.
+    i counts the lines with a word, p all lines of the document, from 0; m is how many the document has and
+    n1 the words of the line. Lines are told apart by 96 hash bits.
     """
     lines = F.transform(
         F.split("text", "\n"),
         lambda line, p: F.struct(
-            p.alias("p"), F.xxhash64(line).alias("h1"), F.hash(line).alias("h2"), _written(line).alias("w")
+            p.alias("p"), F.xxhash64(line).alias("h1"), F.hash(line).alias("h2"), _words(line).alias("w")
         ),
     )
     places = (
         docs.filter(F.col("text").isNotNull())
-        .select(*_doc_keys(), F.posexplode(F.filter(lines, lambda x: x["w"])).alias("i", "e"))
-        .select("o", "t", "i", "e.p", "e.h1", "e.h2")
+        .select(*_doc_keys(), F.filter(lines, lambda x: x["w"] > 0).alias("lines"))
+        .select("o", "t", F.size("lines").alias("m"), F.posexplode("lines").alias("i", "e"))
+        .select("o", "t", "i", "m", "e.p", "e.h1", "e.h2", F.col("e.w").alias("n1"))
     )
     places = stage(places.distinct() if _repeats_rows(docs) else places, "runs-lines")
     names = places.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(_place()).alias("first")).filter("n > 1")
     ranked = stage(number_sorted(names.select("h1", "h2", "first"), ["h1", "h2"], "r", "runs-names"), "runs-ranks")
-    out = stage(places.join(ranked, ["h1", "h2"]).select("o", "t", "i", "p", "r", "first"), "runs-places")
+    out = stage(places.join(ranked, ["h1", "h2"]).select("o", "t", "i", "p", "m", "n1", "r", "first"), "runs-places")
     discard(places)
     discard(ranked)
     return out
@@ -72,34 +80,47 @@ def _repeats_rows(docs: DataFrame) -> bool:
     return bool(docs.groupBy("doc_id").count().filter("count > 1").limit(1).count())
 
 
-def _deeper(level: DataFrame, shift: int) -> DataFrame:
-    """Ranks at ``shift`` lines more; only suffixes that still tie."""
-    ahead = level.select("o", "t", (F.col("i") - shift).alias("i"), F.col("r").alias("r2"))
-    pairs = stage(level.select("o", "t", "i", "r").join(ahead, ["o", "t", "i"]), "runs-pairs")
+def _deeper(level: DataFrame, shift: int, carried: tuple[str, ...] = ()) -> DataFrame:
+    """Ranks at ``shift`` lines more; only suffixes that still tie. ``carried`` (up to ``least`` lines, in
+    steps of one) keeps m, n1 and n, the words of all lines of the suffix so far."""
+    ahead = level.select("o", "t", (F.col("i") - shift).alias("i"), F.col("r").alias("r2"), *[F.col("n").alias("n2")] * bool(carried))
+    total = [(F.col("n1") + F.col("n2")).alias("n")] if carried else []
+    joined = level.select("o", "t", "i", "r", *[c for c in carried if c != "n"]).join(ahead, ["o", "t", "i"])
+    pairs = stage(joined.select("o", "t", "i", "r", "r2", *[c for c in carried if c != "n"], *total), "runs-pairs")
     names = pairs.groupBy("r", "r2").agg(F.count(F.lit(1)).alias("n"), F.min(_place()).alias("first")).filter("n > 1")
     ranked = stage(number_sorted(names.select("r", "r2", "first"), ["r", "r2"], "rank", "runs-names"), "runs-ranks")
     out = stage(
-        pairs.join(ranked, ["r", "r2"]).select("o", "t", "i", F.col("rank").alias("r"), "first"), "runs-level"
+        pairs.join(ranked, ["r", "r2"]).select("o", "t", "i", F.col("rank").alias("r"), "first", *carried), "runs-level"
     )
     discard(pairs)
     discard(ranked)
     return out
 
 
-def later_copies(places: DataFrame, least: int) -> DataFrame:
-    """Suffixes (o, t, i) that share ``depth`` >= ``least`` lines with an earlier place."""
-    depth, level, found = 1, places, None
+def _short_copies(level: DataFrame, depth: int, words: int) -> DataFrame:
+    """Later copies of runs of fewer than ``least`` lines: long enough in words, or whole documents."""
+    at = F.lit(depth).alias("depth")
+    wordy = level.filter((F.col("n") >= words) & (_place() != F.col("first"))).select("o", "t", "i", at)
+    whole = level.filter((F.col("i") == 0) & (F.col("m") == depth))
+    origin = whole.groupBy("r").agg(F.min(F.struct("o", "t")).alias("origin"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
+    copies = whole.join(origin, "r").filter(F.struct("o", "t") != F.col("origin")).select("o", "t", "i", at)
+    return wordy.union(copies)
+
+
+def later_copies(places: DataFrame, least: int, words: int) -> DataFrame:
+    """Suffixes (o, t, i) whose first ``depth`` lines stand at an earlier place and count as a run."""
+    depth, level, found = 1, places.withColumn("n", F.col("n1")), None
     while True:
         if depth >= least:
             later = level.filter(_place() != F.col("first")).select("o", "t", "i", F.lit(depth).alias("depth"))
-            found = later if found is None else found.union(later)
-        shift = min(depth, least - depth) if depth < least else depth
-        level = _deeper(level, shift)
+        else:
+            later = _short_copies(level, depth, words)
+        found = later if found is None else found.union(later)
+        shift = 1 if depth < least else depth
+        level = _deeper(level, shift, ("m", "n1", "n") if depth + 1 < least else ())
         depth += shift
         if level.limit(1).count() == 0:
             break
-    if found is None:
-        found = places.limit(0).select("o", "t", "i", F.lit(0).alias("depth"))
     return found
 
 
@@ -116,35 +137,39 @@ def _filter_bit(key: Column) -> Column:
 
 
 def _document_filter(plan: DataFrame) -> DataFrame:
-    """Bitmaps (__row, __bits) of the documents in ``plan``; at most 1024 rows of 4 KB whatever its size."""
-    key = F.xxhash64("__key_o", "__key_t")
-    return plan.groupBy(_filter_row(key).alias("__row")).agg(
-        F.bitmap_construct_agg(_filter_bit(key)).alias("__bits")
-    )
+    """Bitmaps (row, bits) of the documents in ``plan``; at most 1024 rows of 4 KB whatever its size."""
+    key = F.xxhash64("o", "t")
+    return plan.groupBy(_filter_row(key).alias("row")).agg(F.bitmap_construct_agg(_filter_bit(key)).alias("bits"))
 
 
 def _may_hold(bits: str) -> Column:
     """Whether the filter has the document's bit; false for a document without a row."""
-    bit = _filter_bit(F.xxhash64("__key_o", "__key_t"))
+    bit = _filter_bit(F.xxhash64("o", "t"))
     byte = F.conv(F.hex(F.substring(bits, F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     return F.coalesce(F.bit_get(byte, bit % 8) == 1, F.lit(False))
 
 
-def remove_repeated_lines(docs: DataFrame, least: int = 3) -> DataFrame:
-    """The rows of ``docs`` without later copies of runs of at least ``least`` lines.
+def remove_repeated_lines(
+    docs: DataFrame, least: int = 3, words: int = 50, counts: tuple[str, str] | None = ("_n_lines", "_n_removed")
+) -> DataFrame:
+    """The rows of ``docs`` without later copies of repeated runs of lines.
 
-    Returns every column of ``docs`` with the text shortened, and _n_lines, _n_removed (lines with a
-    word). A run is consecutive lines with a word inside one document, equal to the character; blank
-    lines between are skipped over and stay. The first copy, by doc_id and then position, stays; runs
-    that repeat inside a document lose their later copies as well.
+    A run is consecutive lines with a word inside one document, equal to the character; blank lines between
+    are skipped over and stay. Runs of at least ``least`` lines count, shorter ones if they hold at least
+    ``words`` words, and a document whose lines all stand in another as its whole. The first copy, by doc_id
+    and then position, stays; runs that repeat inside a document lose their later copies as well.
 
-    Null text stays null; texts without lines are unchanged; a document that repeats another as a whole
-    keeps an empty text (or its blank lines). Null doc_id counts as later than any other. Repeated rows
-    (equal doc_id and text) are one document and all keep the same lines. Extra columns pass through;
-    those named like the two new ones are replaced; an empty table gives no rows.
+    Returns every column of ``docs`` with the text shortened, and, under the names in ``counts``, the lines
+    with a word and how many of them went. Null text stays null; texts without lines are unchanged; a
+    document that repeats another as a whole keeps an empty text (or its blank lines). Null doc_id counts as
+    later than any other. Repeated rows (equal doc_id and text) are one document and all keep the same
+    lines. Columns of ``docs`` named like the two new ones are replaced, all others pass through whatever
+    their names; an empty table gives no rows.
     """
+    own = [c for c in docs.columns if counts is None or c not in counts]
+    docs = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("doc"), "doc_id", "text")
     places = line_positions(docs)
-    later = later_copies(places, least).groupBy(*_DOC, "i").agg(F.max("depth").alias("depth"))
+    later = later_copies(places, least, words).groupBy(*_DOC, "i").agg(F.max("depth").alias("depth"))
     by_line = Window.partitionBy(*_DOC).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     by_raw = Window.partitionBy(*_DOC).orderBy("p")
     deleted = (
@@ -156,43 +181,38 @@ def remove_repeated_lines(docs: DataFrame, least: int = 3) -> DataFrame:
     )
     # Lines kept between deleted ones, as (start, length) for slice(); what follows the last is open.
     gap = F.col("p") - F.col("before") - 1
-    plan = stage(
-        deleted.groupBy(*_DOC).agg(
+    cut = stage(
+        deleted.groupBy(*_DOC)
+        .agg(
             F.sort_array(F.collect_list(F.when(gap > 0, F.struct((F.col("before") + 2).alias("at"), gap.alias("n"))))).alias("gaps"),
             F.max("p").alias("last"),
             F.count(F.lit(1)).alias("n_deleted"),
-        ),
+        )
+        .select("o", "t", F.struct("gaps", "last", "n_deleted").alias("cut")),
         "runs-plan",
     )
     discard(places)
-    keys = [k.alias(f"__key_{n}") for k, n in zip(_doc_keys(), _DOC, strict=True)]
-    cut = plan.select(
-        F.col("o").alias("__key_o"),
-        F.col("t").alias("__key_t"),
-        F.struct("gaps", "last", "n_deleted").alias("__cut"),
-    )
-    lines = F.split("text", "\n")
+    lines = F.split("doc.text", "\n")
     kept = F.concat(
-        F.flatten(F.transform("__cut.gaps", lambda s: F.slice(lines, s["at"], s["n"]))),
-        F.slice(lines, F.col("__cut.last") + 2, F.greatest(F.size(lines), F.lit(1))),
+        F.flatten(F.transform("cut.gaps", lambda s: F.slice(lines, s["at"], s["n"]))),
+        F.slice(lines, F.col("cut.last") + 2, F.greatest(F.size(lines), F.lit(1))),
     )
     # Only documents the filter lets through meet the plan; it grows with the input, so their texts may be shuffled.
-    key = F.xxhash64("__key_o", "__key_t")
-    marked = docs.select("*", *keys).withColumn("__row", _filter_row(key))
-    marked = marked.join(F.broadcast(_document_filter(cut)), "__row", "left").withColumn("__may", _may_hold("__bits"))
-    marked = marked.drop("__row", "__bits")
-    untouched = marked.filter(~F.col("__may")).withColumn("__cut", F.lit(None).cast(cut.schema["__cut"].dataType))
-    joined = marked.filter("__may").join(cut, ["__key_o", "__key_t"], "left").unionByName(untouched)
+    key = F.xxhash64("o", "t")
+    marked = docs.select("doc", *_doc_keys()).withColumn("row", _filter_row(key))
+    marked = marked.join(F.broadcast(_document_filter(cut)), "row", "left").withColumn("may", _may_hold("bits"))
+    marked = marked.select("doc", "o", "t", "may")
+    untouched = marked.filter("NOT may").withColumn("cut", F.lit(None).cast(cut.schema["cut"].dataType))
+    joined = marked.filter("may").join(cut, _DOC, "left").unionByName(untouched)
     out = [
-        F.when(F.col("__cut").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text")
+        F.when(F.col("cut").isNull(), F.col("doc.text")).otherwise(F.array_join(kept, "\n")).alias("text")
         if c == "text"
-        else F.col(f"`{c}`")
-        for c in docs.columns
-        if c not in ("_n_lines", "_n_removed")
+        else F.col(f"doc.`{c}`").alias(c)
+        for c in own
     ]
-    written = F.size(F.filter(lines, _written))
+    if counts is None:
+        return joined.select(*out)
+    written = F.when(F.col("doc.text").isNull(), 0).otherwise(F.size(F.filter(lines, _written)))
     return joined.select(
-        *out,
-        F.when(F.col("text").isNull(), 0).otherwise(written).cast("long").alias("_n_lines"),
-        F.coalesce("__cut.n_deleted", F.lit(0)).cast("long").alias("_n_removed"),
+        *out, written.cast("long").alias(counts[0]), F.coalesce("cut.n_deleted", F.lit(0)).cast("long").alias(counts[1])
     )

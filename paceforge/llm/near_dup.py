@@ -166,9 +166,13 @@ def near_duplicates(
     a component. Other columns are ignored; an empty table gives no rows.
 
     The only step that is not exact is the sketch: a pair at the threshold is missed if its estimate
-    falls five standard deviations short or its sketches share under half their values, each below one
-    in a million for ``k`` of 64. Sets of up to ``k`` shingles are compared exactly throughout.
+    falls five standard deviations short or its sketches share under half their values. For ``k`` of 64 each
+    is below one in a million from 80 per cent on; the second grows to about one in ten thousand at 70 and
+    one in a hundred at 60, where ``k`` should be raised. Below 60 per cent two sketches need not share half
+    their values, so that is refused. Sets of up to ``k`` shingles are compared exactly throughout.
     """
+    if percent < 60:
+        raise ValueError("sketches can't propose pairs below 60 per cent")
     spark = docs.sparkSession
     source = docs.select("doc_id", utf8("text").alias("body"))
     id_type = dict(source.dtypes)["doc_id"]

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paceforge.llm.common import Tables, ngram_hashes
+from paceforge.session import stage
 
 _BITS = 22
 
@@ -172,10 +173,12 @@ def find_leaks(
     asks for a q-gram; passages shorter than q must stand there word for word.
 
     Null or blank texts and passages match nothing. Null ids are carried as null. Repeated documents and
-    passages give repeated rows. Other columns are ignored; empty tables give no rows.
+    passages, and item_ids with several texts, give a row each. Other columns are ignored; empty tables give
+    no rows.
 
     The benchmark is the stated query set. It goes to the tasks in blocks of about ``block_chars``
-    characters, one scan of the documents each, so what is sent at once has a bound.
+    characters, one scan of the documents each, so what is sent at once has a bound. With more than one
+    block each scan's rows are written before the next block is read, so the driver holds one block.
     """
     own = docs.select("doc_id", "text")
     id_type, item_type = dict(own.dtypes)["doc_id"], dict(benchmark.dtypes)["item_id"]
@@ -187,6 +190,7 @@ def find_leaks(
         part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, blocks))) == block)
         passages = [(r["item_id"], t) for r in part.collect() if (t := normalise(r["text"]))]
         found = own.mapInArrow(_search(passages, q, edit_percent, own.schema["doc_id"], benchmark.schema["item_id"]), schema)
+        found = stage(found, "leaks") if blocks > 1 else found
         result = found if result is None else result.union(found)
     return result
 
@@ -197,12 +201,10 @@ def _search(passages: list[tuple[int, str]], q: int, edit_percent: int, doc_fiel
     doc_type, item_type = to_arrow_type(doc_field.dataType), to_arrow_type(item_field.dataType)
 
     def run(batches: Tables) -> Tables:
-        index = PassageIndex(passages, q, edit_percent)
-        sizes = [len(t) for _, t in passages]
-        length = {item: n for (item, _), n in zip(passages, sizes, strict=True)}
+        index = PassageIndex(list(enumerate(t for _, t in passages)), q, edit_percent)
         for batch in batches:
             rows = [
-                (doc, item, s, e, edits, length[item])
+                (doc, passages[item][0], s, e, edits, len(passages[item][1]))
                 for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True)
                 if text
                 for item, s, e, edits in index.find(normalise(text))

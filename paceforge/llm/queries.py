@@ -30,12 +30,16 @@ ORACLES: dict[str, str] = {}
 
 #: Shards of op1, window of op2, threshold of op9.
 SHARDS, WINDOW, PERCENT = 40, 50, 85
-LEAST_LINES = 3
+#: Runs of op10: so many lines, or so many words in fewer lines.
+LEAST_LINES, LEAST_WORDS = 3, 50
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _FOLD = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+_FACTOR = "({0} * {1}::UHUGEINT) % 18446744073709551616::UHUGEINT"
+
+
 def _query(name: str, sql: str | None = None):
     def keep(fn):
         QUERIES[name] = fn
@@ -98,10 +102,27 @@ line AS (
 ),
 norm AS (SELECT *, array_to_string(ls, ' ') AS l FROM line WHERE len(ls) > 0),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM norm GROUP BY doc_id),
-hosts AS (SELECT host, count(DISTINCT text) AS texts FROM d GROUP BY host),
+text AS (SELECT host, text, min(doc_id) AS rep FROM d GROUP BY host, text),
+token AS (
+  SELECT rep, list_transform(regexp_extract_all({_FOLD.format("text")}, '[^\x20\x09-\x0D]+'), lambda w: CAST(CAST('0x' || substr(md5(w), 1, 15) AS BIGINT) AS UHUGEINT)) AS hs
+  FROM text
+),
+gram AS (
+  SELECT DISTINCT rep, ({_FACTOR.format("hs[i]", line_quality.WINDOW_FACTORS[0])} + {_FACTOR.format("hs[i + 1]", line_quality.WINDOW_FACTORS[1])}
+    + {_FACTOR.format("hs[i + 2]", line_quality.WINDOW_FACTORS[2])}) % {1 << 64}::UHUGEINT AS g
+  FROM (SELECT rep, hs, unnest(range(1, len(hs) - 1)) AS i FROM token)
+),
+least AS (
+  SELECT rep, j, min(g * f % {1 << 64}::UHUGEINT) AS v
+  FROM gram, (VALUES {", ".join(f"({j}, {f}::UHUGEINT)" for j, f in enumerate(line_quality.SIGNATURE_FACTORS))}) AS factor(j, f) GROUP BY rep, j
+),
+led AS (SELECT rep, min(rep) OVER (PARTITION BY host, j, v) AS lead FROM least JOIN text USING (rep)),
+agreed AS (SELECT rep, lead FROM led WHERE lead <> rep GROUP BY rep, lead HAVING count(*) >= {line_quality.AGREEING}),
+family AS (SELECT host, text, coalesce(min(lead), rep) AS family FROM text LEFT JOIN agreed USING (rep) GROUP BY host, text, rep),
+hosts AS (SELECT host, count(DISTINCT family) AS families FROM family GROUP BY host),
 often AS (
-  SELECT host, l FROM norm JOIN hosts USING (host) GROUP BY host, l, texts
-  HAVING count(DISTINCT text) > 20 AND 100 * count(DISTINCT text) > 5 * texts
+  SELECT host, l FROM norm JOIN family USING (host, text) JOIN hosts USING (host) GROUP BY host, l, families
+  HAVING count(DISTINCT family) > 20 AND (100 * count(DISTINCT family) > 5 * families OR count(DISTINCT family) > 200)
 ),
 cut AS (SELECT doc_id, sum(len(ls)) AS n_cut FROM norm JOIN often USING (host, l) GROUP BY doc_id),
 base AS (
@@ -202,7 +223,7 @@ def _op8_sql() -> str:
         f"([{', '.join(repr(w) for w in p.split())}], '{label}')" for p, label in license_scan.PHRASES
     )
     templates = ", ".join(
-        f"({i}, '{label}', {sorted({w.decode() for w in license_scan.tokens(t.encode())})})"
+        f"({i}, '{label}', {license_scan.block_words(license_scan.tokens(t.encode()))}, {sorted({w.decode() for w in license_scan.tokens(t.encode())})})"
         for i, (label, t) in enumerate(license_scan.TEMPLATES)
     )
     return rf"""
@@ -216,13 +237,13 @@ base AS (
   SELECT doc_id, count(*) AS n_base, min(i) - 1 AS first_word, max(i) - 1 AS last_word, list(DISTINCT label) AS labels
   FROM place GROUP BY doc_id
 ),
-template(k, label, words) AS (VALUES {templates}),
+template(k, label, span, words) AS (VALUES {templates}),
 block AS (
-  SELECT doc_id, list_distinct(regexp_extract_all({_FOLD.format("line")}, {word})) AS b
-  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d)
+  SELECT doc_id, label, words, list_distinct(ws[i:i + span - 1]) AS b
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM d), template WHERE list_contains(words, ws[i])
 ),
 hit AS (
-  SELECT doc_id, label, len(list_intersect(words, b)) / len(words) AS c FROM block, template
+  SELECT doc_id, label, len(list_intersect(words, b)) / len(words) AS c FROM block
   WHERE len(list_intersect(words, b)) >= ceil(0.9 * len(words) - 1e-9)
 ),
 more AS (SELECT doc_id, list(DISTINCT label) AS labels, max(c) AS c FROM hit GROUP BY doc_id)
@@ -268,18 +289,23 @@ _OP10 = rf"""
 WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
 line AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS p FROM d),
 seq AS (
-  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS i FROM line
-  WHERE trim(line, concat(' ', chr(9), chr(11), chr(12), chr(13))) <> ''
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS i, count(*) OVER (PARTITION BY doc_id) AS m
+  FROM (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM line) WHERE n > 0
 ),
 win AS (
-  SELECT *, lead(line, 1) OVER w AS l2, lead(line, 2) OVER w AS l3 FROM seq WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+  SELECT *, lead(line, 1) OVER w AS l2, lead(line, 2) OVER w AS l3, lead(n, 1) OVER w AS n2
+  FROM seq WINDOW w AS (PARTITION BY doc_id ORDER BY i)
 ),
-later AS (
-  SELECT doc_id, i FROM (
-    SELECT *, row_number() OVER (PARTITION BY line, l2, l3 ORDER BY doc_id, i) AS k FROM win WHERE l3 IS NOT NULL
-  ) WHERE k > 1
+copy AS (
+  SELECT doc_id, i, 3 AS depth, row_number() OVER (PARTITION BY line, l2, l3 ORDER BY doc_id, i) AS k FROM win WHERE l3 IS NOT NULL
+  UNION ALL
+  SELECT doc_id, i, 2, row_number() OVER (PARTITION BY line, l2 ORDER BY doc_id, i) FROM win WHERE n + n2 >= {LEAST_WORDS}
+  UNION ALL
+  SELECT doc_id, i, 1, row_number() OVER (PARTITION BY line ORDER BY doc_id, i) FROM win WHERE n >= {LEAST_WORDS}
+  UNION ALL
+  SELECT doc_id, i, m, row_number() OVER (PARTITION BY m, line, l2 ORDER BY doc_id) FROM win WHERE i = 1 AND m < {LEAST_LINES}
 ),
-gone AS (SELECT DISTINCT doc_id, unnest([i, i + 1, i + 2]) AS i FROM later),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + depth)) AS i FROM copy WHERE k > 1),
 dead AS (SELECT doc_id, p FROM seq JOIN gone USING (doc_id, i)),
 kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY p) AS text FROM line ANTI JOIN dead USING (doc_id, p) GROUP BY doc_id),
 cut AS (SELECT doc_id, count(*) AS n FROM dead GROUP BY doc_id),
@@ -292,7 +318,7 @@ FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN cut USING (doc_id) LEFT JOIN size
 @_query("op10_line_suffix_array", _OP10)
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     docs = common.documents(spark, sf).select("doc_id", "text")
-    out = line_runs.remove_repeated_lines(docs, LEAST_LINES)
+    out = line_runs.remove_repeated_lines(docs, LEAST_LINES, LEAST_WORDS)
     return out.select("doc_id", "text", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"))
 
 

@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from edge_rows import empty, frame, rows
+from edge_rows import empty, frame, prose, rows
 
 from paceforge.llm import common, line_runs, near_dup, phrase_dedup
 
@@ -134,38 +134,54 @@ def test_components_of_a_long_path(spark):
     assert got == {**dict.fromkeys(range(121), 0), 500: 500, 501: 500}
 
 
-def plain_lines(table, m):
+def plain_lines(table, m, words=50):
     docs = sorted({(LAST if d is None else d, t) for d, t in table if t is not None})
     blank = " \t\r\x0b\x0c"
-    first, out = {}, {}
+    own = [[x for x in t.split("\n") if x.strip(blank)] for _, t in docs]
+    first, wholes, out = {}, {}, {}
+    for k, lines in enumerate(own):
+        wholes.setdefault(tuple(lines), k)
+        for n in range(1, m + 1):
+            for i in range(len(lines) - n + 1):
+                first.setdefault(tuple(lines[i : i + n]), (k, i))
     for k, (d, t) in enumerate(docs):
-        lines = t.split("\n")
-        own = [x for x in lines if x.strip(blank)]
-        for i in range(len(own) - m + 1):
-            first.setdefault(tuple(own[i : i + m]), (k, i))
-    for k, (d, t) in enumerate(docs):
-        lines = t.split("\n")
-        idx = [p for p, x in enumerate(lines) if x.strip(blank)]
+        idx = [p for p, x in enumerate(t.split("\n")) if x.strip(blank)]
         gone = set()
-        for i in range(len(idx) - m + 1):
-            if first[tuple(lines[p] for p in idx[i : i + m])] != (k, i):
-                gone |= set(idx[i : i + m])
-        out[(d, t)] = ("\n".join(x for p, x in enumerate(lines) if p not in gone), len(idx), len(gone))
+        for n in range(1, m + 1):
+            for i in range(len(idx) - n + 1):
+                run = tuple(own[k][i : i + n])
+                long = n == m or sum(len(x.split()) for x in run) >= words
+                if (long and first[run] != (k, i)) or (n == len(idx) and wholes[run] != k):
+                    gone |= set(idx[i : i + n])
+        out[(d, t)] = ("\n".join(x for p, x in enumerate(t.split("\n")) if p not in gone), len(idx), len(gone))
     return out
 
 
-@pytest.mark.parametrize("least", [1, 3])
+@pytest.mark.parametrize("least", [1, 3, 4])
 def test_line_runs(spark, least):
-    table = [(r[0], r[1]) for r in rows()]
+    long = prose(400, 40).replace("\n", " ")
+    half = [prose(30, 41 + k).replace("\n", " ") for k in range(3)]
+    more = [
+        (200, f"x\n{long}\ny"), (201, f"z\n{long}\n\n{long}"), (202, long), (203, f"{half[0]}\n{half[1]}\nend"), (204, f"so\n{half[0]}\n\n{half[1]}"),
+        (205, f"{half[0]}\n{half[2]}"), (206, "tiny whole\ntext"), (207, "tiny whole\n \ntext"), (208, "so\ntiny whole"), (209, "tiny whole\ntext\nand more"), (210, "text"), (211, "text"),
+    ]
+    every = rows() + [(d, t, *rows()[0][2:]) for d, t in more]
+    table = [(r[0], r[1]) for r in every]
     # Documents of one id with different texts have no order of their own; leave one of each.
     table = [x for k, x in enumerate(table) if not any(x[0] == y[0] and x[1] != y[1] for y in table[:k])]
-    some = [r for r in rows() if (r[0], r[1]) in table]
+    some = [r for r in every if (r[0], r[1]) in table]
     want = plain_lines(table, least)
     out = line_runs.remove_repeated_lines(frame(spark, some), least)
     assert out.columns == [c for c in frame(spark).columns if c != "_n_lines"] + ["_n_lines", "_n_removed"]
     got = out.select("doc_id", "text", "_n_lines", "_n_removed").collect()
     expected = [(d, *(want[(LAST if d is None else d, t)] if t is not None else (None, 0, 0))) for d, t in table]
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, expected))
+    assert want[(201, more[1][1])][2] == 2 and want[(207, more[7][1])][2] == 2
+
+
+def test_sketches_refuse_low_thresholds(spark):
+    with pytest.raises(ValueError, match="60"):
+        near_dup.near_duplicates(frame(spark), 40)
 
 
 def test_empty_tables(spark):

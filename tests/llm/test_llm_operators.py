@@ -83,13 +83,16 @@ def test_leaks(spark, block):
     bench = spark.createDataFrame([(1, passage, 5), (2, None, 5), (3, " ", 5), (4, "unseen text " * 9, 5), (5, "zz", 5)], "item_id long, text string, start int")
     got = qgram_decontam.find_leaks(frame(spark, docs), bench, block_chars=block).collect()
     assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(901, 1), (902, 1)]
+    twice = spark.createDataFrame([(1, passage), (1, passage[:150])], "item_id long, text string")
+    got = qgram_decontam.find_leaks(frame(spark, docs), twice, block_chars=block).filter("doc_id = 901").collect()
+    assert sorted((r["item_id"], r["item_chars"]) for r in got) == [(1, len(passage[:150].strip())), (1, len(passage))]
     assert qgram_decontam.find_leaks(empty(spark), bench).count() == 0
     assert qgram_decontam.find_leaks(frame(spark), bench.limit(0)).count() == 0
 
 
 def test_quality(spark):
     common = "buy now at our shop"
-    docs = rows() + [(1000 + k, "\n".join([common] * 12) + f"\nonly {k}", "en", "hub", 1, *rows()[0][5:]) for k in range(40)]
+    docs = rows() + [(1000 + k, "\n".join([common] * 12) + "\n" + prose(15, 5000 + k), "en", "hub", 1, *rows()[0][5:]) for k in range(40)]
     docs += [(2000 + k, prose(90, 3000 + k), "en", "hub", 1, *rows()[0][5:]) for k in range(40)]
     got = {(r["doc_id"], r["text_id"]): r for r in line_quality.line_frequency_rules(frame(spark, docs)).collect()}
     by_id = {k[0]: r for k, r in got.items()}
@@ -105,6 +108,22 @@ def test_quality(spark):
     assert one["host"] == ""
 
 
+def test_lines_are_counted_by_families(spark):
+    more = rows()[0][5:]
+    base = prose(280, 60).split("\n")
+    copies = [(k, "\n".join(base[: k % 20] + [f"edit {k}"] + base[k % 20 :]), "en", "a", 1, *more) for k in range(60)]
+    banner = [(100 + k, f"we use cookies\non this site\n{prose(80, 900 + k)}", "en", "b", 1, *more) for k in range(60)]
+    # on a large host a line in few of a hundred documents
+    large = [(1000 + k, ("home and contact\n" if k % 25 == 0 else "") + prose(60, 2000 + k), "en", "c", 1, *more) for k in range(1500)]
+    table = frame(spark, copies + banner + large)
+    got = {r["doc_id"]: r for r in line_quality.line_frequency_rules(table).collect()}
+    assert all(got[k]["kept"] and got[k]["n_removed_words"] == 0 for k in range(60))
+    assert all(got[100 + k]["n_removed_words"] == 6 for k in range(60))
+    assert got[1000]["n_removed_words"] == 0
+    low = {r["doc_id"]: r for r in line_quality.line_frequency_rules(table, limit_any=50).collect()}
+    assert low[1000]["n_removed_words"] == 3 and all(low[k]["n_removed_words"] == 0 for k in range(60))
+
+
 def plain_best_fit(sizes, sources, clusters, capacity):
     bins, out = [], []
     for z, s, c in zip(sizes, sources, clusters):
@@ -228,11 +247,27 @@ def test_licenses(spark):
     assert got[1][1:8] == (8, 3, 2, 6, "mit", "mit", 1.0)
     assert got[1]["base_labels"] == "mit" and got[4]["base_labels"] == "gpl" and got[4]["first_word"] == 1
     assert got[2][1:8] == got[3][1:8] == (0, 0, None, None, "", "", 0.0)
-    assert got[5]["labels"] == "cc-by-nc" and got[5]["base_labels"] == "" and got[5]["blocks"][0]["line"] == 1
+    assert got[5]["labels"] == "cc-by-nc" and got[5]["base_labels"] == ""
+    assert (got[5]["blocks"][0]["first"], got[5]["blocks"][0]["end"]) == (1, 8)
     assert got[6]["labels"] == got[7]["labels"] == got[8]["labels"] == "" and got[None]["labels"] == "apache"
     assert license_scan.scan_licenses(empty(spark)).count() == 0
 
 
+def test_wrapped_notices_and_scattered_words(spark):
+    mit, gpl = license_scan.TEMPLATES[0][1].split(), license_scan.TEMPLATES[6][1].split()
+    wrapped = "\n".join(" * " + " ".join(mit[i : i + 9]) for i in range(0, len(mit), 9))
+    edited = "# " + "\n# ".join(" ".join(gpl[i : i + 7]) for i in range(0, len(gpl), 7)).replace("redistribute", "copy")
+    texts = [
+        (1, prose(60, 1) + "\n" + wrapped + "\n" + prose(40, 2)), (2, edited), (3, "Her speech about rights was reserved for all guests"),
+        (4, "all\nrights\n\nreserved"), (5, " ".join(w + " " + prose(9, i) for i, w in enumerate(mit))),
+    ]
+    got = {r["doc_id"]: r for r in license_scan.scan_licenses(frame(spark, [(d, t, None, None, None, *rows()[0][5:]) for d, t in texts])).collect()}
+    assert [got[d]["labels"] for d in range(1, 6)] == ["mit", "gpl", "", "all-rights-reserved", ""]
+    block = got[1]["blocks"][0]
+    assert block["containment"] == 1 and (block["first"], block["end"]) == (60, 60 + len(license_scan.tokens(" ".join(mit).encode())))
+    assert got[2]["score"] == 1 and got[2]["blocks"][0]["containment"] < 1
+
+
 def test_template_filters_lose_nothing():
     rnd = random.Random(9)
     words = [f"t{i}" for i in range(25)]
@@ -240,13 +275,20 @@ def test_template_filters_lose_nothing():
     for threshold in (0.5, 0.8, 1.0):
         index = license_scan.TemplateIndex(templates, {w.encode(): rnd.randint(0, 5) for w in words}, threshold)
         for _ in range(200):
-            block = [rnd.choice(words).encode() for _ in range(rnd.randint(0, 30))]
+            text = [rnd.choice(words + ["x"] * 20).encode() for _ in range(rnd.randint(0, 40))]
             want = {}
             for i, (_, t) in enumerate(templates):
                 own = {w.encode() for w in t.split()}
-                if len(own & set(block)) >= max(1, threshold * len(own) - 1e-9):
-                    want[i] = len(own & set(block)) / len(own)
-            assert index.matches(block) == want
+                span = license_scan.block_words(t.split())
+                most = max((len(own & set(text[at : at + span])) for at in range(len(text))), default=0)
+                if most >= max(1, threshold * len(own) - 1e-9):
+                    want[i] = most / len(own)
+            found = {}
+            for i, first, end, c in index.matches(text):
+                own = {w.encode() for w in templates[i][1].split()}
+                assert c == len(own & set(text[first:end])) / len(own) and end - first <= index.span[i]
+                found[i] = max(c, found.get(i, 0))
+            assert found == want
 
 
 def test_schema_has_clashing_names():
