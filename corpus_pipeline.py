@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paceforge.llm import line_quality, line_runs, near_dup, packing, qgram_decontam
+from paceforge.llm import common, line_quality, line_runs, near_dup, packing, qgram_decontam
 from paceforge.session import stage
 
 
@@ -20,29 +20,52 @@ def _measured(out: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and keep enough words, without their host's frequent lines."""
+    """Documents that pass the base rules and keep enough words, without their host's frequent lines.
+
+    Null and empty texts fail the rules. Repeated rows are judged alike and all stay.
+    """
     return _measured(line_quality.remove_frequent_lines(docs), docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without later copies of line runs; n_chars follows the text."""
-    return _measured(line_runs.remove_repeated_lines(docs), docs)
+    """Texts without later copies of line runs; n_chars follows the text.
+
+    Every row stays, null texts as they are; a document that repeats another as a whole has an empty text.
+    """
+    return _measured(line_runs.remove_repeated_lines(docs, counts=None), docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    dropped = near_dup.near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(dropped, docs["doc_id"] == dropped["__id"], "left_anti")
+    """One document of each group of near duplicates, and one row of each document.
+
+    A document is a doc_id with its text: other texts of a repeated doc_id, and texts without one, are
+    documents of their own and come after all others in their group. Empty texts have no duplicates.
+    """
+    key = common.unused(docs, "key")
+    rows = common.with_text_ids(docs, key)
+    verdicts = near_dup.near_duplicates(rows.select(F.col(f"`{key}`").alias("doc_id"), "text"))
+    dropped = verdicts.filter("NOT kept").select(F.col("doc_id").alias(key)).distinct()
+    return common.once_each(rows.join(dropped, key, "left_anti"), key).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark passage."""
+    """Documents that hold no benchmark passage.
+
+    Rows leave by doc_id and text, so a passage in one text says nothing of others with its doc_id, or none.
+    """
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    leaks = qgram_decontam.find_leaks(docs, benchmark).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["__id"]), "left_anti")
+    key = common.unused(docs, "key")
+    rows = common.with_text_ids(docs, key)
+    found = qgram_decontam.find_leaks(rows.select(F.col(f"`{key}`").alias("doc_id"), "text"), benchmark)
+    leaks = found.select(F.col("doc_id").alias(key)).distinct()
+    return rows.join(leaks, key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in bins, one row each; documents without words have a row without a bin.
+
+    Rows without a source or doc_id are packed like others; repeated rows are pieces of their own.
+    """
     return packing.pack_documents(docs)
 
 
