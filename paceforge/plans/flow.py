@@ -63,9 +63,9 @@ def _histories(
         windows.append(timeline.lag_columns(present(timeline.LAGS), lags))
     keys = timeline.Keys(tie=tie)
     df = timeline.add_history(
-        _sortable(df, tie), timeline.combine(*windows), max(1, lags), keys=keys, policy=policy, known=known
+        sortable(df, tie), timeline.combine(*windows), max(1, lags), keys=keys, policy=policy, known=known
     )
-    df = _restored(df, tie)
+    df = restored(df, tie)
     df = timeline.add_differences(df)
     d = F.col("date")
     return df.withColumns(
@@ -78,7 +78,7 @@ def _histories(
     )
 
 
-def _sortable(df: DataFrame, name: str) -> DataFrame:
+def sortable(df: DataFrame, name: str) -> DataFrame:
     """Text ids so that they sort as numbers (9 before 10), other text after all numbers."""
     if not isinstance(df.schema[name].dataType, T.StringType):
         return df
@@ -87,8 +87,8 @@ def _sortable(df: DataFrame, name: str) -> DataFrame:
     return df.withColumn(name, F.concat(F.when(text.rlike("^[0-9]+$"), size).otherwise("~" * 10), text))
 
 
-def _restored(out: DataFrame, name: str) -> DataFrame:
-    """Undo :func:`_sortable`."""
+def restored(out: DataFrame, name: str) -> DataFrame:
+    """Undo :func:`sortable`."""
     if not isinstance(out.schema[name].dataType, T.StringType):
         return out
     return out.withColumn(name, F.substring(q(name), F.lit(11), F.length(q(name))))
@@ -109,7 +109,7 @@ def _numbered(df: DataFrame, lags: int, policy: SplitPolicy, ordinal: str) -> Da
     exchanged once, as the windows accept the partitioning of the join. Rows without a date or
     runner have no history; they go a separate way so that many of them cannot pile up on one key.
     """
-    df = _prepared(_sortable(df, ordinal))
+    df = _prepared(sortable(df, ordinal))
     spec = timeline.TRAILING.within(df)
     # one pass per runner, and one aggregate over its result, tell all that the plans depend on
     runners = cleaning.runner_table(df, ordinal, timeline.size_measures(spec))
@@ -123,7 +123,7 @@ def _numbered(df: DataFrame, lags: int, policy: SplitPolicy, ordinal: str) -> Da
     out = numbered(df.filter(dated), policy)
     if known.rest:
         out = out.unionByName(numbered(df.filter(~dated), replace(policy, max_rows=None)))
-    return _restored(cleaning.use_dense_ids(out), ordinal)
+    return restored(cleaning.use_dense_ids(out), ordinal)
 
 
 def feature_stage(
@@ -158,8 +158,8 @@ def sequence_stage(
     if "average_cadence" in df.columns:
         df = df.withColumn("average_cadence", F.col("average_cadence") * 2)
     keys = timeline.Keys(tie=tie)
-    out = timeline.sequences(_sortable(df, tie), window_size, include_targets, keys=keys, policy=policy)
-    return _restored(out, tie)
+    out = timeline.sequences(sortable(df, tie), window_size, include_targets, keys=keys, policy=policy)
+    return restored(out, tie)
 
 
 def run(raw: DataFrame, lags: int = 4, policy: SplitPolicy = DEFAULT_POLICY) -> DataFrame:

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from paceforge import schema, testbed
+from paceforge.operators import cleaning
 from paceforge.operators.skew import SplitPolicy
 from paceforge.plans import flow
 from paceforge.plans.oracle_text import BY_RUN, PACED, colon, prime, trailing
-from paceforge.plans.querybook import register
+from paceforge.plans.querybook import r6, register
 from paceforge.schema import q
 from paceforge.session import staging_path
-from paceforge.streaming import ingest
+from paceforge.streaming import history, ingest
 from paceforge.testbed import with_ctes
 
 _PLAIN = ["distance", "elapsed_time", "moving_time", "max_heart_rate", "average_heart_rate", "average_cadence",
@@ -106,3 +107,48 @@ def ingest_status_log(spark, sf):
     raw.agg(F.count(F.lit(1)).cast("string").alias("value")).coalesce(1).write.text(f"{inbox}/notes")
     log = ingest.ingest(spark, inbox, out, f"{out}/checkpoint")
     return ingest.log_summary(log)
+
+
+def _history_sql() -> str:
+    lags = ", ".join(
+        f'round(lag(pace_minutes, {k}) {BY_RUN}, 6) AS "pace_t-{k}", lag(average_cadence, {k}) {BY_RUN} AS "cadence_t-{k}"' for k in range(1, 5)
+    )
+    windows = ", ".join(
+        f'round(avg({c}) {trailing(days)}, 6) AS "{days}d_avg_{stem}"' for days in (7, 30) for c, stem in schema.ROLLING_METRICS.items()
+    )
+    totals = ", ".join(
+        f'round(sum(distance) {trailing(days)}, 6) AS "{days}d_total_distance", count(*) {trailing(days)} AS "{days}d_run_count"' for days in (7, 30)
+    )
+    gap = f"cast(floor((epoch_us(date) - epoch_us(lag(date, 1) {BY_RUN})) / 86400000000) AS BIGINT) AS days_since_last_run"
+    base = f"SELECT * EXCLUDE (average_cadence), average_cadence * 2 AS average_cadence, {PACED} AS pace_minutes FROM valid"
+    return with_ctes(
+        f"""SELECT cast(activity_id AS VARCHAR) AS activity_id, runner_id, date, distance, average_cadence,
+          round(pace_minutes, 6) AS pace_minutes, lag(distance, 1) {BY_RUN} AS distance_previous, {gap}, {lags}, {windows}, {totals} FROM base""",
+        "valid",
+        extra={"base": base},
+    )
+
+
+@register("incremental_history", _history_sql())
+def incremental_history(spark, sf):
+    """The history of four batches, the oldest days last, with corrections and a batch that comes twice."""
+    rows = testbed.activities(spark, sf).transform(cleaning.filter_valid_runs)
+    day, number = F.dayofmonth("date"), F.col("activity_id")
+    late = (day <= 9) | (number % 7 == 0)
+    wrong = rows.withColumn("distance", F.when(number % 10 == 3, F.col("distance") / 2).otherwise(F.col("distance")))
+    batches = [
+        wrong.filter(~late & (day <= 20)),
+        rows.filter(~late & (day > 20)),
+        rows.filter(late & (day > 4)),
+        rows.filter((late & (day <= 4)) | (number % 10 == 3)),
+    ]
+    table = history.History(spark, staging_path(spark, "history"), buckets=8)
+    for k, batch in enumerate(batches):
+        table.update(batch, k)
+    table.update(batches[1], 1)
+    out = table.read()
+    named = ["activity_id", "runner_id", "date", "distance", "average_cadence", "distance_previous", "days_since_last_run"]
+    exact = [f"cadence_t-{k}" for k in range(1, 5)] + [f"{d}d_run_count" for d in (7, 30)]
+    rounded = ["pace_minutes", *[f"pace_t-{k}" for k in range(1, 5)], *[f"{d}d_total_distance" for d in (7, 30)]]
+    rounded += [f"{d}d_avg_{stem}" for d in (7, 30) for stem in schema.ROLLING_METRICS.values()]
+    return out.select(*named, *[F.col(q(c)) for c in exact], *[r6(q(c), c) for c in rounded])

@@ -8,7 +8,9 @@ paths derived from the file and the batch, so a replayed batch overwrites its ow
 from __future__ import annotations
 
 import hashlib
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timezone
+from functools import reduce
 
 from pyspark.errors import AnalysisException, IllegalArgumentException
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 from paceforge.operators.skew import DEFAULT_POLICY, SplitPolicy
 from paceforge.plans import flow
 from paceforge.sources import activities
+from paceforge.streaming.history import History, canonical
 
 LOG_SCHEMA = (
     "source string, upload_id string, status string, error_message string, rows_in long, "
@@ -64,13 +67,24 @@ def ingest(
     checkpoint: str,
     files_per_batch: int = 8,
     policy: SplitPolicy = DEFAULT_POLICY,
+    history: History | None = None,
+    parallelism: int = 4,
 ) -> DataFrame:
-    """Process all files that arrived in ``inbox`` since the last call and return the run log."""
+    """Process all files that arrived in ``inbox`` since the last call and return the run log.
+
+    ``parallelism`` files of a batch run side by side. With a ``history`` the cleaned rows of a batch are
+    added to it under the batch's number before the log is written.
+    """
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
         arrived = [r["path"] for r in batch.select("path").collect()]  # at most files_per_batch
-        rows = [process_file(session, path, f"{out}/uploads", policy) for path in arrived]
+        with ThreadPoolExecutor(parallelism) as pool:
+            rows = list(pool.map(lambda path: process_file(session, path, f"{out}/uploads", policy), arrived))
+        good = [name for _, name, status, *_ in rows if status == "success"]
+        if history is not None and good:
+            cleaned = [canonical(session.read.parquet(f"{out}/uploads/{name}/cleaned")) for name in good]
+            history.update(reduce(DataFrame.unionByName, cleaned), batch_id)
         session.createDataFrame(rows, LOG_SCHEMA).coalesce(1).write.mode("overwrite").parquet(
             f"{out}/log/batch_id={batch_id}"
         )
