@@ -130,12 +130,18 @@ class Runs:
         return all_runs[valid], valid.sum(axis=1)
 
 
-def _binary(values: np.ndarray, counts: np.ndarray) -> pa.Array:
-    """One binary value per count: the next ``count`` values as 32-bit integers."""
+def _width(buckets: int) -> str:
+    """Type of stored bucket numbers, the smallest that holds them."""
+    return "<u2" if buckets <= 1 << 16 else "<u4"
+
+
+def _binary(values: np.ndarray, counts: np.ndarray, kind: str) -> pa.Array:
+    """One binary value per count: the next ``count`` values."""
     offsets = np.zeros(len(counts) + 1, np.int64)
     np.cumsum(counts, out=offsets[1:])
-    data = pa.py_buffer(np.ascontiguousarray(values, "<u4").tobytes())
-    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(offsets * 4), data]).cast(pa.binary())
+    offsets *= np.dtype(kind).itemsize
+    data = pa.py_buffer(np.ascontiguousarray(values, kind).tobytes())
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(offsets), data]).cast(pa.binary())
 
 
 def line_key(line: bytes) -> bytes:
@@ -164,7 +170,7 @@ def _distinct_lines(docs: DataFrame, text: str, buckets: int) -> DataFrame:
             values, per_word = runs.of(words, joined)
             counts = np.add.reduceat(per_word, ends - sizes)
             yield pa.RecordBatch.from_pydict(
-                {"key": pa.array(keys, pa.binary()), "n": pa.array(n, pa.int64()), "runs": _binary(values, counts)}
+                {"key": pa.array(keys, pa.binary()), "n": pa.array(n, pa.int64()), "runs": _binary(values, counts, _width(buckets))}
             )
 
     return lines.select(utf8("line").alias("line"), "n").mapInArrow(run, "key binary, n long, runs binary")
@@ -208,7 +214,7 @@ def _measured(docs: DataFrame, text: str, buckets: int, *kept: Column) -> DataFr
                 values, per_word = runs.of(words, joined, np.array(line))
                 counts = np.bincount(doc_of, weights=per_word, minlength=batch.num_rows).astype(np.int64)
             columns = {f.name: batch.column(f.name) for f in schema}
-            columns |= {"words": pa.array(total, pa.int64()), "runs": _binary(values, counts)}
+            columns |= {"words": pa.array(total, pa.int64()), "runs": _binary(values, counts, _width(buckets))}
             yield pa.RecordBatch.from_pydict(columns | {"keys": pa.array(keys, pa.list_(pa.binary()))})
 
     out = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in schema] + ["words long", "runs binary", "keys array<binary>"])
@@ -221,7 +227,7 @@ def _bucket_counts(counted: DataFrame, buckets: int) -> np.ndarray:
     def run(batches: Tables) -> Tables:
         total = np.zeros(buckets, np.int64)
         for batch in batches:
-            data, sizes = _values(batch.column("runs"))
+            data, sizes = _values(batch.column("runs"), _width(buckets))
             times = np.repeat(batch.column("n").to_numpy().astype(np.float64), sizes)
             total += np.bincount(data, weights=times, minlength=buckets).astype(np.int64)
         at = np.flatnonzero(total)
@@ -234,9 +240,9 @@ def _bucket_counts(counted: DataFrame, buckets: int) -> np.ndarray:
     return out
 
 
-def _values(runs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    sizes = pa.compute.binary_length(runs).to_numpy(zero_copy_only=False).astype(np.int64) // 4
-    return np.frombuffer(b"".join(runs.to_pylist()), "<u4").astype(np.int64), sizes
+def _values(runs: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    sizes = pa.compute.binary_length(runs).to_numpy(zero_copy_only=False).astype(np.int64) // np.dtype(kind).itemsize
+    return np.frombuffer(b"".join(runs.to_pylist()), kind).astype(np.int64), sizes
 
 
 def _weights(df: DataFrame, gains: np.ndarray, *kept: str) -> DataFrame:
@@ -245,7 +251,7 @@ def _weights(df: DataFrame, gains: np.ndarray, *kept: str) -> DataFrame:
 
     def run(batches: Tables) -> Tables:
         for batch in batches:
-            data, sizes = _values(batch.column("runs"))
+            data, sizes = _values(batch.column("runs"), _width(len(gains)))
             sums = np.concatenate([[0], np.cumsum(gains[data])])
             ends = np.cumsum(sizes)
             columns = {f.name: batch.column(f.name) for f in fields}
@@ -289,7 +295,7 @@ def weigh(
         rows = table.select(*kept, F.col(column).alias("_t"))
         measured = _measured(rows, "_t", buckets, *[F.col(f"`{c}`") for c in rows.columns[:-1]])
         measured = measured.withColumn("row", F.monotonically_increasing_id())
-        return stage(measured, "runs"), stage(_distinct_lines(rows, "_t", buckets), "lines")
+        return stage(measured, "runs"), stage(_distinct_lines(rows, "_t", buckets), "lines", compression="zstd")
 
     def all_counts(measured: DataFrame, lines: DataFrame) -> np.ndarray:
         both = lines.select("runs", "n").unionByName(measured.select("runs", F.lit(1).cast("long").alias("n")))
