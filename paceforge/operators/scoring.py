@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paceforge.functions import pace
+from paceforge.operators import encoding
+from paceforge.schema import q
 
 
 def history_rollup(df: DataFrame, history: str = "last_7_runs") -> DataFrame:
@@ -84,3 +87,18 @@ def recent_runs(df: DataFrame, fields: Sequence[str], n: int = 7, entity: str =
     order = Window.partitionBy(entity).orderBy(F.desc(time), F.desc(tie))
     last = df.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= n)
     return last.groupBy(entity).agg(F.collect_list(F.struct(*fields)).alias(f"last_{n}_runs"))
+
+
+def score_requests(
+    requests: DataFrame, model: PipelineModel, features: Sequence[str], keep: Sequence[str] = ("request_id",), history: str = "last_7_runs"
+) -> DataFrame:
+    """Predicted pace of requests that carry the run's own numbers and a list of earlier runs.
+
+    The list is rolled up, the model's features are taken in its order, and what a request lacks, a column, a
+    value or a history, counts as 0. Returns the kept columns, the features, prediction and predicted_pace.
+    """
+    rolled = history_rollup(requests, history) if history in requests.columns else requests
+    aligned = encoding.align_features(rolled, features, keep)
+    filled = aligned.select(*map(q, keep), *[F.coalesce(F.col(q(f)), F.lit(0.0)).alias(f) for f in features])
+    scored = with_pace_text(model.transform(filled))
+    return scored.select(*map(q, [*keep, *features]), "prediction", "predicted_pace")

@@ -2,30 +2,36 @@
 
 from __future__ import annotations
 
+import hashlib
+import itertools
+import json
 import math
 import random
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
+from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import Imputer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paceforge import schema
-from paceforge.operators import encoding, scoring
+from paceforge.operators import encoding, forest, scoring
 from paceforge.schema import q
+from paceforge.session import stage
 
 # --- fixed values: default boosting parameters ---
 DEFAULT_PARAMS: dict[str, object] = {
     "maxIter": 100, "maxDepth": 5, "stepSize": 0.05, "subsamplingRate": 0.8,
     "featureSubsetStrategy": "0.8", "minInstancesPerNode": 1, "minInfoGain": 0.0, "seed": 42,
-    "validationTol": 0.0,
 }
 
+# --- fixed value: rounds without a lower validation error after which boosting stops ---
+PATIENCE = 50
+
 # --- fixed values: search ranges (low, high); learning rate is drawn on a log scale ---
 SEARCH_SPACE = {
     "maxDepth": (3, 10), "stepSize": (0.01, 0.2), "minInstancesPerNode": (1, 10),
@@ -81,21 +87,66 @@ def fit_inputs(train: DataFrame, features: Sequence[str]) -> PipelineModel:
     return Pipeline(stages=[imputer, VectorAssembler(inputCols=filled, outputCol="features")]).fit(train)
 
 
+_MODEL_ROWS = ("label", "features", "split")
+
+
+def model_rows(prepared: DataFrame, inputs: PipelineModel, *keep: str) -> DataFrame:
+    """Filled and assembled rows, written once: a fit reads them many times, a search even more."""
+    return stage(inputs.transform(prepared).select(*keep, *_MODEL_ROWS), "model-rows")
+
+
+def error_curve(trees: GBTRegressionModel, rows: DataFrame) -> list[float]:
+    """Validation MAE after every round, from one pass over the validation rows; none without such rows."""
+    errors = forest.round_errors(trees, rows.filter("split = 'validation'")).select("round", "mae")
+    return [r["mae"] for r in errors.orderBy("round").collect()]  # as many rows as rounds
+
+
+def _fit(params: Mapping[str, object], rows: DataFrame) -> GBTRegressionModel:
+    """Subsampling follows the places of the rows, so they are put in an order of their own first; the model
+    then doesn't depend on how the table was written or read."""
+    place = F.xxhash64("label", vector_to_array("features"))
+    ordered = rows.select("label", "features", place.alias("place")).repartition("place").sortWithinPartitions("place")
+    return _regressor(params).fit(ordered)
+
+
+def fit_trees(
+    rows: DataFrame, params: Mapping[str, object] | None = None, early_stopping: bool = True, patience: int = PATIENCE
+) -> GBTRegressionModel:
+    """Boosted trees on :func:`model_rows`.
+
+    With early stopping the trees are fitted on the training rows and the ensemble is cut to the round of
+    the lowest validation MAE before ``patience`` rounds in a row brought no lower one. Without it they are
+    fitted on training and validation rows for the full number of rounds.
+    """
+    if not early_stopping:
+        return _fit(params or {}, encoding.union_parts(rows, "train", "validation"))
+    trees = _fit(params or {}, rows.filter("split = 'train'"))
+    curve = error_curve(trees, rows)
+    return forest.first_rounds(trees, forest.best_round(curve, patience)) if curve else trees
+
+
 def fit_model(
-    prepared: DataFrame, features: Sequence[str], params: Mapping[str, object] | None = None, early_stopping: bool = True
+    prepared: DataFrame,
+    features: Sequence[str],
+    params: Mapping[str, object] | None = None,
+    early_stopping: bool = True,
+    patience: int = PATIENCE,
 ) -> PipelineModel:
-    """Boosted trees on the training rows, stopped early on the validation rows.
+    """Imputation, assembly and :func:`fit_trees` as one model."""
+    inputs = fit_inputs(prepared.filter("split = 'train'"), features)
+    trees = fit_trees(model_rows(prepared, inputs), params, early_stopping, patience)
+    return PipelineModel(stages=[*inputs.stages, trees])
 
-    Boosting stops as soon as a round makes the validation error worse (``validationTol`` 0).
-    Without early stopping the model is fitted on both parts for the full number of rounds.
-    """
+
+def round_curve(prepared: DataFrame, features: Sequence[str], params: Mapping[str, object] | None = None, patience: int = PATIENCE) -> DataFrame:
+    """Validation error after every round of one fit, and which round is kept: round, n, mae, rmse, chosen."""
     inputs = fit_inputs(prepared.filter("split = 'train'"), features)
-    rows = inputs.transform(encoding.union_parts(prepared, "train", "validation"))
-    regressor = _regressor(params or {})
-    rows = rows.select("label", "features", (F.col("split") == "validation").alias("is_validation"))
-    if early_stopping:
-        regressor = regressor.setValidationIndicatorCol("is_validation")
-    return PipelineModel(stages=[*inputs.stages, regressor.fit(rows)])
+    rows = model_rows(prepared, inputs)
+    trees = _fit(params or {}, rows.filter("split = 'train'"))
+    errors = stage(forest.round_errors(trees, rows.filter("split = 'validation'")), "round-errors")
+    curve = [r["mae"] for r in errors.orderBy("round").collect()]
+    kept = forest.best_round(curve, patience) if curve else 0
+    return errors.withColumn("chosen", F.col("round") == kept)
 
 
 def score(model: PipelineModel, rows: DataFrame) -> DataFrame:
@@ -127,6 +178,37 @@ def draw_params(trials: int, seed: int = 42, **fixed: object) -> list[dict[str,
 
 
 _TRIALS = "config string, params map<string,string>, mae double, rmse double, r2 double"
+_FOLDS = "params map<string,string>, fold int, mae double"
+
+
+class FinishedRuns:
+    """Results of finished fits under ``folder``, one small table per key, written when the fit is done.
+
+    A search that is started again finds them and fits only what is missing. The key covers parameters,
+    features and whatever else the caller names, such as the data's version; without a folder nothing is kept.
+    """
+
+    def __init__(self, spark, folder: str | None, schema: str, *context: object):
+        self.spark, self.folder, self.schema, self.context = spark, folder, schema, context
+        self.found: dict[str, list] = {}
+        if folder is not None:
+            try:
+                table = spark.read.schema(f"{schema}, run string").parquet(folder)
+                for row in table.collect():  # as many rows as finished runs
+                    self.found.setdefault(row["run"], []).append(tuple(row)[:-1])
+            except AnalysisException as missing:
+                if "PATH_NOT_FOUND" not in str(missing):
+                    raise
+
+    def get(self, what: object, fit: Callable[[], list]) -> list:
+        text = json.dumps([self.context, what], sort_keys=True, default=str)
+        run = hashlib.sha256(text.encode()).hexdigest()[:32]
+        if run in self.found:
+            return self.found[run]
+        rows = fit()
+        if self.folder is not None:
+            self.spark.createDataFrame(rows, self.schema).coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/run={run}")
+        return rows
 
 
 def compare(
@@ -135,60 +217,100 @@ def compare(
     configs: Mapping[str, Mapping[str, object]],
     split: str = "validation",
     parallelism: int = 2,
+    patience: int = PATIENCE,
+    runs: str | None = None,
+    data: str = "",
 ) -> DataFrame:
     """Fit every named configuration and return the runs table with its metrics on ``split``.
 
-    The fits are Spark jobs submitted side by side; only their metrics come back.
+    The fits are Spark jobs submitted side by side over rows that are filled, assembled and written once;
+    only their metrics come back. ``runs`` is a folder for finished runs of the data named ``data``.
     """
+    spark = prepared.sparkSession
+    rows = model_rows(prepared, fit_inputs(prepared.filter("split = 'train'"), features))
+    finished = FinishedRuns(spark, runs, _TRIALS, "compare", list(features), split, patience, data)
 
-    def one(item: tuple[str, Mapping[str, object]]) -> tuple:
+    def one(item: tuple[str, Mapping[str, object]]) -> list:
         name, params = item
-        metrics = evaluate(fit_model(prepared, features, params), prepared, split)
-        return (name, {k: str(v) for k, v in params.items()}, metrics["mae"], metrics["rmse"], metrics["r2"])
+
+        def fit() -> list:
+            trees = fit_trees(rows, params, patience=patience)
+            m = scoring.regression_metrics(trees.transform(rows.filter(F.col("split") == split))).first()
+            return [(name, {k: str(v) for k, v in params.items()}, m["mae"], m["rmse"], m["r2"])]
+
+        return finished.get([name, dict(params)], fit)
 
     with ThreadPoolExecutor(parallelism) as pool:
-        rows = list(pool.map(one, configs.items()))
-    return prepared.sparkSession.createDataFrame(rows, _TRIALS)
+        table = [row for rows_of in pool.map(one, configs.items()) for row in rows_of]
+    return spark.createDataFrame(table, _TRIALS)
+
+
+def compare_named(prepared: DataFrame, features: Sequence[str], names: Sequence[str] = tuple(NAMED_CONFIGS), **options) -> DataFrame:
+    """The runs table of the default configurations on the test rows; :func:`scoring.best_run` picks one."""
+    return compare(prepared, features, {n: NAMED_CONFIGS[n] for n in names}, "test", **options)
 
 
-def random_search(prepared: DataFrame, features: Sequence[str], trials: int = 50, seed: int = 42, parallelism: int = 2, **fixed: object) -> DataFrame:
+def random_search(
+    prepared: DataFrame, features: Sequence[str], trials: int = 50, seed: int = 42, parallelism: int = 2, runs: str | None = None, data: str = "", **fixed: object
+) -> DataFrame:
     """Trial table of a seeded random search; the best trial has the lowest validation MAE."""
     configs = {f"trial_{i:03d}": p for i, p in enumerate(draw_params(trials, seed, **fixed))}
-    return compare(prepared, features, configs, "validation", parallelism)
+    return compare(prepared, features, configs, "validation", parallelism, runs=runs, data=data)
 
 
-def cross_validate(prepared: DataFrame, features: Sequence[str], grid: Mapping[str, Sequence], folds: int = 3, parallelism: int = 2, limit: int | None = None, key: str = "activity_id", **fixed: object) -> DataFrame:
+def cross_validate(
+    prepared: DataFrame,
+    features: Sequence[str],
+    grid: Mapping[str, Sequence],
+    folds: int = 3,
+    parallelism: int = 2,
+    limit: int | None = None,
+    key: str = "activity_id",
+    runs: str | None = None,
+    data: str = "",
+    **fixed: object,
+) -> DataFrame:
     """Mean fold MAE of every grid point over train and validation rows.
 
-    Folds follow the hash of ``key``, so they do not change with the partitioning. Fill values are means
-    of the training rows, also in folds that hold validation rows. With a ``limit``, larger grids are
-    refused rather than cut.
+    Points that differ in ``maxIter`` alone share a fit: the first rounds of the longest are the shorter ones,
+    and all their errors come from one pass over the held-out fold. Folds follow the hash of ``key``, so they
+    do not change with the partitioning. Fill values are means of the training rows, also in folds that hold
+    validation rows. With a ``limit``, larger grids are refused rather than cut. ``runs`` is a folder for
+    finished fits of the data named ``data``; a search started again continues there.
     """
     size = math.prod(len(v) for v in grid.values())
     if limit is not None and size > limit:
         raise ValueError(f"grid has {size} points, limit is {limit}")
-    rows = encoding.union_parts(prepared, "train", "validation")
+    spark = prepared.sparkSession
     inputs = fit_inputs(prepared.filter("split = 'train'"), features)
     fold = F.pmod(encoding.split_bucket(key), F.lit(folds)).cast("int")
-    ready = inputs.transform(rows).select("label", "features", fold.alias("fold"))
-    regressor = _regressor(fixed)
-    builder = ParamGridBuilder()
-    for name, values in grid.items():
-        builder = builder.addGrid(regressor.getParam(name), list(values))
-    maps = builder.build()
-    evaluator = RegressionEvaluator(metricName="mae", labelCol="label")
-    fitted = CrossValidator(
-        estimator=regressor, estimatorParamMaps=maps, evaluator=evaluator, numFolds=folds,
-        foldCol="fold", parallelism=parallelism,
-    ).fit(ready)
-    table = [
-        ({p.name: str(v) for p, v in point.items()}, float(mae)) for point, mae in zip(maps, fitted.avgMetrics)
-    ]
-    return prepared.sparkSession.createDataFrame(table, "params map<string,string>, mae double")
+    parts = encoding.union_parts(prepared, "train", "validation").withColumn("fold", fold)
+    ready = model_rows(parts, inputs, "fold")
+    rounds = sorted(int(r) for r in grid.get("maxIter", [fixed.get("maxIter", DEFAULT_PARAMS["maxIter"])]))
+    others = {k: list(v) for k, v in grid.items() if k != "maxIter"}
+    shared = [dict(zip(others, values)) for values in itertools.product(*others.values())]
+    finished = FinishedRuns(spark, runs, _FOLDS, "folds", list(features), folds, key, rounds, dict(fixed), data)
+
+    def one(item: tuple[dict, int]) -> list:
+        point, held = item
+
+        def fit() -> list:
+            trees = _fit({**fixed, **point, "maxIter": rounds[-1]}, ready.filter(F.col("fold") != held))
+            errors = forest.round_errors(trees, ready.filter(F.col("fold") == held))
+            mae = {r["round"]: r["mae"] for r in errors.filter(F.col("round").isin(rounds)).collect()}
+            texts = {k: str(v) for k, v in point.items()}
+            return [({**texts, **({"maxIter": str(r)} if "maxIter" in grid else {})}, held, mae.get(r)) for r in rounds]
+
+        return finished.get([point, held], fit)
+
+    with ThreadPoolExecutor(parallelism) as pool:
+        table = [row for rows_of in pool.map(one, itertools.product(shared, range(folds))) for row in rows_of]
+    scored = spark.createDataFrame(table, _FOLDS)
+    names = sorted(grid)
+    flat = scored.select(*[F.col("params")[n].alias(n) for n in names], "mae").groupBy(*names).agg(F.avg("mae").alias("mae"))
+    return flat.select(F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.array(*names)).alias("params"), "mae")
 
 
 def gain_importance(model: PipelineModel, features: Sequence[str], spark) -> DataFrame:
-    """Importance per feature; as many rows as features."""
-    weights = model.stages[-1].featureImportances.toArray()
-    rows = [(name, float(w)) for name, w in zip(features, weights)]
-    return spark.createDataFrame(rows, "feature string, importance double")
+    """Mean gain per split and splits of every feature that the trees use (feature, importance, splits)."""
+    return forest.gain_table(model.stages[-1], features, spark)

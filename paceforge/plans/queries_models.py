@@ -8,7 +8,7 @@ from paceforge import testbed
 from paceforge.functions import pace
 from paceforge.operators import attribution, cleaning, encoding, reports, scoring, timeline, training
 from paceforge.plans import flow
-from paceforge.plans.oracle_text import BY_RUN, paced, trailing
+from paceforge.plans.oracle_text import BY_RUN, colon, paced, trailing
 from paceforge.plans.querybook import r6, register
 from paceforge.schema import q
 from paceforge.session import stage
@@ -187,10 +187,6 @@ def model_registry_latest(spark, sf):
 
 # ------------------------------------------------------------ fitted models
 
-# A few small rounds keep the registered fits quick; the operators take any parameters.
-QUICK = {"maxIter": 6, "maxDepth": 3, "stepSize": 0.3}
-
-
 def _prepared(spark, sf):
     """Model rows of all valid activities, written once because a fit reads them many times."""
     runs = testbed.activities(spark, sf).transform(cleaning.filter_valid_runs)
@@ -199,44 +195,67 @@ def _prepared(spark, sf):
     return stage(prepared, "model-rows"), features
 
 
+_FITTED: dict[tuple, tuple] = {}
+
+
+def _fitted(spark, sf):
+    """Rows, features and the model of the default parameters, fitted once a session and folder."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _FITTED:
+        rows, features = _prepared(spark, sf)
+        _FITTED[key] = (rows, features, training.fit_model(rows, features))
+    return _FITTED[key]
+
+
 @register("gbt_predictions")
 def gbt_predictions(spark, sf):
-    rows, features = _prepared(spark, sf)
-    model = training.fit_model(rows, features, QUICK)
+    rows, _, model = _fitted(spark, sf)
     return model.transform(rows.filter("split = 'test'")).select("activity_id", "label", "prediction")
 
 
+@register("gbt_rounds")
+def gbt_rounds(spark, sf):
+    rows, features, _ = _fitted(spark, sf)
+    return training.round_curve(rows, features)
+
+
 @register("score_runs")
 def score_runs(spark, sf):
-    rows, features = _prepared(spark, sf)
-    model = training.fit_model(rows, features, QUICK, early_stopping=False)
+    rows, features, _ = _fitted(spark, sf)
+    model = training.fit_model(rows, features, early_stopping=False)
     scored = scoring.with_pace_text(model.transform(rows))
     return scored.select("activity_id", "split", "prediction", "predicted_pace")
 
 
 @register("param_search")
 def param_search(spark, sf):
-    rows, features = _prepared(spark, sf)
-    return training.random_search(rows, features, trials=3, maxIter=4, maxDepth=3)
+    """Two of the fifty trials, over all dimensions; only the rounds are fewer than the operator's 100."""
+    rows, features, _ = _fitted(spark, sf)
+    return training.random_search(rows, features, trials=2, maxIter=20)
+
+
+#: Values of each dimension of training.FULL_GRID that the registered search covers, with fewer rounds.
+SEARCHED_GRID = {
+    "maxDepth": [3, 5], "stepSize": [0.1], "maxIter": [10, 20], "minInstancesPerNode": [1], "subsamplingRate": [0.8],
+    "featureSubsetStrategy": ["0.8"], "minInfoGain": [0.0],
+}
 
 
 @register("cv_search")
 def cv_search(spark, sf):
-    rows, features = _prepared(spark, sf)
-    return training.cross_validate(rows, features, {"maxDepth": [2, 3]}, maxIter=4, stepSize=0.3)
+    rows, features, _ = _fitted(spark, sf)
+    return training.cross_validate(rows, features, SEARCHED_GRID)
 
 
 @register("gain_importance")
 def gain_importance(spark, sf):
-    rows, features = _prepared(spark, sf)
-    model = training.fit_model(rows, features, QUICK)
+    _, features, model = _fitted(spark, sf)
     return reports.importance_rank(training.gain_importance(model, features, spark))
 
 
 @register("shap_attributions")
 def shap_attributions(spark, sf):
-    rows, features = _prepared(spark, sf)
-    model = training.fit_model(rows, features, QUICK)
+    rows, features, model = _fitted(spark, sf)
     return attribution.attributions(model, rows, features)
 
 
@@ -250,11 +269,175 @@ def shap_attributions(spark, sf):
 )
 def shap_additivity(spark, sf):
     """Expected value plus attributions gives the prediction, for every run."""
-    rows, features = _prepared(spark, sf)
-    model = training.fit_model(rows, features, QUICK)
+    rows, features, model = _fitted(spark, sf)
     paths = attribution.leaf_paths(model, spark)
     base = attribution.expected_value(paths)
     sums = attribution.attributions(model, rows, features, paths=paths).groupBy("activity_id").agg(F.sum("shap").alias("s"))
     both = model.transform(rows).select("activity_id", "prediction").join(sums, "activity_id", "left")
     close = F.abs(F.col("s") + F.lit(base) - F.col("prediction")) < 1e-6
     return both.agg(F.count(F.lit(1)).alias("runs"), F.count_if(close).alias("additive_runs"))
+
+
+# ------------------------------------------------------------ fits with a closed form
+
+# One tree of one split over features of few values: the split of least squared error, and a mean a side.
+STUMP = {"maxIter": 1, "maxDepth": 1, "subsamplingRate": 1.0, "featureSubsetStrategy": "all", "maxBins": 64}
+STUMP_FEATURES = ["temperature", "average_cadence", "7d_avg_distance"]
+_STUMP_BUCKET = "CAST('0x' || substr(md5(cast(activity_id AS VARCHAR)), 1, 6) AS BIGINT) % 100"
+
+
+def _stump_ctes(groups: str) -> dict[str, str]:
+    """``split``: per group g the chosen feature, threshold and side means, over the rows of ``fitted``."""
+    return {
+        **paced("valid"),
+        "wide": f"""SELECT activity_id, pace_minutes AS label, temperature, average_cadence,
+          floor(avg(distance) {trailing(7)} / 4) * 4 AS "7d_avg_distance", {_STUMP_BUCKET} AS bucket FROM paced""",
+        "cell": """SELECT activity_id, label, bucket, feature, value FROM
+          (UNPIVOT (SELECT * FROM wide WHERE label IS NOT NULL) ON temperature, average_cadence, "7d_avg_distance" INTO NAME feature VALUE value)""",
+        "fitted": groups,
+        "tally": "SELECT g, feature, value, count(*) AS n, sum(label) AS s, sum(label * label) AS q FROM fitted GROUP BY g, feature, value",
+        "run": """SELECT g, feature, value, lead(value) OVER w AS next, sum(n) OVER w AS n1, sum(s) OVER w AS s1,
+          sum(n) OVER p AS n0, sum(s) OVER p AS s0 FROM tally
+          WINDOW w AS (PARTITION BY g, feature ORDER BY value), p AS (PARTITION BY g, feature)""",
+        "split": """SELECT g, feature, (value + next) / 2 AS threshold, s1 / n1 AS below, (s0 - s1) / (n0 - n1) AS above, s0 / n0 AS mean, n1 / n0 AS share,
+          s1 * s1 / n1 + (s0 - s1) * (s0 - s1) / (n0 - n1) - s0 * s0 / n0 AS gain FROM run WHERE next IS NOT NULL
+          QUALIFY row_number() OVER (PARTITION BY g ORDER BY gain DESC) = 1""",
+    }
+
+
+_TRAIN = "SELECT 0 AS g, * FROM cell WHERE bucket < 60"
+_SCORED = "SELECT activity_id, label, bucket, CASE WHEN value <= threshold THEN below ELSE above END AS prediction, mean, share, below, above FROM cell JOIN split USING (feature)"
+
+
+def _stump_rows(spark, sf):
+    runs = testbed.activities(spark, sf).transform(cleaning.filter_valid_runs)
+    runs = runs.withColumn("pace_minutes", pace.from_time(F.col("moving_time"), F.col("distance")))
+    rows = timeline.add_trailing(runs, timeline.Trailing({"distance": "distance"}, {}, run_count=False, widths=(7,)))
+    steps = F.floor(F.col(q("7d_avg_distance")) / 4) * 4
+    return stage(training.prepare(rows.withColumn("7d_avg_distance", steps), STUMP_FEATURES)[0], "stump-rows")
+
+
+def _stump(spark, sf):
+    rows = _stump_rows(spark, sf)
+    return rows, training.fit_model(rows, STUMP_FEATURES, STUMP)
+
+
+@register(
+    "stump_predictions",
+    with_ctes("SELECT activity_id, round(label, 6) AS label, round(prediction, 6) AS prediction FROM scored", "valid", extra={**_stump_ctes(_TRAIN), "scored": _SCORED}),
+)
+def stump_predictions(spark, sf):
+    rows, model = _stump(spark, sf)
+    return model.transform(rows).select("activity_id", r6("label", "label"), r6("prediction", "prediction"))
+
+
+@register(
+    "stump_scores",
+    with_ctes(
+        f"SELECT activity_id, {colon('prediction')} AS predicted_pace FROM scored", "valid", extra={**_stump_ctes(_TRAIN), "scored": _SCORED}
+    ),
+)
+def stump_scores(spark, sf):
+    rows, model = _stump(spark, sf)
+    return scoring.with_pace_text(training.score(model, rows)).select("activity_id", "predicted_pace")
+
+
+@register(
+    "stump_importance",
+    with_ctes("SELECT feature, round(gain, 3) AS importance, cast(1 AS BIGINT) AS splits FROM split", "valid", extra=_stump_ctes(_TRAIN)),
+)
+def stump_importance(spark, sf):
+    _, model = _stump(spark, sf)
+    return training.gain_importance(model, STUMP_FEATURES, spark).select("feature", F.round("importance", 3).alias("importance"), "splits")
+
+
+@register(
+    "stump_attributions",
+    with_ctes(
+        """SELECT activity_id, cell.feature, round(value, 6) AS value,
+          CASE WHEN cell.feature = split.feature THEN round(CASE WHEN value <= threshold THEN below ELSE above END - mean, 6) ELSE 0 END AS shap
+          FROM cell, split""",
+        "valid",
+        extra=_stump_ctes(_TRAIN),
+    ),
+)
+def stump_attributions(spark, sf):
+    """One split: its feature carries the whole difference to the mean."""
+    rows, model = _stump(spark, sf)
+    out = attribution.attributions(model, rows, STUMP_FEATURES)
+    return out.select("activity_id", "feature", r6("value", "value"), r6("shap", "shap"))
+
+
+@register(
+    "stump_search",
+    with_ctes(
+        """SELECT 'trial_00' || k AS config, round(mae, 6) AS mae, round(rmse, 6) AS rmse
+          FROM range(3) AS t(k), (SELECT avg(abs(label - prediction)) AS mae, sqrt(avg((label - prediction) ** 2)) AS rmse FROM scored WHERE bucket BETWEEN 60 AND 79)""",
+        "valid",
+        extra={**_stump_ctes(_TRAIN), "scored": _SCORED},
+    ),
+)
+def stump_search(spark, sf):
+    """Draws whose tuned values leave one split as it is, so every trial has the stump's error."""
+    out = training.random_search(_stump_rows(spark, sf), STUMP_FEATURES, trials=3, minInstancesPerNode=1, minInfoGain=0.0, **STUMP)
+    return out.select("config", r6("mae", "mae"), r6("rmse", "rmse"))
+
+
+_FOLD_ROWS = "SELECT g, cell.* FROM cell, range(3) AS f(g) WHERE bucket < 80 AND bucket % 100 % 3 <> g"
+_FOLD_MEANS = "SELECT g, avg(label) AS mean FROM wide, range(3) AS f(g) WHERE label IS NOT NULL AND bucket < 80 AND bucket % 3 <> g GROUP BY g"
+
+
+@register(
+    "stump_cv",
+    with_ctes(
+        """SELECT '1' AS "maxDepth", round(avg(e), 6) AS mae FROM (
+            SELECT g, avg(abs(label - CASE WHEN value <= threshold THEN below ELSE above END)) AS e
+            FROM cell JOIN split USING (feature) WHERE bucket < 80 AND bucket % 3 = g GROUP BY g)
+          UNION ALL SELECT '0', round(avg(e), 6) FROM (
+            SELECT g, avg(abs(label - mean)) AS e FROM wide JOIN means ON bucket % 3 = g WHERE label IS NOT NULL AND bucket < 80 GROUP BY g)""",
+        "valid",
+        extra={**_stump_ctes(_FOLD_ROWS), "means": _FOLD_MEANS},
+    ),
+)
+def stump_cv(spark, sf):
+    """A grid over all seven dimensions whose points are the mean and the stump of every fold."""
+    grid = {
+        "maxDepth": [0, 1], "maxIter": [1], "stepSize": [0.1], "minInstancesPerNode": [1], "subsamplingRate": [1.0],
+        "featureSubsetStrategy": ["all"], "minInfoGain": [0.0],
+    }
+    out = training.cross_validate(_stump_rows(spark, sf), STUMP_FEATURES, grid, maxBins=STUMP["maxBins"])
+    return out.select(F.col("params")["maxDepth"].alias("maxDepth"), r6("mae", "mae"))
+
+
+_REQUESTS = f"""SELECT c_custkey AS request_id, CASE WHEN c_custkey % 3 > 0 THEN cast(c_custkey % 40 + 60 AS DOUBLE) END AS average_cadence,
+  avg(d) AS rolled FROM customer LEFT JOIN (
+    SELECT o_custkey, {_DIST} AS d, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) AS o
+  ON o_custkey = c_custkey AND rn <= 7 GROUP BY c_custkey"""
+
+
+@register(
+    "score_requests",
+    with_ctes(
+        f"""SELECT request_id, cast(0 AS DOUBLE) AS temperature, coalesce(average_cadence, 0) AS average_cadence, round(coalesce(rolled, 0), 6) AS "7d_avg_distance",
+          round(p, 6) AS prediction, {colon('p')} AS predicted_pace FROM (
+          SELECT requests.*, CASE WHEN CASE feature WHEN 'temperature' THEN 0 WHEN 'average_cadence' THEN coalesce(average_cadence, 0) ELSE coalesce(rolled, 0) END <= threshold
+            THEN below ELSE above END AS p FROM requests, split)""",
+        "valid",
+        extra={**_stump_ctes(_TRAIN), "requests": _REQUESTS},
+    ),
+)
+def score_requests(spark, sf):
+    """Customers as requests with their last seven orders as runs; some have no cadence, some no history."""
+    _, model = _stump(spark, sf)
+    runs = testbed.table(spark, sf, "orders").selectExpr(
+        "o_custkey AS request_id", "o_orderdate AS date", "o_orderkey AS activity_id",
+        f"{_DIST} AS distance", f"{_RATE} AS average_heart_rate",
+    )
+    lists = scoring.recent_runs(runs, ["distance", "average_heart_rate"], entity="request_id")
+    customers = testbed.table(spark, sf, "customer").selectExpr(
+        "c_custkey AS request_id", "CASE WHEN c_custkey % 3 > 0 THEN cast(c_custkey % 40 + 60 AS DOUBLE) END AS average_cadence"
+    )
+    out = scoring.score_requests(customers.join(lists, "request_id", "left"), model, STUMP_FEATURES)
+    return out.select(
+        "request_id", "temperature", "average_cadence", r6(q("7d_avg_distance"), "7d_avg_distance"), r6("prediction", "prediction"), "predicted_pace"
+    )

@@ -5,10 +5,11 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from paceforge import testbed
-from paceforge.operators import attribution, cleaning, encoding, reports, scoring, training
+from paceforge.operators import attribution, cleaning, encoding, forest, reports, scoring, training
 from paceforge.plans import analysis, flow
 from paceforge.sources import registry
 
@@ -101,7 +102,87 @@ def test_search_and_comparison(prepared):
     folds = training.cross_validate(prepared, FEATURES, {"maxDepth": [1, 3]}, maxIter=2, stepSize=0.5)
     assert folds.count() == 2
     with pytest.raises(ValueError, match="2187"):
-        training.cross_validate(prepared, FEATURES, training.FULL_GRID)
+        training.cross_validate(prepared, FEATURES, training.FULL_GRID, limit=100)
+
+
+def test_patience_equals_separate_fits(prepared):
+    """One long fit cut to its best round is the fit of that many rounds, and the curve is theirs."""
+    params = {"maxDepth": 4, "stepSize": 0.9, "subsamplingRate": 0.5}
+    curve = [r["mae"] for r in training.round_curve(prepared, FEATURES, {**params, "maxIter": 9}).orderBy("round").collect()]
+    for rounds in (1, 4, 9):
+        alone = training.fit_model(prepared, FEATURES, {**params, "maxIter": rounds}, patience=100)
+        inputs = training.fit_inputs(prepared.filter("split = 'train'"), FEATURES)
+        rows = training.model_rows(prepared, inputs)
+        trees = training._fit({**params, "maxIter": rounds}, rows.filter("split = 'train'"))
+        full = scoring.regression_metrics(trees.transform(rows.filter("split = 'validation'"))).first()["mae"]
+        assert full == pytest.approx(curve[rounds - 1], rel=1e-9)
+        assert len(alone.stages[-1].treeWeights) == int(np.argmin(curve[:rounds])) + 1
+    patient = training.fit_model(prepared, FEATURES, {**params, "maxIter": 9}, patience=2)
+    kept = forest.best_round(curve, 2)
+    assert len(patient.stages[-1].treeWeights) == kept
+    assert training.evaluate(patient, prepared, "validation")["mae"] == pytest.approx(curve[kept - 1], rel=1e-9)
+    chosen = training.round_curve(prepared, FEATURES, {**params, "maxIter": 9}, patience=2).filter("chosen").collect()
+    assert [r["round"] for r in chosen] == [kept]
+
+
+def test_best_round():
+    assert forest.best_round([5.0, 4.0, 4.5, 4.6, 3.0], 2) == 2 and forest.best_round([5.0, 4.0, 4.5, 4.6, 3.0], 3) == 5
+    assert forest.best_round([1.0, 1.0, 2.0], 50) == 1 and forest.best_round([3.0], 1) == 1
+
+
+def test_shortened_models_can_be_saved(model, prepared, tmp_path):
+    short = forest.first_rounds(model.stages[-1], 3)
+    saved = PipelineModel(stages=[*model.stages[:-1], short])
+    saved.write().save(str(tmp_path / "m"))
+    again = PipelineModel.load(str(tmp_path / "m"))
+    assert len(again.stages[-1].treeWeights) == 3
+    a, b = (m.transform(prepared).agg(F.sum("prediction")).first()[0] for m in (saved, again))
+    assert a == pytest.approx(b)
+
+
+def test_node_arrays_predict_like_the_model(spark, model, prepared):
+    inputs = model.transform(prepared).select("features", "prediction").collect()
+    nodes = forest.Forest.of(forest.node_table(model.stages[-1], spark))
+    got = nodes.contributions(np.array([r["features"].toArray() for r in inputs])).sum(axis=1)
+    assert got == pytest.approx(np.array([r["prediction"] for r in inputs]))
+
+
+def test_grid_points_share_fits_and_a_restart_fits_nothing(prepared, tmp_path, monkeypatch):
+    grid = {"maxDepth": [1, 3], "maxIter": [2, 4], "stepSize": [0.5]}
+    runs = str(tmp_path / "runs")
+    fits = []
+    plain = training._regressor
+    monkeypatch.setattr(training, "_regressor", lambda params: fits.append(params) or plain(params))
+    first = {tuple(sorted(r["params"].items())): r["mae"] for r in training.cross_validate(prepared, FEATURES, grid, runs=runs).collect()}
+    assert len(first) == 4 and len(fits) == 2 * 3 and {f["maxIter"] for f in fits} == {4}
+    alone = training.cross_validate(prepared, FEATURES, {"maxDepth": [3], "maxIter": [2], "stepSize": [0.5]}).first()
+    assert alone["mae"] == pytest.approx(first[(("maxDepth", "3"), ("maxIter", "2"), ("stepSize", "0.5"))], rel=1e-9)
+    fits.clear()
+    again = {tuple(sorted(r["params"].items())): r["mae"] for r in training.cross_validate(prepared, FEATURES, grid, runs=runs).collect()}
+    assert again == first and not fits
+    trials = training.random_search(prepared, FEATURES, trials=2, runs=runs + "2", maxIter=2, maxDepth=2)
+    fits.clear()
+    more = training.random_search(prepared, FEATURES, trials=3, runs=runs + "2", maxIter=2, maxDepth=2)
+    assert len(fits) == 1
+    same = {r["config"]: r["mae"] for r in trials.collect()}
+    assert {r["config"]: r["mae"] for r in more.collect() if r["config"] in same} == same
+
+
+def test_named_configurations(prepared, monkeypatch):
+    small = {n: {**c, "maxIter": 3} for n, c in training.NAMED_CONFIGS.items()}
+    monkeypatch.setattr(training, "NAMED_CONFIGS", small)
+    runs = training.compare_named(prepared, FEATURES)
+    assert {r["config"] for r in runs.collect()} == {"wide", "deep"} and scoring.best_run(runs).first()["config"] in small
+
+
+def test_requests_without_history_or_values_count_as_zero(spark, model):
+    schema = "request_id int, a double, last_7_runs array<struct<distance:double,average_heart_rate:double>>"
+    requests = spark.createDataFrame([(1, 0.4, None), (2, None, [(5.0, 150.0)]), (3, 0.4, [])], schema)
+    out = {r["request_id"]: r for r in scoring.score_requests(requests, model, FEATURES).collect()}
+    plain = spark.createDataFrame([(1, 0.4, 0.0, 0.0, 0.0), (2, 0.0, 0.0, 0.0, 0.0)], "request_id int, a double, b double, c double, d double")
+    want = {r["request_id"]: r["prediction"] for r in model.transform(plain).collect()}
+    assert out[1]["prediction"] == out[3]["prediction"] == pytest.approx(want[1]) and out[2]["prediction"] == pytest.approx(want[2])
+    assert out[2]["a"] == 0 and ":" in out[1]["predicted_pace"]
 
 
 def test_registry(spark, model, prepared, tmp_path):
@@ -121,7 +202,11 @@ def test_registry(spark, model, prepared, tmp_path):
 
 def test_importance(spark, model):
     ranked = reports.importance_rank(training.gain_importance(model, FEATURES, spark)).collect()
-    assert [r["rank"] for r in ranked] == [1, 2, 3, 4] and ranked[-1]["feature"] == "d"
+    assert [r["rank"] for r in ranked] == list(range(1, len(ranked) + 1)) and {r["feature"] for r in ranked} >= {"a", "b", "c"}
+    nodes = forest.node_table(model.stages[-1], spark).filter("feature = 0").collect()
+    table = {r["feature"]: r for r in training.gain_importance(model, FEATURES, spark).collect()}
+    assert table["a"]["splits"] == len(nodes)
+    assert table["a"]["importance"] == pytest.approx(sum(r["gain"] * r["rows"] for r in nodes) / len(nodes))
 
 
 def test_one_hot(spark):
