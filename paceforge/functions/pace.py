@@ -66,22 +66,24 @@ def parse_target(c: Column) -> Column:
     )
 
 
-_PRINTABLE = 1e15  # beyond it, and for NaN or infinity, there is no text
+_FRACTIONS = 1e15  # from here on a double has no seconds; NaN and infinity have no text at all
 
 
 def total_seconds_sql(minutes: str) -> str:
     """Signless minutes as whole seconds: half-even within the minute, 60 seconds carry."""
     size = f"abs({minutes})"
     seconds = f"cast({size} AS bigint) * 60 + cast(rint(({size} - floor({size})) * 60) AS bigint)"
-    return f"CASE WHEN {size} < double('{_PRINTABLE}') THEN {seconds} END"
+    return f"CASE WHEN {size} < double('{_FRACTIONS}') THEN {seconds} END"
 
 
-def clock_sql(negative: str, total: str, mark: str, end: str = "") -> str:
-    """Text of whole seconds: sign, minutes, mark, two-digit seconds; missing gives ``''``."""
+def clock_sql(minutes: str, total: str, mark: str, end: str = "") -> str:
+    """Text of minutes and their whole seconds ``total``: sign, minutes, mark, two-digit seconds; missing gives ``''``."""
     mark, end = mark.replace("'", "\\'"), end.replace("'", "\\'")
+    sign, size = f"if({minutes} < 0, '-', '')", f"abs({minutes})"
+    large = f"{size} >= double('{_FRACTIONS}') AND {size} < double('Infinity')"
     return (
-        f"coalesce(concat(if({negative}, '-', ''), cast({total} div 60 AS string), '{mark}', "
-        f"lpad(cast({total} % 60 AS string), 2, '0'), '{end}'), '')"
+        f"coalesce(concat({sign}, cast({total} div 60 AS string), '{mark}', lpad(cast({total} % 60 AS string), 2, '0'), '{end}'), "
+        f"CASE WHEN {large} THEN concat({sign}, format_string('%.0f', {size}), '{mark}00{end}') END, '')"
     )
 
 
@@ -90,15 +92,12 @@ PRIME, COLON = ("'", '"'), (":", "")
 
 def _clock(minutes: Column, form: tuple[str, str]) -> Column:
     size = F.abs(minutes)
-    total = size.cast("bigint") * 60 + F.rint((size - F.floor(size)) * 60).cast("bigint")
-    text = F.concat(
-        F.when(minutes < 0, "-").otherwise(""),
-        F.floor(total / 60).cast("string"),
-        F.lit(form[0]),
-        F.lpad((total % 60).cast("string"), 2, "0"),
-        F.lit(form[1]),
-    )
-    return F.when(size < _PRINTABLE, text).otherwise("")
+    sign = F.when(minutes < 0, "-").otherwise("")
+    small = F.when(size < _FRACTIONS, size)
+    total = small.cast("bigint") * 60 + F.rint((small - F.floor(small)) * 60).cast("bigint")
+    parts = (sign, F.floor(total / 60).cast("string"), F.lit(form[0]), F.lpad((total % 60).cast("string"), 2, "0"), F.lit(form[1]))
+    large = F.when((size >= _FRACTIONS) & (size < float("inf")), F.concat(sign, F.format_string("%.0f", size), F.lit(f"{form[0]}00{form[1]}")))
+    return F.coalesce(F.concat(*parts), large, F.lit(""))
 
 
 def to_prime(minutes: Column) -> Column:
@@ -113,9 +112,11 @@ def to_colon(minutes: Column) -> Column:
 
 def to_colon_truncated(minutes: Column) -> Column:
     """Display form ``M:SS`` with both parts cut off instead of rounded; null stays null."""
-    seconds = F.floor(F.pmod(minutes, F.lit(1.0)) * 60).cast("string")
-    text = F.concat(minutes.cast("bigint").cast("string"), F.lit(":"), F.lpad(seconds, 2, "0"))
-    return F.when(F.abs(minutes) < _PRINTABLE, text)
+    small = F.when(F.abs(minutes) < _FRACTIONS, minutes)
+    seconds = F.floor(F.pmod(small, F.lit(1.0)) * 60).cast("string")
+    text = F.concat(small.cast("bigint").cast("string"), F.lit(":"), F.lpad(seconds, 2, "0"))
+    large = (F.abs(minutes) >= _FRACTIONS) & (F.abs(minutes) < float("inf"))
+    return F.coalesce(text, F.when(large, F.concat(F.format_string("%.0f", minutes), F.lit(":00"))))
 
 
 def from_time(moving_time: Column, distance: Column) -> Column:

@@ -11,7 +11,9 @@ integrand is a polynomial, so Gauss-Legendre points give the integral exactly. V
 expected value + sum of attributions = prediction.
 
 The model is small (trees * nodes) and goes to the executors with the function; rows are read,
-attributed and emitted by Spark partition by partition.
+attributed and emitted by Spark partition by partition. Leaves are kept as padded arrays, one set for each
+number of features on their paths, and a block of rows meets a block of leaves at a time, so the memory of a
+task is bounded by the block whatever the model.
 """
 
 from __future__ import annotations
@@ -86,21 +88,63 @@ def expected_value(paths: Sequence[Path]) -> float:
     return float(sum(p.value * p.share.prod() for p in paths))
 
 
-def attribute(x: np.ndarray, paths: Sequence[Path]) -> np.ndarray:
-    """Attributions of a block of rows (rows x features)."""
-    out = np.zeros(x.shape)
+@dataclass(frozen=True)
+class Leaves:
+    """Leaves whose paths hold the same number of features: arrays of (leaf, feature on the path).
+
+    They are sorted by their features, so that leaves of one feature set lie together.
+    """
+
+    features: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    share: np.ndarray
+    value: np.ndarray
+
+
+def leaf_arrays(paths: Sequence[Path]) -> list[Leaves]:
+    """The leaves by the number of features on their paths; a leaf without any moves nothing."""
+    groups: dict[int, list[Path]] = {}
     for p in paths:
-        d = len(p.features)
-        if d == 0:
-            continue
+        if len(p.features):
+            groups.setdefault(len(p.features), []).append(p)
+    out = []
+    for _, members in sorted(groups.items()):
+        members = sorted(members, key=lambda p: p.features.tolist())
+        stacked = (np.stack([getattr(p, c) for p in members]) for c in ("features", "low", "high", "share"))
+        out.append(Leaves(*stacked, np.array([p.value for p in members])))
+    return out
+
+
+#: Cells (rows x leaves x features on a path) that are held at once.
+BLOCK_CELLS = 2_000_000
+
+
+def attribute(x: np.ndarray, paths: Sequence[Path] | Sequence[Leaves], cells: int = BLOCK_CELLS) -> np.ndarray:
+    """Attributions of rows (rows x features)."""
+    groups = paths if len(paths) and isinstance(paths[0], Leaves) else leaf_arrays(paths)
+    out = np.zeros(x.shape)
+    for g in groups:
+        d = g.features.shape[1]
         points, weights = np.polynomial.legendre.leggauss((d + 1) // 2)
-        t, w = (points + 1) / 2, weights / 2
-        block = x[:, p.features]
-        meets = ((block > p.low) & (block <= p.high)).astype(float)
-        factors = meets[:, :, None] * t + p.share[None, :, None] * (1 - t)
-        product = factors.prod(axis=1)
-        others = (product[:, None, :] / factors) @ w
-        out[:, p.features] += p.value * (meets - p.share) * others
+        leaves = max(1, min(len(g.value), cells // (d * 64)))
+        rows = max(1, cells // (d * leaves))
+        for at in range(0, len(g.value), leaves):
+            part = slice(at, at + leaves)
+            names, share, value = g.features[part], g.share[part], g.value[part]
+            # adds up the columns of a feature; one column for each leaf and place on its path
+            used, place = np.unique(names, return_inverse=True)
+            gather = np.zeros((names.size, len(used)))
+            gather[np.arange(names.size), place.ravel()] = 1
+            for r in range(0, len(x), rows):
+                seen = x[r : r + rows][:, names]
+                meets = (seen > g.low[part]) & (seen <= g.high[part])
+                others = np.zeros(meets.shape)
+                for t, w in zip((points + 1) / 2, weights / 2):
+                    factors = np.where(meets, t + share * (1 - t), share * (1 - t))
+                    others += w * factors.prod(axis=2)[:, :, None] / factors
+                moved = value[:, None] * (meets - share) * others
+                out[r : r + rows, used] += moved.reshape(len(seen), -1) @ gather
     return out
 
 
@@ -116,14 +160,14 @@ def attributions(
     ``paths`` may hold the :func:`leaf_paths` of the model.
     """
     spark = rows.sparkSession
-    shared = spark.sparkContext.broadcast(leaf_paths(model, spark) if paths is None else list(paths))
+    shared = spark.sparkContext.broadcast(leaf_arrays(leaf_paths(model, spark) if paths is None else paths))
 
     @F.pandas_udf("array<double>")
     def explain(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        paths = shared.value
+        leaves = shared.value
         for batch in batches:
             x = np.stack(batch.to_numpy()) if len(batch) else np.empty((0, len(features)))
-            yield pd.Series(list(attribute(x, paths)))
+            yield pd.Series(list(attribute(x, leaves)))
 
     inputs = PipelineModel(stages=model.stages[:-1]).transform(rows)
     x = inputs.select(*map(q, keep), vector_to_array("features").alias("_x"))

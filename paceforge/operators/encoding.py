@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
+from pyspark.ml.feature import OneHotEncoder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paceforge import schema
+from paceforge.operators import numbering
 from paceforge.schema import q
+from paceforge.session import stage
 
 
 def split_bucket(key: str | Column) -> Column:
@@ -24,11 +28,47 @@ def hash_split(df: DataFrame, key: str = "activity_id", train: int = 60, valid:
     return df.withColumn("split", name)
 
 
-def category_values(df: DataFrame, column: str, limit: int | None = None) -> list[str]:
+@dataclass(frozen=True)
+class Categories:
+    """The values of a column, sorted and numbered from 0, as a table (value, number) in the shared folder."""
+
+    column: str
+    values: DataFrame
+    count: int
+
+
+def fit_categories(df: DataFrame, column: str) -> Categories:
+    """Number the distinct values of a column over range partitions; nothing is collected."""
+    distinct = df.select(F.col(q(column)).cast("string").alias("value")).filter("value IS NOT NULL").distinct()
+    numbered = numbering.number_sorted(distinct, ["value"], "place", "categories")
+    table = stage(numbered.select("value", (F.col("place") - 1).alias("number")), "categories")
+    return Categories(column, table, table.count())
+
+
+def one_hot_sparse(df: DataFrame, categories: Sequence[Categories], suffix: str = "__vector") -> DataFrame:
+    """A sparse 0/1 vector ``<column>__vector`` for each column, in the place of the column.
+
+    The first value, missing ones and values that were not there when the categories were fitted give no 1,
+    as in :func:`one_hot_drop_first`; place k - 1 of the vector stands for value number k. The dictionary is
+    joined by value, so it may have any size; the engine broadcasts it only where it is small.
+    """
+    for c in categories:
+        size = max(1, c.count - 1)
+        found = c.values.select(F.col("value").alias("_value"), (F.col("number") - 1).alias("_place"))
+        joined = df.join(found, F.col(q(c.column)).cast("string") == F.col("_value"), "left")
+        # the place behind the last one is what the encoder leaves out
+        kept = F.when(F.col("_place") >= 0, F.col("_place")).otherwise(F.lit(size)).cast("double")
+        encoder = OneHotEncoder(inputCol="_index", outputCol=f"{c.column}{suffix}", dropLast=True)
+        fitted = encoder.fit(df.sparkSession.createDataFrame([(float(size),)], "_index double"))
+        df = fitted.transform(joined.withColumn("_index", kept)).drop("_value", "_place", "_index", c.column)
+    return df
+
+
+def category_values(df: DataFrame, column: str, limit: int | None = 1_000) -> list[str]:
     """Sorted distinct values of a categorical column.
 
-    Every value becomes a column of the plan. With a ``limit``, a column of more values is refused
-    rather than cut.
+    Every value becomes a column of the plan, so a column of more than ``limit`` values is refused rather than
+    cut; :func:`fit_categories` has no such bound.
     """
     distinct = df.select(F.col(q(column)).cast("string").alias("v")).filter("v IS NOT NULL").distinct()
     found = [r["v"] for r in (distinct if limit is None else distinct.limit(limit + 1)).collect()]
@@ -38,7 +78,7 @@ def category_values(df: DataFrame, column: str, limit: int | None = None) -> lis
 
 
 def one_hot_drop_first(
-    df: DataFrame, columns: Sequence[str], categories: Mapping[str, Sequence[str]] | None = None, limit: int | None = None
+    df: DataFrame, columns: Sequence[str], categories: Mapping[str, Sequence[str]] | None = None, limit: int | None = 1_000
 ) -> DataFrame:
     """0/1 columns ``<column>_<value>`` for all but the first sorted value; missing gives zeros."""
     known = dict(categories or {})

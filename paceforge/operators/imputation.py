@@ -24,10 +24,13 @@ def fill_heart_rate(
 ) -> DataFrame:
     """Forward, then backward along each runner, then the median of the filled column.
 
-    The ordered fills are written once: the median reads one column of them several times.
+    The median is found on the columns the fills need, so the wide rows are neither copied nor read for it.
     """
-    filled = stage(timeline.fill_in_order(df, column, backward=True, policy=policy), "filled")
-    return fill(filled, quantiles.exact_medians(filled, [column]))
+    keys = timeline.RUNS
+    narrow = df.select(*map(q, dict.fromkeys([keys.entity, keys.time, keys.tie, column])))
+    known = stage(timeline.fill_in_order(narrow, column, backward=True, policy=policy).select(q(column)), "filled")
+    medians = quantiles.exact_medians(known, [column])
+    return fill(timeline.fill_in_order(df, column, backward=True, policy=policy), medians)
 
 
 def fit_means(df: DataFrame, columns: Sequence[str] | None = None) -> dict[str, float | None]:

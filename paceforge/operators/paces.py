@@ -22,5 +22,5 @@ def render(df: DataFrame, prime: Sequence[str] = (), colon: Sequence[str] = ())
         return df
     numbered = list(enumerate(forms.items()))
     seconds = {f"_s{i}": F.expr(pace.total_seconds_sql(q(c))) for i, (c, _) in numbered}
-    texts = {c: F.expr(pace.clock_sql(f"{q(c)} < 0", f"_s{i}", *form)) for i, (c, form) in numbered}
+    texts = {c: F.expr(pace.clock_sql(q(c), f"_s{i}", *form)) for i, (c, form) in numbered}
     return df.withColumns(seconds).withColumns(texts).drop(*seconds)

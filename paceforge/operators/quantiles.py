@@ -1,9 +1,10 @@
-"""Exact medians of large columns.
+"""Exact medians of large columns, in at most three reads.
 
-The built-in exact percentile merges every distinct value into one task. Here the middle value is
-bracketed with histograms instead: each round reads the columns once, keeps at most a few thousand
-counts per column and narrows the bracket by that factor. Only the last bracket, known to be
-small, is gathered.
+The built-in exact percentile merges every distinct value into one task. Here a mergeable quantile sketch
+brackets the middle ranks in the first read: its error is a known share of the rows, so a bracket a little
+wider than that share surely holds them, whatever the values. A second sketch inside the bracket (left out
+where the bracket is small) narrows it by the same share again. The last read counts what lies below and
+gathers the few values inside.
 """
 
 from __future__ import annotations
@@ -17,42 +18,37 @@ from pyspark.sql import functions as F
 from paceforge.schema import q
 
 GATHER_LIMIT = 20_000
-BUCKETS = 2_048
+#: Ranks of a sketch are off by at most one part in so many of its rows.
+ACCURACY = 5_000
 
 
 @dataclass
 class _Bracket:
+    """The middle rows, zero-based ``ranks`` of all, have values within [low, high]."""
+
+    ranks: tuple[int, int]
     low: float
     high: float
-    below: int  # rows smaller than low
-    inside: int  # rows within [low, high]
-    ranks: tuple[int, int]  # zero-based ranks of the two middle rows
+    most: float  # bound of the rows inside
     answer: float | None = None
 
 
 def exact_medians(
-    df: DataFrame, columns: Sequence[str], gather_limit: int = GATHER_LIMIT, buckets: int = BUCKETS
+    df: DataFrame, columns: Sequence[str], gather_limit: int = GATHER_LIMIT, accuracy: int = ACCURACY
 ) -> dict[str, float | None]:
-    """Median per column over finite values, the mean of the two middle ones for even counts."""
+    """Median per column over finite values, the mean of the two middle ones for even counts.
+
+    The last read gathers the distinct values of the final brackets: up to ``gather_limit`` rows a column, or
+    about forty parts in ``accuracy`` squared of all rows where that is more.
+    """
     columns = list(columns)
     if not columns:
         return {}
     values = df.select(*[F.col(q(c)).cast("double").alias(f"_{i}") for i, c in enumerate(columns)])
-    stats = values.agg(
-        *[f(_finite(i)).alias(f"{n}{i}") for i in range(len(columns)) for n, f in _STATS.items()]
-    ).first()
-    state: dict[int, _Bracket] = {}
-    for i in range(len(columns)):
-        n = stats[f"n{i}"]
-        if n:
-            state[i] = _Bracket(stats[f"lo{i}"], stats[f"hi{i}"], 0, n, ((n - 1) // 2, n // 2))
-            if state[i].low == state[i].high:
-                state[i].answer = state[i].low
-    while True:
-        wide = [i for i, b in state.items() if b.answer is None and b.inside > gather_limit]
-        if not wide:
-            break
-        _narrow(values, {i: state[i] for i in wide}, buckets)
+    state = _first_sketch(values, len(columns), accuracy)
+    wide = {i: b for i, b in state.items() if b.answer is None and b.most > gather_limit}
+    if wide:
+        _second_sketch(values, wide, accuracy)
     _gather(values, {i: b for i, b in state.items() if b.answer is None})
     return {c: state[i].answer if i in state else None for i, c in enumerate(columns)}
 
@@ -62,61 +58,67 @@ def _finite(i: int):
     return F.when(~F.isnan(c) & (F.abs(c) < float("inf")), c)
 
 
-_STATS = {"n": F.count, "lo": F.min, "hi": F.max}
+def _first_sketch(values: DataFrame, n: int, accuracy: int) -> dict[int, _Bracket]:
+    margin = 2 / accuracy
+    sketch = [F.percentile_approx(_finite(i), [0.5 - margin, 0.5 + margin], accuracy).alias(f"p{i}") for i in range(n)]
+    row = values.agg(*sketch, *[F.count(_finite(i)).alias(f"n{i}") for i in range(n)]).first()
+    out = {}
+    for i in range(n):
+        if rows := row[f"n{i}"]:
+            low, high = row[f"p{i}"]
+            # both ends may be off by a part, and ranks are whole
+            out[i] = _Bracket(((rows - 1) // 2, rows // 2), low, high, 6 * rows / accuracy + 4, low if low == high else None)
+    return out
 
 
-def _narrow(values: DataFrame, brackets: dict[int, _Bracket], buckets: int) -> None:
-    """One histogram round for all brackets that are still wide."""
+def _second_sketch(values: DataFrame, brackets: dict[int, _Bracket], accuracy: int) -> None:
+    grid = [k / accuracy for k in range(accuracy + 1)]
+    wanted = []
+    for i, b in brackets.items():
+        v = _finite(i)
+        inside = F.when(v.between(b.low, b.high), v)
+        wanted += [
+            F.count_if(v < b.low).alias(f"b{i}"),
+            F.count(inside).alias(f"n{i}"),
+            F.percentile_approx(inside, grid, accuracy).alias(f"p{i}"),
+        ]
+    row = values.agg(*wanted).first()
+    for i, b in brackets.items():
+        below, inside, points = row[f"b{i}"], row[f"n{i}"], row[f"p{i}"]
+        first, last = (rank - below for rank in b.ranks)
+        # two parts of room on either side: one for the sketch, one for the grid
+        at = int(first * accuracy / inside) - 2
+        to = int((last + 1) * accuracy / inside) + 3
+        b.low = points[at] if at >= 0 else b.low
+        b.high = points[to] if to <= accuracy else b.high
+        b.answer = b.low if b.low == b.high else None
+
+
+def _gather(values: DataFrame, brackets: dict[int, _Bracket]) -> None:
+    """Exact counts: rows below the bracket under a null value, and every value inside."""
+    if not brackets:
+        return
     entries = []
     for i, b in brackets.items():
         v = _finite(i)
-        # halves keep the span finite for any pair of doubles
-        share = (v / 2 - F.lit(b.low / 2)) / F.lit(b.high / 2 - b.low / 2)
-        bucket = F.least(F.floor(share * buckets), F.lit(buckets - 1)).cast("int")
-        entries.append(
-            F.when(
-                v.between(b.low, b.high),
-                F.struct(F.lit(i).alias("i"), bucket.alias("b"), v.alias("v")),
-            )
-        )
+        entries.append(F.when(v <= b.high, F.struct(F.lit(i).alias("i"), F.when(v >= b.low, v).alias("v"))))
     counts = (
         values.select(F.explode(F.array(*entries)).alias("e"))
         .filter("e IS NOT NULL")
-        .groupBy("e.i", "e.b")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("e.v").alias("lo"), F.max("e.v").alias("hi"))
-        .orderBy("i", "b")
-        .collect()  # at most columns * buckets rows
+        .groupBy("e.i", "e.v")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .orderBy("i", F.asc_nulls_first("v"))
+        .collect()  # as many rows as distinct values inside the brackets
     )
     for i, b in brackets.items():
-        seen = b.below
-        hits = {}
+        seen, found = 0, {}
         for row in (r for r in counts if r["i"] == i):
-            for rank in set(b.ranks):
+            for rank in b.ranks:
                 if seen <= rank < seen + row["n"]:
-                    hits[rank] = (row, seen)
+                    found[rank] = row["v"]
             seen += row["n"]
-        (first, before), (second, _) = hits[b.ranks[0]], hits[b.ranks[1]]
-        if first["b"] != second["b"]:
-            b.answer = _middle(first["hi"], second["lo"])
-        elif first["lo"] == first["hi"]:
-            b.answer = first["lo"]
-        else:
-            b.low, b.high, b.below, b.inside = first["lo"], first["hi"], before, first["n"]
-
-
-def _gather(values: DataFrame, brackets: dict[int, _Bracket]) -> None:
-    if not brackets:
-        return
-    row = values.agg(
-        *[
-            F.sort_array(F.collect_list(F.when(_finite(i).between(b.low, b.high), _finite(i)))).alias(f"v{i}")
-            for i, b in brackets.items()
-        ]
-    ).first()
-    for i, b in brackets.items():
-        kept = row[f"v{i}"]
-        b.answer = _middle(kept[b.ranks[0] - b.below], kept[b.ranks[1] - b.below])
+        b.answer = _middle(found[b.ranks[0]], found[b.ranks[1]])
 
 
 def _middle(a: float, b: float) -> float:
-    return a if a == b else (a + b) / 2
+    return a if a == b else a / 2 + b / 2 if abs(a) > 1e307 or abs(b) > 1e307 else (a + b) / 2

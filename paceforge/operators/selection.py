@@ -16,8 +16,15 @@ def latest_date(df: DataFrame, date: str = "date") -> Column:
     return df.select(F.max(q(date))).scalar()
 
 
-def latest_run(df: DataFrame, date: str = "date") -> DataFrame:
-    """All rows at the last date."""
+def has_dates(df: DataFrame, date: str = "date") -> bool:
+    """Whether any row has a date; stops at the first one."""
+    return date in df.columns and bool(df.filter(F.col(q(date)).isNotNull()).limit(1).count())
+
+
+def latest_run(df: DataFrame, date: str = "date", tie: str = "activity_id") -> DataFrame:
+    """All rows at the last date; of a table without dates the first row by ``tie``."""
+    if not has_dates(df, date):
+        return df.orderBy(q(tie)).limit(1) if tie in df.columns else df.limit(1)
     return df.filter(F.col(q(date)) == latest_date(df, date))
 
 
@@ -35,11 +42,12 @@ def latest_run_per_runner(
 def trailing_months(df: DataFrame, months: int = 3, date: str = "date") -> DataFrame:
     """Rows from ``months`` before the last date on; month ends are clamped, time of day kept.
 
-    A table without any date has no period to cut, so all its rows stay.
+    A table without any date has no period to cut, so all its rows stay; that is found out first, as a
+    filter that covers both cases could not be pushed to the scan.
     """
-    last = latest_date(df, date)
-    cutoff = last - F.make_ym_interval(F.lit(0), F.lit(months))
-    return df.filter((F.col(q(date)) >= cutoff) | last.isNull())
+    if not has_dates(df, date):
+        return df
+    return df.filter(F.col(q(date)) >= latest_date(df, date) - F.make_ym_interval(F.lit(0), F.lit(months)))
 
 
 def add_week_bins(df: DataFrame, date: str = "date") -> DataFrame:

@@ -14,12 +14,13 @@ from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paceforge import schema
-from paceforge.operators import encoding, forest, scoring
+from paceforge.operators import encoding, forest, imputation, scoring
 from paceforge.schema import q
 from paceforge.session import stage
 
@@ -62,17 +63,29 @@ def prepare(
     key: str = "activity_id",
     target: str = schema.TARGET,
     keep: Sequence[str] = (),
+    categorical: Sequence[str] = (),
 ) -> tuple[DataFrame, list[str]]:
-    """Key, kept columns, label, numeric features and split of the rows that have a target."""
+    """Key, kept columns, label, numeric features and split of the rows that have a target.
+
+    Columns named in ``categorical`` are filled with their mode and become sparse 0/1 vectors, both fitted on
+    the training rows; they come behind the numeric features.
+    """
     if isinstance(feature_set, str):
         numeric = schema.numeric_columns(rows)
         features = schema.select_features(numeric, **schema.FEATURE_SETS[feature_set])
     else:
         features = list(feature_set)
     df = rows.filter(F.col(target).isNotNull()).select(
-        key, *keep, F.col(target).alias("label"), *[F.col(q(c)).cast("double").alias(c) for c in features]
+        key, *keep, F.col(target).alias("label"), *[F.col(q(c)).cast("double").alias(c) for c in features], *map(q, categorical)
     )
-    return encoding.hash_split(df, key), features
+    df = encoding.hash_split(df, key)
+    if categorical:
+        train = df.filter("split = 'train'")
+        modes = imputation.fit_modes(train, categorical)
+        fitted = [encoding.fit_categories(imputation.fill(train, modes), c) for c in categorical]
+        df = encoding.one_hot_sparse(imputation.fill(df, modes), fitted)
+        features = [*features, *[f"{c}__vector" for c in categorical]]
+    return df, features
 
 
 def _regressor(params: Mapping[str, object]) -> GBTRegressor:
@@ -81,10 +94,12 @@ def _regressor(params: Mapping[str, object]) -> GBTRegressor:
 
 
 def fit_inputs(train: DataFrame, features: Sequence[str]) -> PipelineModel:
-    """Mean imputation and assembly, fitted on training rows only."""
-    filled = [f"{c}__filled" for c in features]
-    imputer = Imputer(strategy="mean", inputCols=list(features), outputCols=filled)
-    return Pipeline(stages=[imputer, VectorAssembler(inputCols=filled, outputCol="features")]).fit(train)
+    """Mean imputation and assembly, fitted on training rows only; vector columns are taken as they are."""
+    vectors = [c for c in features if isinstance(train.schema[c].dataType, VectorUDT)]
+    numeric = [c for c in features if c not in vectors]
+    filled = [f"{c}__filled" for c in numeric]
+    imputer = Imputer(strategy="mean", inputCols=numeric, outputCols=filled)
+    return Pipeline(stages=[imputer, VectorAssembler(inputCols=[*filled, *vectors], outputCol="features")]).fit(train)
 
 
 _MODEL_ROWS = ("label", "features", "split")

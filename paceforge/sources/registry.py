@@ -1,8 +1,15 @@
-"""Saved models: one folder per version under a family, newest picked by name."""
+"""Saved models: versions of a family, newest picked by name.
+
+Every save goes to a folder of its own. A record that names the folder is written last, and readers follow the
+newest record of a version: a save that dies leaves the version as it was, and a model that is being replaced
+stays in place for those who read it.
+"""
 
 from __future__ import annotations
 
 import json
+import time
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml import PipelineModel
@@ -29,16 +36,13 @@ def save_model(
     params: Mapping[str, object] | None = None,
     description: str = "",
 ) -> str:
-    """Write model, metrics, parameters and metadata, replacing that version if it exists.
-
-    The registry row is written last, so a version only becomes visible when it is complete.
-    """
-    from pyspark.sql import SparkSession as _Session
-
-    spark = _Session.getActiveSession()
-    path = f"{root.rstrip('/')}/{family}/{version}"
-    model.write().overwrite().save(f"{path}/model")
+    """Write model, metrics, parameters and metadata; a version that exists is replaced as a whole."""
+    spark = SparkSession.getActiveSession()
+    home, name = f"{root.rstrip('/')}/{family}/{version}", uuid.uuid4().hex
+    path = f"{home}/{name}"
+    model.write().save(f"{path}/model")
     record = {
+        "saved_at": time.time_ns(),
         "family": family,
         "version": version,
         "path": path,
@@ -47,21 +51,22 @@ def save_model(
         "params": {k: str(v) for k, v in (params or {}).items()},
         "description": description,
     }
-    spark.createDataFrame([(json.dumps(record),)], "value string").coalesce(1).write.mode("overwrite").text(
-        f"{path}/registry"
-    )
+    spark.createDataFrame([(json.dumps(record),)], "value string").coalesce(1).write.text(f"{home}/registry/{name}")
     return path
 
 
 _RECORD = (
-    "family string, version string, path string, features array<string>, "
+    "saved_at long, family string, version string, path string, features array<string>, "
     "metrics map<string,double>, params map<string,string>, description string"
 )
 
 
 def registered(spark: SparkSession, root: str) -> DataFrame:
-    """All registered versions under a root folder."""
-    return spark.read.schema(_RECORD).json(f"{root.rstrip('/')}/*/*/registry")
+    """All registered versions under a root folder, each as it was saved last."""
+    records = spark.read.schema(_RECORD).json(f"{root.rstrip('/')}/*/*/registry/*")
+    whole = F.struct(*[F.col(c) for c in records.columns])
+    newest = records.groupBy("family", "version").agg(F.max_by(whole, F.struct("saved_at", "path")).alias("r"))
+    return newest.select("r.*").drop("saved_at")
 
 
 def load_latest(spark: SparkSession, root: str, prefix: str = "") -> tuple[PipelineModel, list[str], str]:

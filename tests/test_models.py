@@ -2,10 +2,12 @@
 
 import itertools
 import math
+import time
 
 import numpy as np
 import pytest
 from pyspark.ml import PipelineModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from paceforge import testbed
@@ -91,6 +93,32 @@ def test_attributions_match_brute_force(spark, model):
             assert phi[i] == pytest.approx(want, abs=1e-9)
 
 
+def test_attribution_blocks_change_nothing(spark, model):
+    paths = attribution.leaf_paths(model, spark)
+    rows = np.random.default_rng(6).normal(size=(37, 4))
+    whole = attribution.attribute(rows, paths)
+    assert attribution.attribute(rows, paths, cells=1) == pytest.approx(whole, abs=1e-12)
+    assert attribution.attribute(rows, attribution.leaf_arrays(paths), cells=500) == pytest.approx(whole, abs=1e-12)
+    assert not attribution.attribute(rows, []).any()
+
+
+def test_a_thousand_deep_rounds_are_attributed_in_blocks():
+    """A hundred thousand leaves of seven features: additive, and in seconds."""
+    rng = np.random.default_rng(7)
+    paths = []
+    for _ in range(100_000):
+        d = int(rng.integers(1, 8))
+        cut = rng.normal(size=d)
+        paths.append(attribution.Path(np.sort(rng.choice(30, d, replace=False)), cut - 1, cut + 1, rng.uniform(0.1, 0.9, d), float(rng.normal())))
+    x = rng.normal(size=(60, 30))
+    leaves = attribution.leaf_arrays(paths)
+    begun = time.time()
+    got = attribution.attribute(x, leaves).sum(axis=1) + attribution.expected_value(paths)
+    assert time.time() - begun < 60
+    want = [sum(p.value for p in paths if ((r[p.features] > p.low) & (r[p.features] <= p.high)).all()) for r in x[:3]]
+    assert got[:3] == pytest.approx(want, rel=1e-6, abs=1e-6)
+
+
 def test_search_and_comparison(prepared):
     trials = training.random_search(prepared, FEATURES, trials=2, maxIter=2, maxDepth=2)
     assert trials.count() == 2 and trials.filter("mae IS NULL").count() == 0
@@ -193,13 +221,29 @@ def test_registry(spark, model, prepared, tmp_path):
     table = {r["version"]: r["metrics"]["mae"] for r in registry.registered(spark, root).collect()}
     assert table == {"20240101": 0.5, "20240301": 0.2, "20240201": 0.3}
     loaded, features, path = registry.load_latest(spark, root, "pace")
-    assert features == FEATURES and path.endswith("pace_gbt/20240301")
+    assert features == FEATURES and "/pace_gbt/20240301/" in path
     a = model.transform(prepared).agg(F.sum("prediction")).first()[0]
     assert loaded.transform(prepared).agg(F.sum("prediction")).first()[0] == pytest.approx(a)
     with pytest.raises(FileNotFoundError):
         registry.load_latest(spark, root, "other")
 
 
+def test_a_save_that_dies_leaves_the_old_version(model, prepared, spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "models")
+    first = registry.save_model(model, root, "gbt", "1", FEATURES, {"mae": 0.5})
+    short = PipelineModel(stages=[*model.stages[:-1], forest.first_rounds(model.stages[-1], 2)])
+    with monkeypatch.context() as broken:
+        broken.setattr(registry.json, "dumps", lambda record: 1 / 0)  # after the model, before its record
+        with pytest.raises(ZeroDivisionError):
+            registry.save_model(short, root, "gbt", "1", FEATURES, {"mae": 0.1})
+    loaded, _, path = registry.load_latest(spark, root)
+    assert path == first and len(loaded.stages[-1].treeWeights) == 8
+    second = registry.save_model(short, root, "gbt", "1", FEATURES, {"mae": 0.1})
+    loaded, _, path = registry.load_latest(spark, root)
+    assert path == second and len(loaded.stages[-1].treeWeights) == 2
+    assert len(PipelineModel.load(f"{first}/model").stages[-1].treeWeights) == 8
+
+
 def test_importance(spark, model):
     ranked = reports.importance_rank(training.gain_importance(model, FEATURES, spark)).collect()
     assert [r["rank"] for r in ranked] == list(range(1, len(ranked) + 1)) and {r["feature"] for r in ranked} >= {"a", "b", "c"}
@@ -218,6 +262,36 @@ def test_one_hot(spark):
         encoding.one_hot_drop_first(df, ["k"], limit=2)
 
 
+def test_sparse_categories_equal_the_columns(spark, sf):
+    customers = testbed.table(spark, sf, "customer").selectExpr("c_custkey AS k", "c_mktsegment AS segment", "if(c_custkey % 9 = 0, null, cast(c_nationkey AS string)) AS nation")
+    fitted = [encoding.fit_categories(customers, c) for c in ("segment", "nation")]
+    sparse = encoding.one_hot_sparse(customers, fitted).select("k", vector_to_array("segment__vector").alias("s"), vector_to_array("nation__vector").alias("n"))
+    dense = encoding.one_hot_drop_first(customers, ["segment", "nation"])
+    names = [c for c in dense.columns if c != "k"]
+    want = {r["k"]: [float(r[c]) for c in names] for r in dense.collect()}
+    assert {r["k"]: list(r["s"]) + list(r["n"]) for r in sparse.collect()} == want
+    unseen = spark.createDataFrame([(1, "NEW", None)], "k int, segment string, nation string")
+    row = encoding.one_hot_sparse(unseen, fitted).first()
+    assert row["segment__vector"].numNonzeros() == 0 and row["segment__vector"].size == fitted[0].count - 1
+
+
+def test_a_million_categories(spark):
+    df = spark.range(1_000_000).selectExpr("id", "concat('v', id) AS v")
+    fitted = encoding.fit_categories(df, "v")
+    assert fitted.count == 1_000_000
+    out = encoding.one_hot_sparse(df.filter("id % 100000 = 7"), [fitted]).collect()
+    assert len(out) == 10 and all(r["v__vector"].size == 999_999 and r["v__vector"].numNonzeros() == 1 for r in out)
+
+
+def test_categories_in_the_training_set(spark):
+    rows = [(i, 5.0 + (i % 3), float(i % 7), [None, "b", "a"][i % 3]) for i in range(300)]
+    df = spark.createDataFrame(rows, "activity_id long, pace_minutes double, x double, kind string")
+    prepared, features = training.prepare(df, ["x"], categorical=["kind"])
+    assert features == ["x", "kind__vector"]
+    model = training.fit_model(prepared, features, {"maxIter": 4, "maxDepth": 2, "stepSize": 0.5})
+    assert training.evaluate(model, prepared)["mae"] < 0.6  # the filled mode shares a category with one of the others
+
+
 def test_history_rollup_cases(spark):
     schema = "id int, last_7_runs array<struct<distance:double,elapsed_time:double,average_heart_rate:double>>"
     rows = [

@@ -37,6 +37,11 @@ def test_latest_run_has_no_join(spark, sf):
     assert "Join" not in text and "EqualTo(o_orderdate,ScalarSubquery" in text
 
 
+def test_trailing_months_push_their_date(spark, sf):
+    text = plan(selection.trailing_months(testbed.order_runs(spark, sf), 3))
+    assert "GreaterThanOrEqual(o_orderdate,ScalarSubquery" in text
+
+
 def test_recent_runs_limits_before_the_shuffle(spark, sf):
     runs = testbed.order_runs(spark, sf)
     text = plan(scoring.recent_runs(runs, ["distance"]))

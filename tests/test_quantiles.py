@@ -15,7 +15,7 @@ def test_median_matches_numpy(spark, n):
     third = np.where(rng.random(n) < 0.34, 7.0, rng.random(n) * 1e-6)
     rows = [tuple(map(float, r)) for r in zip(normal, skewed, repeated, third)]
     df = spark.createDataFrame(rows, "a double, b double, c double, d double").repartition(3)
-    for kw in ({}, {"gather_limit": 3, "buckets": 4}, {"gather_limit": 1, "buckets": 2}):
+    for kw in ({}, {"gather_limit": 3, "accuracy": 40}, {"gather_limit": 1, "accuracy": 4}):
         got = quantiles.exact_medians(df, ["a", "b", "c", "d"], **kw)
         want = [np.median(v) for v in (normal, skewed, repeated, third)]
         assert list(got.values()) == pytest.approx(want, rel=1e-12, abs=0)
@@ -29,7 +29,33 @@ def test_median_skips_missing(spark):
 
 def test_extreme_range(spark):
     df = spark.createDataFrame([(v,) for v in (-1.7e308, -1.0, 2.0, 3.0, 1.7e308)], "a double")
-    assert quantiles.exact_medians(df, ["a"], gather_limit=1, buckets=4) == {"a": 2.0}
+    assert quantiles.exact_medians(df, ["a"], gather_limit=1, accuracy=4) == {"a": 2.0}
+
+
+@pytest.mark.parametrize("kind", ["decades", "two values", "one value hot", "ordered"])
+def test_three_reads_suffice(spark, kind):
+    """Values over 600 decades take no more reads than others, and the gathered part stays small."""
+    n = 30_000
+    rng = np.random.default_rng(4)
+    values = {
+        "decades": 10.0 ** rng.uniform(-300, 300, n) * rng.choice([-1, 1], n),
+        "two values": rng.choice([1e-300, 1e300], n),
+        "one value hot": np.where(rng.random(n) < 0.34, 5.0, rng.random(n) * 10),
+        "ordered": np.arange(n) * 1e290,
+    }[kind]
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    table = spark.createDataFrame([(float(v),) for v in values], "a double").repartition(6)
+    read = stage(table, "values").mapInArrow(count, "a double")
+    got = quantiles.exact_medians(read, ["a"], gather_limit=50, accuracy=200)["a"]
+    middle = np.sort(values)[[(n - 1) // 2, n // 2]]
+    assert got == middle[0] if middle[0] == middle[1] else got == pytest.approx(middle.mean(), rel=1e-12)
+    assert seen.value <= 3 * n
 
 
 def test_numbering(spark):

@@ -1,5 +1,6 @@
 """Readers, sinks, reports as text, ingest."""
 
+import random
 from datetime import datetime
 
 import pytest
@@ -151,11 +152,47 @@ def test_folder_of_exports_with_other_column_orders_and_line_breaks(spark, tmp_p
     assert got == [("1", "5", "300", None), ("2", "6", "400", None), ("3", "7", "500", "x")]
 
 
+def test_records_over_line_ends_are_read_by_many_tasks(spark, tmp_path):
+    """Fields with line breaks, quotes and blanks, with block borders at every place, like the one-task reader."""
+    rnd = random.Random(5)
+    pieces = ["a", "\n", '""', ",", " ", "é", "\n\n", "x" * 30]
+    lines = ["Activity ID,Description,Distance"]
+    for i in range(120):
+        text = "".join(rnd.choice(pieces) for _ in range(rnd.randint(0, 12)))
+        lines.append(f'{i},"{text}",{i % 7}' if i % 3 else f"{i},plain,{i % 7}")
+    lines.append('120,"' + "long\n" * 400 + '",1')
+    (tmp_path / "x.csv").write_text("\n".join(lines) + "\n")
+    names = ["Activity ID", "Description", "Distance"]
+    fields = "`Activity ID` string, Description string, Distance string"
+    want = spark.read.schema(fields).option("header", True).option("multiLine", True).option("escape", '"').csv(str(tmp_path / "x.csv"))
+    want = sorted(tuple(r) for r in want.select(*[f"`{n}`" for n in names]).collect())
+    assert len(want) == 121
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size in (128 * 1024 * 1024, 997, 310, 64):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+            spark.conf.set("spark.sql.files.openCostInBytes", "0")
+            df = activities.read_activities(spark, str(tmp_path / "x.csv"))
+            got = sorted(tuple(r) for r in df.select(*[f"`{n}`" for n in names]).collect())
+            assert got == want, size
+            tasks = activities._lines(spark, str(tmp_path / "x.csv")).select("block").distinct().count()
+            assert tasks >= 1 if size > 10_000 else tasks > 5
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
 def test_months_of_a_table_without_dates(spark):
     df = spark.createDataFrame([(1, None), (2, None)], "activity_id long, date timestamp_ntz")
     assert selection.trailing_months(df, 3).count() == 2
 
 
+def test_latest_run_of_a_table_without_dates_is_its_first_row(spark):
+    df = spark.createDataFrame([(2, None), (1, None)], "activity_id long, date timestamp_ntz")
+    assert [r["activity_id"] for r in selection.latest_run(df).collect()] == [1]
+    assert [r["activity_id"] for r in selection.latest_run(df.drop("date")).collect()] == [1]
+
+
 def test_unreadable_dates(spark):
     df = spark.createDataFrame([("2024-01-02",), ("never",), (None,)], "date string")
     assert cleaning.parse_dates(df).filter("date is null").count() == 2
