@@ -477,16 +477,22 @@ def sequences(
     features: Sequence[str] = tuple(schema.SEQUENCE_FEATURES),
     keys: Keys = RUNS,
     policy: SplitPolicy = DEFAULT_POLICY,
+    required: bool = False,
 ) -> DataFrame:
     """Sliding windows of ``window_size`` consecutive runs, one row each.
 
     A window is only emitted when a further run follows it; that run is the optional target.
-    Missing values take the median of their column.
+    Missing values take the median of their column. With ``required`` a table in which no runner has enough
+    runs is an error.
     """
     used = [c for c in features if c in df.columns]
     if len(used) < 2:
         raise ValueError("not enough feature columns for sequences")
     df = df.filter(F.col(q(keys.entity)).isNotNull() & F.col(q(keys.time)).isNotNull())
+    if required:
+        most = skew.totals(skew.entity_sizes(df, keys.entity, keys.time))["_most"] or 0
+        if most < max(window_size + 1, min_length):
+            raise ValueError("no runner has enough runs for a sequence")
     gaps = df.agg(*[F.count_if(F.col(q(c)).isNull()).alias(f"_{i}") for i, c in enumerate(used)]).first()
     medians = quantiles.exact_medians(df, [c for c, n in zip(used, gaps) if n])
     step = F.array(

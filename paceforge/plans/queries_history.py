@@ -9,7 +9,7 @@ from paceforge import schema, testbed
 from paceforge.functions import pace
 from paceforge.operators import cleaning, imputation, timeline
 from paceforge.operators.skew import SplitPolicy
-from paceforge.plans.oracle_text import BY_RUN, colon, paced, prime, trailing
+from paceforge.plans.oracle_text import BY_RUN, PACED, colon, paced, prime, trailing
 from paceforge.plans.querybook import r6, register
 from paceforge.schema import q
 from paceforge.testbed import with_ctes
@@ -343,3 +343,42 @@ def sequence_targets(spark, sf):
         "runner_id", "start_date", "activity_id",
         *[F.col("target")[i].alias(f"next_{c}") for i, c in enumerate(_STEP_FEATURES)],
     )
+
+
+# ------------------------------------------------------------ sequences with all features
+
+_ALL_FEATURES = schema.SEQUENCE_FEATURES
+_FULL = {
+    "raw": f"""SELECT activity_id, runner_id, date, distance, average_cadence, CASE WHEN average_heart_rate > 30 THEN average_heart_rate END AS average_heart_rate,
+      nullif(elapsed_time, 0) AS elapsed_time, average_grade, relative_effort, {PACED} AS pace_minutes FROM activities WHERE lower(activity_type) = 'run'""",
+    "steps": "SELECT activity_id, runner_id, date, " + ", ".join(f"coalesce({c}, (SELECT median({c}) FROM raw)) AS {c}" for c in _ALL_FEATURES) + " FROM raw",
+}
+
+
+def _long_runners(spark, sf) -> DataFrame:
+    """Runs with missing heart rates, times and paces."""
+    df = _paced(testbed.activities(spark, sf).transform(cleaning.keep_runs))
+    return df.withColumns(
+        {
+            "average_heart_rate": F.when(F.col("average_heart_rate") > 30, F.col("average_heart_rate")),
+            "elapsed_time": F.nullif(F.col("elapsed_time"), F.lit(0.0)),
+        }
+    )
+
+
+@register(
+    "sequence_min_runs",
+    with_ctes(
+        f"""SELECT runner_id, start_date, activity_id, {", ".join(f"round({c}, 6) AS {c}, round(next_{c}, 6) AS next_{c}" for c in _ALL_FEATURES)} FROM (
+          SELECT runner_id, date AS start_date, activity_id, {", ".join(f"{c}, lead({c}, 4) {BY_RUN} AS next_{c}" for c in _ALL_FEATURES)},
+            row_number() {BY_RUN} AS pos, count(*) OVER (PARTITION BY runner_id) AS n FROM steps) WHERE pos <= n - 4 AND n >= 42""",
+        "activities",
+        extra=_FULL,
+    ),
+)
+def sequence_min_runs(spark, sf):
+    """Windows of runners with 42 runs or more, over all features, missing values filled by the median."""
+    df = timeline.sequences(_long_runners(spark, sf), include_targets=True, min_length=42)
+    first, target = F.col("window")[0], F.col("target")
+    values = [c for i, name in enumerate(_ALL_FEATURES) for c in (F.round(first[i], 6).alias(name), F.round(target[i], 6).alias(f"next_{name}"))]
+    return df.select("runner_id", "start_date", "activity_id", *values)

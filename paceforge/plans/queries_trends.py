@@ -311,6 +311,43 @@ def improvement_report(spark, sf):
     return df.select("rank", "feature", "impact", "advice", *rounded)
 
 
+@register(
+    "improvement_summary",
+    with_ctes(
+        """SELECT cast(6.75 AS DOUBLE) AS baseline_minutes, '6:45' AS baseline_pace,
+          coalesce(string_agg(feature, ', ' ORDER BY importance DESC, feature) FILTER (mean_shap > 0), '') AS raising_features,
+          coalesce(string_agg(feature, ', ' ORDER BY importance DESC, feature) FILTER (NOT mean_shap > 0), '') AS lowering_features
+        FROM (SELECT feature, avg(abs(shap)) AS importance, avg(shap) AS mean_shap FROM by_month
+          WHERE strftime(date, '%Y') = '1996' GROUP BY feature ORDER BY importance DESC, feature LIMIT 8)""",
+        "attributions",
+        extra={"by_month": "SELECT activity_id, date, feature || ' ' || strftime(date, '%m') AS feature, value, shap FROM attributions"},
+    ),
+)
+def improvement_summary(spark, sf):
+    """The runs of a year as one report, months as features, against a given pace."""
+    df = testbed.attributions(spark, sf).filter(F.year("date") == 1996)
+    by_month = df.withColumn("feature", F.concat_ws(" ", "feature", F.date_format("date", "MM")))
+    return reports.improvement_summary(reports.improvement_report(df, by_month, 8), 6.75)
+
+
+@register(
+    "latest_impact_report",
+    with_ctes(
+        """SELECT cast(row_number() OVER (ORDER BY importance DESC, feature) AS INTEGER) AS rank, feature, round(importance, 6) AS importance,
+          round(mean_shap, 6) AS mean_shap, round(avg_value, 6) AS avg_value, num_runs, run_date,
+          CASE WHEN mean_shap > 0 THEN 'slows pace' ELSE 'speeds up pace' END AS direction,
+          cast(CASE WHEN mean_shap > 0 THEN ceil(mean_shap * 60) ELSE floor(mean_shap * 60) END AS BIGINT) AS seconds
+        FROM (SELECT feature, avg(abs(shap)) AS importance, avg(shap) AS mean_shap, avg(value) AS avg_value, count(*) AS num_runs, max(date) AS run_date
+          FROM attributions WHERE date = (SELECT max(date) FROM attributions) GROUP BY feature)""",
+        "attributions",
+    ),
+)
+def latest_impact_report(spark, sf):
+    df = reports.latest_impact_report(testbed.attributions(spark, sf))
+    rounded = [r6(c, c) for c in ("importance", "mean_shap", "avg_value")]
+    return df.select("rank", "feature", *rounded, "num_runs", "run_date", "direction", "seconds")
+
+
 _IMPACT = {
     "impact": """SELECT cast(row_number() OVER (ORDER BY importance DESC, feature) AS INTEGER) AS rank, *,
       CASE WHEN mean_shap > 0 THEN 'slows pace' ELSE 'speeds up pace' END AS direction,

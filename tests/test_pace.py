@@ -2,6 +2,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from paceforge.operators import paces
 from paceforge.functions import calendar, pace
 
 
@@ -56,6 +57,20 @@ def test_truncating_display_vectors(spark):
     assert got[0] == want[0] and got[-1] is None
 
 
+def test_every_finite_number_has_a_text(spark):
+    values = [1e15, -1e15, 1e18, -1.5e300, 999999999999999.0, float("inf"), float("nan"), None]
+    want = ["1" + "0" * 15, "-1" + "0" * 15, "1" + "0" * 18, "-15" + "0" * 299, "9" * 15]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, x double")
+    for tail, texts in (
+        ("'00\"", [r[0] for r in df.orderBy("i").select(pace.to_prime(F.col("x"))).collect()]),
+        (":00", [r[0] for r in df.orderBy("i").select(pace.to_colon(F.col("x"))).collect()]),
+        ("'00\"", [r["x"] for r in paces.render(df, ["x"]).orderBy("i").collect()]),
+    ):
+        assert texts == [w + tail for w in want] + ["", "", ""]
+    cut = [r[0] for r in df.orderBy("i").select(pace.to_colon_truncated(F.col("x"))).collect()]
+    assert cut == [w + ":00" for w in want] + [None, None, None]
+
+
 def test_pace_sources(spark):
     df = spark.createDataFrame([(600.0, 2.0), (600.0, 0.0), (None, 1.0)], "t double, d double")
     assert [r[0] for r in df.select(pace.from_time(F.col("t"), F.col("d"))).collect()] == [5.0, None, None]

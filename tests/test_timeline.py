@@ -189,6 +189,13 @@ def test_sequences_need_two_features(df):
         timeline.sequences(df, features=["distance"])
 
 
+def test_sequences_that_are_required(df):
+    features = ["distance", "average_heart_rate"]
+    assert timeline.sequences(df, 3, features=features, required=True).count() > 0
+    with pytest.raises(ValueError, match="enough runs"):
+        timeline.sequences(df, 3, min_length=10_000, features=features, required=True)
+
+
 def test_results_do_not_depend_on_partitioning(df):
     policy = POLICIES["listed"]
     same(
