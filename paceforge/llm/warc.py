@@ -4,6 +4,9 @@ An archive starts with a skippable frame that holds a Zstandard dictionary, foll
 record compressed with it, so every record can be read alone. Archives are rows (name, content) of a
 table, each at most ``archive_bytes`` of records plus one record: that works on any store Spark writes
 to. ``export_archives`` writes them out as files where the store has a file system.
+
+Every record has the mandatory fields (type, id, date, length). Ids come from the page and the row's number in
+a staged table, so they differ for repeated rows and a revisit can name its response.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ import os
 import struct
 import uuid
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
 import pyarrow as pa
 import zstandard
@@ -32,17 +36,20 @@ def payload_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def _record_id(page: int | None) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page}')}>"
+def record_id(page: int | None, row: int) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page}:row:{row}')}>"
 
 
-def format_record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def format_record(
+    page_id: int | None, row: int, url: str | None, payload: bytes, digest: str, date: str, refers_to: int | None, refers_row: int | None
+) -> bytes:
     """One WARC/1.1 record. A revisit has no body and names the record it repeats."""
     revisit = refers_to is not None
     body = b"" if revisit else payload
     fields = [
         ("WARC-Type", "revisit" if revisit else "response"),
-        ("WARC-Record-ID", _record_id(page_id)),
+        ("WARC-Record-ID", record_id(page_id, row)),
+        ("WARC-Date", date),
         ("WARC-Target-URI", "" if url is None else " ".join(url.split())),
         ("WARC-Payload-Digest", f"sha1:{digest}"),
         ("X-Payload-Length", str(len(payload))),
@@ -51,7 +58,7 @@ def format_record(page_id: int | None, url: str | None, payload: bytes, digest:
     if revisit:
         fields += [
             ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"),
-            ("WARC-Refers-To", _record_id(refers_to)),
+            ("WARC-Refers-To", record_id(refers_to, refers_row)),
             ("X-Refers-To-Page-ID", str(refers_to)),
         ]
     fields += [("Content-Type", "text/html"), ("Content-Length", str(len(body)))]
@@ -92,24 +99,30 @@ def pack_archive(records: list[bytes], level: int = 6) -> bytes:
     return b"".join(frames)
 
 
-def read_archive(content: bytes) -> Iterator[bytes]:
-    """The records of an archive, one frame each."""
+def read_archive(content: bytes, step: int = 16_384) -> Iterator[bytes]:
+    """The records of an archive, one frame each, in time proportional to its size.
+
+    Frames are fed ``step`` bytes at a time, so what a decoder hands back at a frame's end stays small.
+    """
     magic, size = struct.unpack_from("<II", content)
     if magic != DICTIONARY_MAGIC:
         raise ValueError("no dictionary frame at the start")
     words = zstandard.ZstdCompressionDict(content[8 : 8 + size])
     reader = zstandard.ZstdDecompressor(dict_data=words)
-    rest = memoryview(content)[8 + size :]
-    while rest:
-        one = reader.decompressobj()
-        record = one.decompress(rest)
-        if not one.eof:
-            raise ValueError("archive ends inside a record")
-        yield record
-        rest = rest[len(rest) - len(one.unused_data) :]
-
-
-def _write(archive_bytes: int):
+    view, at = memoryview(content), 8 + size
+    while at < len(view):
+        one, record = reader.decompressobj(), []
+        while not one.eof:
+            piece = view[at : at + step]
+            if not piece:
+                raise ValueError("archive ends inside a record")
+            record.append(one.decompress(piece))
+            at += len(piece)
+        at -= len(one.unused_data)
+        yield b"".join(record)
+
+
+def _write(archive_bytes: int, date: str):
     def run(batches: Tables) -> Tables:
         records: list[bytes] = []
         held = 0
@@ -120,10 +133,10 @@ def _write(archive_bytes: int):
             return pa.RecordBatch.from_pydict({"name": [name], "records": pa.array([len(records)], pa.int64()), "content": pa.array([content], pa.binary())})
 
         for batch in batches:
-            columns = (batch.column(c) for c in ("page_id", "url", "body", "refers_to"))
-            for page, url, body, refers in zip(*columns, strict=True):
-                payload = body.as_py() or b""
-                records.append(format_record(page.as_py(), url.as_py(), payload, payload_digest(payload), refers.as_py()))
+            columns = (batch.column(c).to_pylist() for c in ("page_id", "row", "url", "body", "refers_to", "refers_row"))
+            for page, row, url, body, refers, refers_row in zip(*columns, strict=True):
+                payload = body or b""
+                records.append(format_record(page, row, url, payload, payload_digest(payload), date, refers, refers_row))
                 held += len(records[-1])
                 if held >= archive_bytes:
                     yield close()
@@ -134,34 +147,44 @@ def _write(archive_bytes: int):
     return run
 
 
-def write_archives(pages: DataFrame, least_bytes: int = 0, archive_bytes: int = 16_000_000) -> DataFrame:
+def write_archives(
+    pages: DataFrame, least_bytes: int = 0, archive_bytes: int = 16_000_000, date: str | None = None
+) -> DataFrame:
     """Archives of ``pages`` as a staged table: name, records, content.
 
     One record per row with the html as payload. Of rows whose payloads are equal and have at least
-    ``least_bytes`` bytes, those with the largest page_id are responses and the others revisits of it.
+    ``least_bytes`` bytes, those with the largest page_id are responses and the others revisits of the first
+    of these. ``date`` (UTC, like 2024-05-01T00:00:00Z) is the date of all records; the time of the call if
+    none is given.
 
     Null html: an empty payload. Null page_id: never the largest; equal payloads without any page_id are
     all responses, as nothing can be referred to. Repeated rows with the largest page_id are all
     responses. Null url: an empty target. Other columns are ignored; an empty table gives no archives.
     """
+    date = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     own = pages.select(
         F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(utf8("html"), F.lit(b"")).alias("body")
     ).withColumn("same", F.concat_ws("-", F.sha1("body"), F.octet_length("body")))
+    # written once, so that a row keeps its number whatever is computed again
+    own = stage(own.withColumn("row", F.monotonically_increasing_id()), "warc-pages", compression="zstd")
     first = stage(
         own.filter(F.octet_length("body") >= least_bytes)
         .groupBy("same")
-        .agg(F.max("page_id").alias("largest"), F.count(F.lit(1)).alias("n"))
+        .agg(F.max(F.struct("page_id", (-F.col("row")).alias("back"))).alias("largest"), F.count(F.lit(1)).alias("n"))
         .filter("n > 1")
-        .select("same", "largest"),
+        .select("same", F.col("largest.page_id").alias("largest"), (-F.col("largest.back")).alias("largest_row")),
         "warc-first",
     )
+    revisit = ~F.col("page_id").eqNullSafe(F.col("largest"))
     marked = own.join(first, "same", "left").select(
         "page_id",
+        "row",
         "url",
         "body",
-        F.when(~F.col("page_id").eqNullSafe(F.col("largest")), F.col("largest")).alias("refers_to"),
+        F.when(revisit, F.col("largest")).alias("refers_to"),
+        F.when(revisit & F.col("largest").isNotNull(), F.col("largest_row")).alias("refers_row"),
     )
-    return stage(marked.mapInArrow(_write(archive_bytes), "name string, records long, content binary"), "warc-archives")
+    return stage(marked.mapInArrow(_write(archive_bytes, date), "name string, records long, content binary"), "warc-archives")
 
 
 def _read(batch: pa.RecordBatch) -> dict:

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -198,6 +199,36 @@ def test_archives(spark, tmp_path):
     assert warc.read_records(warc.write_archives(page_frame(spark, some[:1]).limit(0))).count() == 0
 
 
+def test_records_have_all_mandatory_fields(spark):
+    some = [(1, "http://a/", "x" * 500), (2, None, "x" * 500), (None, "u", "only"), (None, "u", "only"), (7, "u", "t"), (7, "u", "t"), (6, "u", "t")]
+    archives = warc.write_archives(page_frame(spark, some), archive_bytes=900, date="2024-05-01T00:00:00Z")
+    records = [warc.parse_record(r) for a in archives.collect() for r in warc.read_archive(a["content"])]
+    assert len(records) == len(some)
+    for fields, body in records:
+        assert fields["WARC-Date"] == "2024-05-01T00:00:00Z" and fields["WARC-Type"] in ("response", "revisit")
+        assert re.fullmatch(r"<urn:uuid:[0-9a-f-]{36}>", fields["WARC-Record-ID"]) and int(fields["Content-Length"]) == len(body)
+    ids = [f["WARC-Record-ID"] for f, _ in records]
+    assert len(set(ids)) == len(ids)
+    by_id = {f["WARC-Record-ID"]: f for f, _ in records}
+    revisits = [f for f, _ in records if f["WARC-Type"] == "revisit"]
+    assert sorted(f["X-Page-ID"] for f in revisits) == ["1", "6"]
+    for f in revisits:
+        named = by_id[f["WARC-Refers-To"]]
+        assert named["WARC-Type"] == "response" and named["X-Page-ID"] == f["X-Refers-To-Page-ID"]
+        assert named["WARC-Payload-Digest"] == f["WARC-Payload-Digest"]
+
+
+def test_archives_are_read_in_linear_time():
+    def seconds(n):
+        content = warc.pack_archive([b"record %d " % i * 20 for i in range(n)])
+        begun = time.time()
+        assert sum(1 for _ in warc.read_archive(content)) == n
+        return time.time() - begun
+
+    few, many = seconds(8_000), seconds(64_000)
+    assert many < 20 * few + 1
+
+
 def test_archive_round_trip_and_damage():
     records = [b"r%d " % i * (i * 37) for i in range(1, 60)] + [b""]
     content = warc.pack_archive(records)
