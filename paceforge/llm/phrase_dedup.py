@@ -31,12 +31,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from paceforge.llm.common import Tables, WordHashes, by_batch, ngram_hashes, text_key, utf8, words_of
 from paceforge.session import discard, stage
 
 #: Order of a row without doc_id: after all others.
 LAST = (1 << 63) - 1
+_SPANS = "array<struct<first: int, after: int>>"
 _COVER = "t string, first int, after int"
 
 
@@ -229,26 +231,71 @@ def _locate(window: int):
     return run
 
 
+def _covered(n: int, covers: list[dict]) -> np.ndarray:
+    change = np.zeros(n + 1, np.int32)
+    for c in covers:
+        change[c["first"]] += 1
+        change[c["after"]] -= 1
+    return np.cumsum(change[:-1]) > 0
+
+
 def _cut(batch: pa.RecordBatch) -> dict:
-    removed, sha, kept_text = [], [], []
+    removed, sha, spans = [], [], []
     for text, covers in zip(batch.column("body").to_pylist(), batch.column("covers").to_pylist(), strict=True):
         words = words_of(text)
-        change = np.zeros(len(words) + 1, np.int32)
-        for c in covers:
-            change[c["first"]] += 1
-            change[c["after"]] -= 1
-        gone = np.cumsum(change[:-1]) > 0
+        gone = _covered(len(words), covers)
         kept = b" ".join([words[i] for i in np.flatnonzero(~gone)])
         removed.append(int(gone.sum()))
         sha.append(hashlib.sha256(kept).hexdigest())
-        kept_text.append(kept)
-    return {"t": batch.column("t"), "n_cut": pa.array(removed, pa.int64()), "cut_sha": sha}
+        edges = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
+        spans.append([{"first": int(x), "after": int(y)} for x, y in edges.reshape(-1, 2)])
+    kind = pa.list_(pa.struct([("first", pa.int32()), ("after", pa.int32())]))
+    return {"t": batch.column("t"), "n_cut": pa.array(removed, pa.int64()), "cut_sha": sha, "cuts": pa.array(spans, kind)}
+
+
+@F.arrow_udf(BinaryType())
+def _without(texts: pa.Array, spans: pa.Array) -> pa.Array:
+    out = []
+    for text, covers in zip(texts.to_pylist(), spans.to_pylist(), strict=True):
+        if text is None:
+            out.append(None)
+            continue
+        words = words_of(text)
+        out.append(b" ".join([words[i] for i in np.flatnonzero(~_covered(len(words), covers))]))
+    return pa.array(out, pa.binary())
 
 
 def remove_repeated_phrases(
     docs: DataFrame, window: int = 50, phrase: int = 20, heavy: int = 2_000, shard_rows: int = 8_000
 ) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_words, n_removed, kept_sha256.
+    """Per row of ``docs``: doc_id, n_words, n_removed, kept_sha256, as :func:`repeated_spans` finds them."""
+    found = repeated_spans(docs, window, phrase, heavy, shard_rows)
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def cut_repeated_phrases(
+    docs: DataFrame, window: int = 50, phrase: int = 20, heavy: int = 2_000, shard_rows: int = 8_000
+) -> DataFrame:
+    """``docs`` with all columns, the texts without their repeated phrases.
+
+    A text that loses words is what is left of them, joined by one space; all others stay as they are.
+    """
+    found = repeated_spans(docs, window, phrase, heavy, shard_rows).filter("n_removed > 0")
+    found = found.select(F.col("doc_id").alias("id"), "text_id", "spans").distinct()
+    whole = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("doc_id").alias("own_id"), text_key().alias("own_text")
+    )
+    same = F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_text") == F.col("text_id"))
+    short = _without(F.when(F.col("spans").isNotNull(), utf8("doc.text")), F.coalesce("spans", F.array())).cast("string")
+    return whole.join(found, same, "left").select(
+        *(F.coalesce(short, "doc.text").alias(c) if c == "text" else F.col(f"doc.`{c}`").alias(c) for c in docs.columns)
+    )
+
+
+def repeated_spans(
+    docs: DataFrame, window: int = 50, phrase: int = 20, heavy: int = 2_000, shard_rows: int = 8_000
+) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_words, n_removed, kept_sha256, text_id and the removed spans of words.
 
     A word goes if a window that covers it also starts in a document with a smaller doc_id. All windows
     are judged on the input.
@@ -334,8 +381,9 @@ def remove_repeated_phrases(
     spans = located.select("t", F.array(F.struct("first", "after")).alias("spans")).union(listed)
     covers = spans.groupBy("t").agg(F.flatten(F.collect_list("spans")).alias("covers"))
     cut = by_batch(
-        repeats.select("t", "body").join(covers, "t"), _cut, "t string, n_cut long, cut_sha string"
-    ).groupBy("t").agg(F.first("n_cut").alias("n_cut"), F.first("cut_sha").alias("cut_sha"))
+        repeats.select("t", "body").join(covers, "t"), _cut, f"t string, n_cut long, cut_sha string, cuts {_SPANS}"
+    ).groupBy("t").agg(F.first(F.struct("n_cut", "cut_sha", "cuts")).alias("cut"))
+    cut = cut.select("t", "cut.*")
     verdict = stage(
         texts.select("t", F.col("ord").alias("least")).join(cut, "t", "left"), "phrase-verdict"
     )
@@ -343,6 +391,7 @@ def remove_repeated_phrases(
         discard(done)
     copy = (F.col("ord") > F.col("least")) & (F.col("n_words") >= window)
     nothing = hashlib.sha256(b"").hexdigest()
+    whole = F.array(F.struct(F.lit(0).alias("first"), F.col("n_words").cast("int").alias("after")))
     return (
         profile.select("doc_id", "t", "ord", "n_words", "sha")
         .join(verdict, "t", "left")
@@ -351,5 +400,7 @@ def remove_repeated_phrases(
             "n_words",
             F.when(copy, F.col("n_words")).otherwise(F.coalesce("n_cut", F.lit(0))).cast("long").alias("n_removed"),
             F.when(copy, F.lit(nothing)).otherwise(F.coalesce("cut_sha", "sha")).alias("kept_sha256"),
+            F.col("t").alias("text_id"),
+            F.when(copy, whole).otherwise(F.coalesce("cuts", F.array())).alias("spans"),
         )
     )

@@ -37,6 +37,21 @@ def test_phrases(spark, heavy):
     assert sum(r["n_removed"] for r in got) > 500
 
 
+def test_texts_without_their_phrases(spark):
+    docs = frame(spark)
+    out = phrase_dedup.cut_repeated_phrases(docs)
+    assert out.columns == docs.columns
+    table = [(LAST if r[0] is None else r[0], (r[1] or "").encode().split()) for r in rows()]
+    want = {(d, n): (cut, sha) for d, n, cut, sha in plain_phrases(table, 50)}
+    spans = phrase_dedup.repeated_spans(docs).collect()
+    assert all(sum(s["after"] - s["first"] for s in r["spans"]) == r["n_removed"] for r in spans)
+    got = sorted((r["doc_id"] if r["doc_id"] is not None else LAST, " ".join((r["text"] or "").encode().decode().split())) for r in out.collect())
+    kept = sorted(hashlib.sha256(t.encode()).hexdigest() for _, t in got)
+    assert kept == sorted(sha for _, _, _, sha in plain_phrases(table, 50)) and len(want) > 10
+    same = {r["doc_id"]: r["text"] for r in out.filter("doc_id in (5, 6, 7, 15)").collect()}
+    assert same == {r[0]: r[1] for r in rows() if r[0] in same}
+
+
 def test_phrases_of_other_lengths(spark):
     got = phrase_dedup.remove_repeated_phrases(frame(spark), window=12, phrase=5, shard_rows=3).collect()
     table = [(LAST if r[0] is None else r[0], (r[1] or "").encode().split()) for r in rows()]
