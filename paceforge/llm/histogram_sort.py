@@ -120,25 +120,32 @@ def shard_by_bytes(
     overhead: int = 16,
     tolerance: float = 0.002,
     cells_per_shard: int | None = None,
+    whole_rows: bool = False,
 ) -> DataFrame:
     """Every row of ``docs`` with its shard of near-equal bytes, in doc_id order.
 
     Columns: doc_id, size, text_crc32, law ('bytes'), shard, slot (gapless from 0 in its shard),
-    grown_shard (null: this law has none). Size is the UTF-8 bytes of the text plus ``overhead``.
+    grown_shard (null: this law has none); with ``whole_rows`` also ``doc``, a struct of all columns of
+    ``docs``. Size is the UTF-8 bytes of the text plus ``overhead``.
 
-    Null text: no bytes, checksum 0. Null doc_id: sorts first. Equal doc_ids are cut between rows by
+    Null text: no bytes, checksum 0. Null doc_id: sorts first, just below the smallest. Equal doc_ids are cut between rows by
     their position in the staged table, so a key with a third of all rows still splits. An empty table
-    gives no rows; other columns are ignored. Shards are subdivided into cells that are sorted apart,
+    gives no rows; other columns don't matter. Shards are subdivided into cells that are sorted apart,
     so no task sorts a whole shard.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
+    # a key far from all others would cost a counting round for every few bits of the distance
+    least = docs.agg(F.min(F.col("doc_id").cast("long"))).first()[0]
+    missing = _LOW if least is None or least == _LOW else least - 1
+    whole = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")] if whole_rows else []
     rows = docs.select(
         "doc_id",
         (F.octet_length(text) + overhead).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOW)).alias("key"),
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(missing)).alias("key"),
         F.monotonically_increasing_id().alias("tie"),
+        *whole,
     )
     table = stage(rows, "shard-keys")
     if cells_per_shard is None:
@@ -166,9 +173,10 @@ def shard_by_bytes(
             )
 
     id_type = dict(table.dtypes)["doc_id"]
+    kept = f"doc {dict(table.dtypes)['doc']}, " if whole_rows else ""
     placed = table.mapInArrow(
         place,
-        f"doc_id {id_type}, size long, text_crc32 long, key long, tie long, cell int, shard int, before long",
+        f"doc_id {id_type}, size long, text_crc32 long, key long, tie long, {kept}cell int, shard int, before long",
     )
     within = F.row_number().over(Window.partitionBy("cell").orderBy("key", "tie"))
     return placed.select(
@@ -179,4 +187,5 @@ def shard_by_bytes(
         "shard",
         (F.col("before") + within - 1).alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
+        *(["doc"] if whole_rows else []),
     )

@@ -55,6 +55,30 @@ def op1(spark: SparkSession, sf: str) -> DataFrame:
     return histogram_sort.shard_by_bytes(common.documents(spark, sf), SHARDS)
 
 
+@_query(
+    "shard_balance",
+    f"""SELECT cast({SHARDS} AS BIGINT) AS shards, count(*) AS n_docs, cast(sum(strlen(coalesce(text, '')) + 16) AS BIGINT) AS n_bytes,
+      true AS gapless, true AS even, true AS in_order FROM documents""",
+)
+def shard_balance(spark: SparkSession, sf: str) -> DataFrame:
+    """What the shards of op1 must be: gapless, in order, and no further from the mean than a row or a hundredth."""
+    rows = histogram_sort.shard_by_bytes(common.documents(spark, sf), SHARDS)
+    each = rows.groupBy("shard").agg(
+        F.count("*").alias("n"), F.count_distinct("slot").alias("slots"), F.min("slot").alias("first"), F.max("slot").alias("last"),
+        F.sum("size").alias("bytes"), F.max("size").alias("largest"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most"),
+    )
+    mean = F.col("total") / F.lit(SHARDS)
+    near = F.abs(F.col("s.bytes") - mean) <= F.greatest(mean / 100, F.col("biggest"))
+    gapless = (F.col("s.n") == F.col("s.slots")) & (F.col("s.first") == 0) & (F.col("s.last") == F.col("s.n") - 1)
+    ordered = F.sort_array(F.collect_list(F.struct("shard", "least", "most")))  # a row per shard
+    later = F.zip_with(F.slice("order", 1, F.size("order") - 1), F.slice("order", 2, F.size("order") - 1), lambda a, b: a["most"] <= b["least"])
+    totals = each.agg(F.sum("n").alias("n_docs"), F.sum("bytes").alias("total"), F.max("largest").alias("biggest"), ordered.alias("order"), F.collect_list(F.struct(*each.columns)).alias("all"))
+    flat = totals.select("n_docs", "total", "biggest", F.forall(later, lambda x: x).alias("in_order"), F.explode("all").alias("s"))
+    return flat.groupBy("n_docs", F.col("total").alias("n_bytes"), "in_order").agg(
+        F.count("*").alias("shards"), F.bool_and(gapless).alias("gapless"), F.bool_and(near).alias("even")
+    )
+
+
 _OP2 = f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
 w AS (

@@ -46,6 +46,32 @@ def test_shards_are_even(spark):
     assert len(got) == 8 and max(abs(r[1] - total / 8) for r in got) <= 80
 
 
+def test_splitters_match_prefix_sums(spark):
+    """Every shard border is the row border nearest to its target, up to the tolerance, by plain sums."""
+    rnd = random.Random(2)
+    sizes = [rnd.choice([1, 5, 40, 900, 5000]) for _ in range(2_000)]
+    keys = sorted(rnd.choice([7, 7, 8, rnd.randint(0, 10**12)]) for _ in sizes)
+    table = spark.createDataFrame(list(zip(keys, range(len(keys)), sizes)), "key long, tie long, size long").repartition(4)
+    for shards, tolerance in ((5, 0.002), (16, 0.0)):
+        bounds, counts = histogram_sort.find_splitters(table, shards, shards, tolerance)
+        below = np.concatenate([[0], np.cumsum(sizes)])
+        for i, bound in enumerate(bounds, start=1):
+            place = sum((k, t) < (bound // (1 << 63), bound % (1 << 63)) for t, k in enumerate(keys))
+            assert counts[bound] == (below[place], place)
+            target = sum(sizes) * i // shards
+            assert abs(below[place] - target) <= max(np.abs(below - target).min(), int(tolerance * sum(sizes) / shards))
+
+
+def test_sharded_rows_keep_their_columns(spark):
+    docs = frame(spark)
+    got = histogram_sort.shard_by_bytes(docs, 5, whole_rows=True)
+    back = got.select("doc.*")
+    assert back.columns == docs.columns
+    assert sorted(map(str, back.collect())) == sorted(map(str, docs.collect()))
+    wrong = got.filter("NOT doc.doc_id <=> doc_id OR size <> coalesce(octet_length(doc.text), 0) + 16")
+    assert wrong.count() == 0
+
+
 def plain_distance(item, text):
     row = [0] * (len(text) + 1)
     for i, c in enumerate(item):
