@@ -94,8 +94,9 @@ def _clock(minutes: Column, form: tuple[str, str]) -> Column:
     size = F.abs(minutes)
     sign = F.when(minutes < 0, "-").otherwise("")
     small = F.when(size < _FRACTIONS, size)
-    total = small.cast("bigint") * 60 + F.rint((small - F.floor(small)) * 60).cast("bigint")
-    parts = (sign, F.floor(total / 60).cast("string"), F.lit(form[0]), F.lpad((total % 60).cast("string"), 2, "0"), F.lit(form[1]))
+    seconds = F.rint((small - F.floor(small)) * 60).cast("bigint")
+    whole = F.floor(small) + F.when(seconds == 60, 1).otherwise(0)
+    parts = (sign, whole.cast("string"), F.lit(form[0]), F.lpad((seconds % 60).cast("string"), 2, "0"), F.lit(form[1]))
     large = F.when((size >= _FRACTIONS) & (size < float("inf")), F.concat(sign, F.format_string("%.0f", size), F.lit(f"{form[0]}00{form[1]}")))
     return F.coalesce(F.concat(*parts), large, F.lit(""))
 

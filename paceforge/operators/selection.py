@@ -47,7 +47,8 @@ def trailing_months(df: DataFrame, months: int = 3, date: str = "date") -> DataF
     """
     if not has_dates(df, date):
         return df
-    return df.filter(F.col(q(date)) >= latest_date(df, date) - F.make_ym_interval(F.lit(0), F.lit(months)))
+    cutoff = df.select(F.max(q(date)) - F.make_ym_interval(F.lit(0), F.lit(months))).scalar()
+    return df.filter(F.col(q(date)) >= cutoff)
 
 
 def add_week_bins(df: DataFrame, date: str = "date") -> DataFrame:
