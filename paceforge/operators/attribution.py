@@ -11,9 +11,14 @@ integrand is a polynomial, so Gauss-Legendre points give the integral exactly. V
 expected value + sum of attributions = prediction.
 
 The model is small (trees * nodes) and goes to the executors with the function; rows are read,
-attributed and emitted by Spark partition by partition. Leaves are kept as padded arrays, one set for each
-number of features on their paths, and a block of rows meets a block of leaves at a time, so the memory of a
-task is bounded by the block whatever the model.
+attributed and emitted by Spark partition by partition.
+
+What a leaf gives depends only on which conditions of its path a row meets. Leaves next to each other share most
+of them, so a few leaves together have at most ``CONDITIONS`` conditions, and a table of what they give to each
+feature for every outcome of these. A row then costs a look into each table. The tables come from the sum above,
+taken over the outcomes instead of the rows. Leaves with more conditions on their own path than that meet the
+rows themselves: they are kept as padded arrays, one set for each number of features on their paths, and a
+block of rows meets a block of leaves at a time, so the memory of a task is bounded whatever the model.
 """
 
 from __future__ import annotations
@@ -148,6 +153,107 @@ def attribute(x: np.ndarray, paths: Sequence[Path] | Sequence[Leaves], cells: in
     return out
 
 
+#: Conditions that a table covers, and numbers in the tables that a task keeps.
+CONDITIONS, KEPT_NUMBERS = 8, 8_000_000
+
+
+@dataclass(frozen=True)
+class Group:
+    """Leaves and the conditions of their paths: whether ``features[k]`` of a row is above ``cuts[k]``."""
+
+    features: np.ndarray
+    cuts: np.ndarray
+    paths: tuple[Path, ...]
+
+    def used(self) -> np.ndarray:
+        return np.unique(self.features)
+
+    def table(self) -> np.ndarray:
+        """What the leaves give to each of the used features (rows) at each outcome of the conditions."""
+        used, size = self.used(), len(self.cuts)
+        above = (np.arange(2**size)[:, None] >> np.arange(size)) & 1 == 1
+        # a value of every outcome; outcomes that no value has are never looked up
+        rows = np.zeros((len(above), used[-1] + 1))
+        for f in used:
+            mine = np.flatnonzero(self.features == f)
+            mine = mine[np.argsort(self.cuts[mine])]
+            steps = np.append(self.cuts[mine], np.inf)
+            rows[:, f] = steps[above[:, mine].sum(axis=1)]
+        return np.ascontiguousarray(attribute(rows, self.paths)[:, used].T)
+
+
+@dataclass(frozen=True)
+class Tables:
+    """Groups of leaves and the leaves that no group takes."""
+
+    groups: tuple[Group, ...]
+    rest: tuple[Leaves, ...]
+
+
+def _conditions(path: Path) -> set[tuple[int, float]]:
+    cuts = [*zip(path.features.tolist(), path.low.tolist()), *zip(path.features.tolist(), path.high.tolist())]
+    return {c for c in cuts if np.isfinite(c[1])}
+
+
+def leaf_groups(paths: Sequence[Path], most: int = CONDITIONS) -> Tables:
+    """Leaves in their order, as many together as have ``most`` conditions; a leaf without any moves nothing."""
+    groups: list[tuple[set, list[Path]]] = []
+    rest: list[Path] = []
+    for p in paths:
+        mine = _conditions(p)
+        if len(mine) > most:
+            rest.append(p)
+        elif mine and groups and len(groups[-1][0] | mine) <= most:
+            groups[-1] = (groups[-1][0] | mine, [*groups[-1][1], p])
+        elif mine:
+            groups.append((mine, [p]))
+    out = []
+    for found, members in groups:
+        cuts = sorted(found)
+        out.append(Group(np.array([f for f, _ in cuts]), np.array([c for _, c in cuts]), tuple(members)))
+    return Tables(tuple(out), tuple(leaf_arrays(rest)))
+
+
+class Lookup:
+    """Attributions by the tables of a model, built when they are first needed."""
+
+    def __init__(self, tables: Tables, kept: int = KEPT_NUMBERS):
+        self.tables, self.kept = tables, kept
+        cuts = sorted({c for g in tables.groups for c in zip(g.features.tolist(), g.cuts.tolist())})
+        place = {c: i for i, c in enumerate(cuts)}
+        self.cuts = cuts
+        self.places = [[place[c] for c in zip(g.features.tolist(), g.cuts.tolist())] for g in tables.groups]
+        self.built: dict[int, tuple[list[int], np.ndarray]] = {}
+
+    def _table(self, k: int) -> tuple[list[int], np.ndarray]:
+        if k in self.built:
+            return self.built[k]
+        group = self.tables.groups[k]
+        made = (group.used().tolist(), group.table())
+        if made[1].size <= self.kept:
+            self.kept -= made[1].size
+            self.built[k] = made
+        return made
+
+    def __call__(self, x: np.ndarray, cells: int = 4 * BLOCK_CELLS) -> np.ndarray:
+        """Attributions of rows (rows x features)."""
+        out = attribute(x, self.tables.rest)
+        rows = max(1, cells // max(1, len(self.cuts)))
+        for at in range(0, len(x) if self.cuts else 0, rows):
+            columns = np.ascontiguousarray(x[at : at + rows].T)
+            above = [(~(columns[f] <= cut)).view(np.uint8) for f, cut in self.cuts]
+            moved = np.zeros(columns.shape)
+            for k, places in enumerate(self.places):
+                outcome = np.zeros(columns.shape[1], np.uint16)
+                for bit, c in enumerate(places):
+                    outcome += above[c].astype(np.uint16) << bit
+                outcome = outcome.astype(np.intp)
+                for f, given in zip(*self._table(k)):
+                    moved[f] += given[outcome]
+            out[at : at + rows] += moved.T
+        return out
+
+
 def attributions(
     model: PipelineModel,
     rows: DataFrame,
@@ -160,14 +266,14 @@ def attributions(
     ``paths`` may hold the :func:`leaf_paths` of the model.
     """
     spark = rows.sparkSession
-    shared = spark.sparkContext.broadcast(leaf_arrays(leaf_paths(model, spark) if paths is None else paths))
+    shared = spark.sparkContext.broadcast(leaf_groups(leaf_paths(model, spark) if paths is None else paths))
 
     @F.pandas_udf("array<double>")
     def explain(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        leaves = shared.value
+        look = Lookup(shared.value)
         for batch in batches:
             x = np.stack(batch.to_numpy()) if len(batch) else np.empty((0, len(features)))
-            yield pd.Series(list(attribute(x, leaves)))
+            yield pd.Series(list(look(x)))
 
     inputs = PipelineModel(stages=model.stages[:-1]).transform(rows)
     x = inputs.select(*map(q, keep), vector_to_array("features").alias("_x"))

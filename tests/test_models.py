@@ -102,6 +102,51 @@ def test_attribution_blocks_change_nothing(spark, model):
     assert not attribution.attribute(rows, []).any()
 
 
+def test_tables_give_what_the_leaves_give(spark, model):
+    paths = attribution.leaf_paths(model, spark)
+    rows = np.random.default_rng(8).normal(size=(50, 4))
+    cuts = [c for p in paths for c in p.high if np.isfinite(c)]
+    rows[:20, :] = np.array(cuts[:20])[:, None]  # on the borders
+    want = attribution.attribute(rows, paths)
+    deep = attribution.Path(np.arange(4), np.arange(4) - 1.5, np.arange(4) + 0.5, np.full(4, 0.3), 2.0)
+    for most in (1, 3, 8, 12):
+        tables = attribution.leaf_groups(paths, most)
+        assert all(len(g.cuts) <= most for g in tables.groups)
+        for kept in (0, 10**6):
+            assert attribution.Lookup(tables, kept)(rows, cells=40) == pytest.approx(want, abs=1e-12)
+    # a leaf of eight conditions, where seven fit, meets the rows themselves
+    mixed = attribution.leaf_groups([*paths, deep], 7)
+    assert sum(len(g.value) for g in mixed.rest) >= 1
+    assert attribution.Lookup(mixed)(rows) == pytest.approx(attribution.attribute(rows, [*paths, deep]), abs=1e-12)
+    assert not attribution.Lookup(attribution.leaf_groups([]))(rows).any()
+
+
+def test_a_hundred_trees_are_looked_up():
+    """Ten thousand rows and 3,200 leaves in seconds; meeting every leaf took ten."""
+    rng = np.random.default_rng(9)
+    cuts, paths = np.sort(rng.normal(size=(36, 31)), axis=1), []
+
+    def grow(node, bounds, depth):
+        if depth == 0:
+            names = sorted(bounds)
+            low, high, share = (np.array([bounds[f][k] for f in names]) for k in range(3))
+            paths.append(attribution.Path(np.array(names), low, high, share, float(rng.normal())))
+            return
+        f = int(rng.integers(36))
+        cut, (low, high, share) = cuts[f, rng.integers(31)], bounds.get(f, (-np.inf, np.inf, 1.0))
+        grow(node, {**bounds, f: (low, min(high, cut), share * 0.4)}, depth - 1)
+        grow(node, {**bounds, f: (max(low, cut), high, share * 0.6)}, depth - 1)
+
+    for _ in range(100):
+        grow(0, {}, 5)
+    x = rng.normal(size=(10_000, 36))
+    look = attribution.Lookup(attribution.leaf_groups(paths))
+    begun = time.process_time()
+    got = look(x)
+    assert time.process_time() - begun < 4
+    assert got[:40] == pytest.approx(attribution.attribute(x[:40], paths), abs=1e-12)
+
+
 def test_a_thousand_deep_rounds_are_attributed_in_blocks():
     """A hundred thousand leaves of seven features: additive, and in seconds."""
     rng = np.random.default_rng(7)
