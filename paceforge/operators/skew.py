@@ -34,12 +34,15 @@ class SplitPolicy:
     max_rows: a runner with more rows than this is oversized. None skips the look at the sizes, for
         tables known to have no such runner.
     chunk_rows: target rows per chunk of an oversized runner.
+    chunks: at most so many chunks, which hold more rows where these would not do. A chunk is a task, a file and
+        sampled keys on the driver, and each step between chunks costs tasks times chunks.
     listed: up to this many oversized runners are named in the plan as literals; beyond it they
         are told apart by joins, so nothing of unknown size is collected or broadcast.
     """
 
     max_rows: int | None = 2_000_000
     chunk_rows: int = 4_000_000
+    chunks: int = 400
     listed: int = 1_000
 
 
@@ -124,6 +127,6 @@ def range_chunks(df: DataFrame, order: Sequence[str], rows: int, policy: SplitPo
     even if an executor is lost. Rows equal in all of ``order`` share a chunk, so ``order`` ends
     with the activity key.
     """
-    pieces = max(1, -(-rows // policy.chunk_rows))
+    pieces = max(1, min(-(-rows // policy.chunk_rows), policy.chunks))
     ranged = df.repartitionByRange(pieces, *[F.col(q(c)) for c in order])
     return stage(ranged.withColumn(CHUNK, F.spark_partition_id()), label)
