@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from paceforge import testbed
 from paceforge.operators import attribution, cleaning, encoding, forest, reports, scoring, training
-from paceforge.plans import analysis, flow
+from paceforge.plans import analysis, flow, queries_models
 from paceforge.sources import registry
 
 FEATURES = ["a", "b", "c", "d"]
@@ -379,3 +379,22 @@ def test_analyses_of_a_fitted_model(spark, sf):
     assert trend["bounds"].first()["runs"] == prepared.count() and trend["summary"].count() == 0
     named = analysis.over_time(shap, None, features=["distance", "nothing"])
     assert [r[0] for r in named["unknown"].collect()] == ["nothing"]
+
+
+def test_queries_with_fits_of_their_own_fit_nothing_else(spark, prepared, monkeypatch):
+    """The default model is no part of a curve of rounds nor of a search."""
+    asked, fit = [], training._fit
+
+    def counted(params, rows):
+        asked.append(dict(params))
+        return fit({**params, "maxIter": 2, "maxDepth": 2}, rows)
+
+    monkeypatch.setattr(training, "_fit", counted)
+    monkeypatch.setattr(queries_models, "_prepared", lambda spark, sf: (prepared, FEATURES))
+    monkeypatch.setattr(queries_models, "_ROWS", {}, raising=False)
+    monkeypatch.setattr(queries_models, "_FITTED", {})
+    assert queries_models.gbt_rounds(spark, "here").count() == 2
+    assert asked == [{}]
+    asked.clear()
+    queries_models.cv_search(spark, "here")
+    assert sorted(p["maxDepth"] for p in asked) == [3, 3, 3, 5, 5, 5]
