@@ -61,13 +61,11 @@ class History:
                 raise
             return None
 
-    def _state(self, before: int | None = None) -> tuple[int | None, dict[int, str]]:
-        """Newest committed batch (below ``before``) and the folder of each bucket; as many rows as buckets."""
+    def _state(self) -> tuple[int | None, dict[int, str]]:
+        """Newest committed batch and the folder of each bucket; as many rows as buckets."""
         records = self._records()
         if records is None:
             return None, {}
-        if before is not None:
-            records = records.filter(F.col("batch") < before)
         last = records.agg(F.max("batch")).first()[0]
         if last is None:
             return None, {}
@@ -98,9 +96,9 @@ class History:
         Rows without an activity id are all kept, rows without a date or runner get no history features.
         Batches are applied one after another, in the order of their numbers.
         """
-        if self._state()[0] is not None and batch <= self._state()[0]:
+        newest, folders = self._state()
+        if newest is not None and batch <= newest:
             return False
-        _, folders = self._state(before=batch)
         new = stage(self._distinct(canonical(rows)).withColumn("bucket", self._bucket()), "history-new")
         touched = {r["bucket"] for r in new.select("bucket").distinct().collect()}  # at most the buckets
         folder = f"{self.root}/data/batch={batch}"
@@ -127,29 +125,33 @@ class History:
         fresh = new.select(*map(q, columns), F.lit(True).alias("_fresh"))
         if old is None:
             return self._features(fresh)
-        ids = new.filter("activity_id IS NOT NULL").select(F.col("runner_id").alias("r"), F.col("activity_id").alias("a"), F.lit(True).alias("_new"))
+        # stored rows meet the ids of the batch by their keys alone; few of them are replaced
+        ids = new.filter("activity_id IS NOT NULL").select(F.col("runner_id").alias("r"), F.col("activity_id").alias("a"))
         same = F.col("runner_id").eqNullSafe(F.col("r")) & (F.col("activity_id") == F.col("a"))
-        marked = old.join(ids, same, "left").drop("r", "a")
+        replaced = stage(old.select("runner_id", "activity_id", "date").join(ids, same, "left_semi"), "history-replaced")
+        gone = replaced.select(F.col("runner_id").alias("r"), F.col("activity_id").alias("a"))
         # a replaced activity changes what follows its old place as well
-        replaced = marked.filter("_new").select("runner_id", "date")
-        begins = new.select("runner_id", "date").unionByName(replaced).filter("runner_id IS NOT NULL AND date IS NOT NULL")
-        begins = stage(begins.groupBy("runner_id").agg(F.min("date").alias("_begin")), "history-begins")
+        begins = new.select("runner_id", "date").unionByName(replaced.select("runner_id", "date"))
+        begins = begins.filter("runner_id IS NOT NULL AND date IS NOT NULL").groupBy("runner_id")
+        begins = stage(begins.agg(F.min("date").alias("_begin")), "history-begins")
+        # no dated row of a runner before its earliest change is replaced, so only the others are looked up
+        placed = F.col("runner_id").isNotNull() & F.col("date").isNotNull()
+        unchanged = (
+            old.filter(placed).join(begins, "runner_id", "left").filter("_begin IS NULL OR date < _begin").drop("_begin")
+            .unionByName(old.filter(~placed).join(gone, same, "left_anti"))
+        )
         # flow.features doubles the cadence, so what is computed again starts from the recorded one
-        kept = marked.filter("_new IS NULL").drop("_new")
-        timed = kept.join(begins, "runner_id", "left")
-        later = F.coalesce(F.col("date") >= F.col("_begin"), F.lit(False))
-        unchanged = timed.filter(~later).drop("_begin")
-        timed = timed.withColumn("average_cadence", F.col("average_cadence") / 2)
-        again = timed.filter(later).select(*map(q, columns), F.lit(True).alias("_fresh"))
-        before = timed.filter(F.col("date") < F.col("_begin"))
+        timed = old.filter(placed).select(*map(q, columns)).join(begins, "runner_id")
         near = F.col("date") > F.col("_begin") - F.expr(f"INTERVAL '{CONTEXT_DAYS}' DAY")
-        recent = before.filter(near).select(*map(q, columns))
+        recorded = F.col("average_cadence") / 2
+        moved = timed.filter(near).join(gone, same, "left_anti").withColumn("_fresh", F.col("date") >= F.col("_begin"))
         # limited to a few rows of a runner before the shuffle
         order = Window.partitionBy("runner_id").orderBy(F.desc("date"), F.desc("_order"))
-        runs = flow.sortable(before.filter(~near).select(*map(q, columns), F.col("activity_id").alias("_order")), "_order")
-        last = runs.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= max(1, self.lags)).select(*map(q, columns))
-        context = recent.unionByName(last).withColumn("_fresh", F.lit(False))
-        computed = self._features(fresh.unionByName(again).unionByName(context))
+        runs = flow.sortable(timed.filter(~near).select(*map(q, columns), F.col("activity_id").alias("_order")), "_order")
+        last = runs.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= max(1, self.lags)).withColumn("_fresh", F.lit(False))
+        again = moved.select(*map(q, columns), "_fresh").unionByName(last.select(*map(q, columns), "_fresh"))
+        again = again.withColumn("average_cadence", recorded)
+        computed = self._features(fresh.unionByName(again))
         return unchanged.select(*map(q, computed.columns)).unionByName(computed)
 
     def _features(self, rows: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 
 import pytest
 
-from helpers import same
+from helpers import count_nodes, same
 from paceforge.plans import flow
 from paceforge.streaming import history, ingest
 
@@ -58,6 +58,26 @@ def test_corrections_replace_and_move_activities(spark, tmp_path):
     check(spark, store, table)
 
 
+def test_stored_rows_are_joined_once_for_what_is_computed_again(spark, tmp_path, monkeypatch):
+    """Ids of the batch meet the keys of stored rows; near and far rows then join the earliest changes only."""
+    table = rows(90, 7)
+    store = history.History(spark, str(tmp_path / "h"), buckets=3)
+    store.update(spark.createDataFrame(table[:60], SCHEMA), 0)
+    staged, write = {}, history.stage
+    monkeypatch.setattr(history, "stage", lambda df, label: write(staged.setdefault(label, df), label))
+    monkeypatch.setattr(history.History, "_state", lambda self, f=history.History._state: staged.setdefault("reads", []).append(1) or f(self))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        store.update(spark.createDataFrame(table[40:], SCHEMA), 1)
+        joins = count_nodes(staged["history-rows"], "SortMergeJoin")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert joins == 3 and len(staged["reads"]) == 1
+    monkeypatch.undo()
+    check(spark, store, table)
+
+
 def test_only_touched_buckets_are_written(spark, tmp_path):
     table = [r for r in rows(120, 4) if r[1] in ("a", "b", "c", "d")]
     store = history.History(spark, str(tmp_path / "h"), buckets=40)
