@@ -65,7 +65,7 @@ def test_stored_rows_are_joined_once_for_what_is_computed_again(spark, tmp_path,
     store.update(spark.createDataFrame(table[:60], SCHEMA), 0)
     staged, write = {}, history.stage
     monkeypatch.setattr(history, "stage", lambda df, label: write(staged.setdefault(label, df), label))
-    monkeypatch.setattr(history.History, "_state", lambda self, f=history.History._state: staged.setdefault("reads", []).append(1) or f(self))
+    monkeypatch.setattr(history.History, "_state", lambda self, f=history.History._state, **how: staged.setdefault("reads", []).append(1) or f(self, **how))
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
