@@ -398,3 +398,40 @@ def test_queries_with_fits_of_their_own_fit_nothing_else(spark, prepared, monkey
     asked.clear()
     queries_models.cv_search(spark, "here")
     assert sorted(p["maxDepth"] for p in asked) == [3, 3, 3, 5, 5, 5]
+
+
+def test_large_fits_are_dealt_out_in_equal_rounds_of_all_cores(spark, prepared, monkeypatch):
+    """Kept in their order while the fit runs, and let go then; small ones stay as they were."""
+    seen, plain = [], training._regressor
+
+    class Watched:
+        def __init__(self, params):
+            self.inner = plain(params)
+
+        def fit(self, ordered):
+            places = ordered.rdd.mapPartitions(lambda part: [[r["place"] for r in part]]).collect()
+            seen.append((len(places), ordered.is_cached, sum(map(len, places)), all(p == sorted(p) for p in places)))
+            return self.inner.fit(ordered)
+
+    monkeypatch.setattr(training, "_regressor", Watched)
+    rows = training.model_rows(prepared, training.fit_inputs(prepared.filter("split = 'train'"), FEATURES)).filter("split = 'train'")
+    n, cores = rows.count(), spark.sparkContext.defaultParallelism
+    small = training._fit({"maxIter": 2, "maxDepth": 2}, rows)
+    monkeypatch.setattr(training, "SMALL_ROWS", 0, raising=False)
+    monkeypatch.setattr(training, "TASK_ROWS", 100, raising=False)
+    kept = len(spark.sparkContext._jsc.getPersistentRDDs())
+    large = training._fit({"maxIter": 2, "maxDepth": 2, "subsamplingRate": 1.0, "featureSubsetStrategy": "all"}, rows)
+    assert not seen[0][1] and seen[1] == (cores * math.ceil(n / (100 * cores)), True, n, True)
+    assert len(spark.sparkContext._jsc.getPersistentRDDs()) <= kept
+    assert len(small.treeWeights) == len(large.treeWeights) == 2
+
+
+def test_a_fit_writes_the_rows_it_uses_without_vectors(prepared, monkeypatch):
+    written, stage = [], training.stage
+    monkeypatch.setattr(training, "stage", lambda df, label: written.append(stage(df, label)) or written[-1])
+    training.fit_model(prepared, FEATURES, {"maxIter": 1, "maxDepth": 1})
+    training.fit_model(prepared, FEATURES, {"maxIter": 1, "maxDepth": 1}, early_stopping=False)
+    assert len(written) == 2
+    for table in written:
+        assert {f.dataType.typeName() for f in table.schema} == {"double", "string"}
+        assert {r[0] for r in table.select("split").distinct().collect()} == {"train", "validation"}
