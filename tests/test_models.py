@@ -241,6 +241,19 @@ def test_grid_points_share_fits_and_a_restart_fits_nothing(prepared, tmp_path, m
     assert {r["config"]: r["mae"] for r in more.collect() if r["config"] in same} == same
 
 
+def test_the_registered_search_covers_the_whole_grid(prepared, monkeypatch):
+    monkeypatch.setattr(queries_models, "_rows", lambda spark, sf: (prepared, FEATURES))
+    searched = []
+    monkeypatch.setattr(training, "cross_validate", lambda rows, features, grid, **options: searched.append((grid, options)))
+    queries_models.cv_search(None, "")
+    (grid, options), rates = searched[0], ["0.6", "0.8", "1.0"]
+    assert grid == {
+        "maxDepth": [3, 5, 7], "stepSize": [0.01, 0.05, 0.1], "maxIter": [100, 500, 1000], "minInstancesPerNode": [1, 3, 5],
+        "subsamplingRate": [float(r) for r in rates], "featureSubsetStrategy": rates, "minInfoGain": [0.0, 0.1, 0.2],
+    }
+    assert options.get("folds", 3) == 3 and options.get("limit") is None and math.prod(len(v) for v in grid.values()) == 2187
+
+
 def test_named_configurations(prepared, monkeypatch):
     small = {n: {**c, "maxIter": 3} for n, c in training.NAMED_CONFIGS.items()}
     monkeypatch.setattr(training, "NAMED_CONFIGS", small)
