@@ -11,7 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from paceforge import testbed
-from paceforge.operators import attribution, cleaning, encoding, forest, reports, scoring, training
+from paceforge.operators import attribution, boosting, cleaning, encoding, forest, reports, scoring, training
 from paceforge.plans import analysis, flow, queries_models
 from paceforge.sources import registry
 
@@ -254,6 +254,37 @@ def test_the_registered_search_covers_the_whole_grid(prepared, monkeypatch):
     assert options.get("folds", 3) == 3 and options.get("limit") is None and math.prod(len(v) for v in grid.values()) == 2187
 
 
+def test_fits_in_tasks_are_those_of_spark(prepared, monkeypatch):
+    """Bins, samples, ties and leaves as GBTRegressor has them, whatever the parameters."""
+    rounded = prepared.withColumn("d", F.round("d")).withColumn("c", F.lit(1.0)).cache()  # equal values, and a feature without a split
+    grids = [
+        {"maxDepth": [4], "maxIter": [3, 8], "stepSize": [0.4], "subsamplingRate": [0.6], "featureSubsetStrategy": ["0.6"], "minInstancesPerNode": [3], "minInfoGain": [0.0, 0.4]},
+        {"maxDepth": [0, 7], "maxIter": [6], "stepSize": [0.2], "subsamplingRate": [1.0], "featureSubsetStrategy": ["1.0"], "minInstancesPerNode": [1], "minInfoGain": [0.2]},
+    ]
+    of = lambda rows: {tuple(sorted(r["params"].items())): r["mae"] for r in rows.collect()}
+    jobs = []
+    plain = training._fit
+    monkeypatch.setattr(training, "_fit", lambda params, rows: jobs.append(params) or plain(params, rows))
+    got = [of(training.cross_validate(rounded, FEATURES, grid, seed=7)) for grid in grids]
+    assert not jobs and len(set(got[0].values())) == 4
+    monkeypatch.setattr(boosting, "MOST_ROWS", 0)
+    want = [of(training.cross_validate(rounded, FEATURES, grid, seed=7)) for grid in grids]
+    assert len(jobs) == 12
+    for a, b in zip(got, want):
+        assert a == pytest.approx(b, rel=1e-9)
+
+
+def test_search_leaves_to_spark_what_tasks_do_not_know(prepared, monkeypatch):
+    jobs = []
+    plain = training._fit
+    monkeypatch.setattr(training, "_fit", lambda params, rows: jobs.append(params) or plain(params, rows))
+    for options in ({"lossType": "absolute"}, {"featureSubsetStrategy": "sqrt"}):
+        assert training.cross_validate(prepared, FEATURES, {"maxDepth": [2]}, maxIter=2, **options).first()["mae"] > 0
+    assert len(jobs) == 6
+    assert boosting.kept_features("0.6", 41) == 25 and boosting.kept_features("1.0", 4) == boosting.kept_features("all", 4) == 4
+    assert boosting.kept_features("2", 4) is None and boosting.kept_features("0.0", 4) is None
+
+
 def test_named_configurations(prepared, monkeypatch):
     small = {n: {**c, "maxIter": 3} for n, c in training.NAMED_CONFIGS.items()}
     monkeypatch.setattr(training, "NAMED_CONFIGS", small)
