@@ -254,6 +254,25 @@ def test_the_registered_search_covers_the_whole_grid(prepared, monkeypatch):
     assert options.get("folds", 3) == 3 and options.get("limit") is None and math.prod(len(v) for v in grid.values()) == 2187
 
 
+def test_the_whole_grid_is_fitted_and_nothing_beside_it(spark, prepared, monkeypatch):
+    """Every point has its error from the fits of its three folds; no model is fitted that the search does not use."""
+    asked = []
+
+    def counted(self, held, rounds, points):
+        asked.extend((held, tuple(sorted((k, str(v)) for k, v in p.items()))) for p in points)
+        return [{r: held + r + p["maxDepth"] / 10 for r in rounds} for p in points]
+
+    monkeypatch.setattr(training._TaskFits, "errors", counted)
+    monkeypatch.setattr(training, "_fit", lambda *_: 1 / 0)
+    monkeypatch.setattr(queries_models, "_prepared", lambda spark, sf: (prepared, FEATURES))
+    monkeypatch.setattr(queries_models, "_ROWS", {})
+    monkeypatch.setattr(queries_models, "_FITTED", {})
+    rows = queries_models.cv_search(spark, "here").collect()
+    assert len(rows) == 2187 == len({tuple(sorted(r["params"].items())) for r in rows})
+    assert all(r["mae"] == pytest.approx(1 + int(r["params"]["maxIter"]) + int(r["params"]["maxDepth"]) / 10) for r in rows)
+    assert len(asked) == len(set(asked)) == 2187 and {dict(p)["maxIter"] for _, p in asked} == {"1000"}
+
+
 def test_fits_in_tasks_are_those_of_spark(prepared, monkeypatch):
     """Bins, samples, ties and leaves as GBTRegressor has them, whatever the parameters."""
     rounded = prepared.withColumn("d", F.round("d")).withColumn("c", F.lit(1.0)).cache()  # equal values, and a feature without a split
